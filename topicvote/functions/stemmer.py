@@ -11,6 +11,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 VOWELS = "aeiouy"
@@ -147,19 +148,29 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-@F.pandas_udf("string")
-def stem_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _stem_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
         yield texts.map(lambda t: None if t is None else " ".join(map(stem, t.split(" "))))
 
 
-@F.pandas_udf("array<string>")
-def stem_tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _stem_lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for tokens in batches:
         yield tokens.map(lambda ws: None if ws is None else [stem(w) for w in ws])
 
 
-@F.pandas_udf("string")
-def stem_word(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for words in batches:
         yield words.map(stem, na_action="ignore")
+
+
+def stem_text(text: str | Column) -> Column:
+    """Stems the words between blanks."""
+    return F.pandas_udf(_stem_texts, "string")(text)
+
+
+def stem_tokens(tokens: str | Column) -> Column:
+    return F.pandas_udf(_stem_lists, "array<string>")(tokens)
+
+
+def stem_word(word: str | Column) -> Column:
+    return F.pandas_udf(_stem_words, "string")(word)

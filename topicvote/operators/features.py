@@ -9,13 +9,15 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct
+import pyarrow as pa
+from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, ElementwiseProduct
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicvote.functions.text import tokenize
+from topicvote.session import materialise
 
 VOCABULARY_SIZE = 262_144
 
@@ -62,9 +64,10 @@ def vocabulary_terms(
 
 @dataclass
 class Vocabulary:
-    """Terms in sorted order with their document frequency; at most ``size`` of them, so this is
-    the one table that may live on the driver."""
+    """Terms with their document frequency; at most ``size`` of them, so this is the one table
+    that may live on the driver. A term's number is its place in the count model."""
 
+    model: CountVectorizerModel
     terms: list[str]
     df: np.ndarray
     n_docs: int
@@ -78,29 +81,35 @@ class Vocabulary:
 
     def table(self, df: DataFrame) -> DataFrame:
         """(term_id, term, df, idf)"""
-        rows = [
-            (i, t, int(d), float(w))
-            for i, (t, d, w) in enumerate(zip(self.terms, self.df, self.idf, strict=True))
-        ]
-        schema = "term_id int, term string, df bigint, idf double"
-        return df.sparkSession.createDataFrame(rows, schema)
+        columns = {
+            "term_id": np.arange(len(self), dtype=np.int32),
+            "term": self.terms,
+            "df": self.df,
+            "idf": self.idf,
+        }
+        return df.sparkSession.createDataFrame(pa.table(columns))
 
 
 def fit_vocabulary(docs: DataFrame, min_df: int = 5, max_df: float | None = None,
                    size: int = VOCABULARY_SIZE) -> Vocabulary:
-    table = vocabulary_terms(docs, min_df, max_df, size).select("term", "df").toArrow()
-    terms = table.column("term").to_pylist()
-    counts = table.column("df").to_numpy()
-    order = sorted(range(len(terms)), key=terms.__getitem__)
-    return Vocabulary([terms[i] for i in order], counts[order], docs.count())
+    """The terms are chosen by ``vocabulary_terms``. The count model is fitted on that table, one
+    row per term, so the terms get to the JVM's dictionary without a detour."""
+    table = materialise(vocabulary_terms(docs, min_df, max_df, size).select("term", "df"), "terms")
+    one_each = table.select(F.array("term").alias("words"))
+    model = CountVectorizer(
+        inputCol="words", outputCol="raw_features", minDF=1.0, vocabSize=size
+    ).fit(one_each)
+    terms = model.vocabulary
+    frequencies = table.toArrow()
+    known = dict(
+        zip(frequencies.column("term").to_pylist(), frequencies.column("df").to_pylist(), strict=True)
+    )
+    return Vocabulary(model, terms, np.array([known[t] for t in terms], dtype=np.int64), docs.count())
 
 
-def count_vectors(docs: DataFrame, vocabulary: Vocabulary, output: str = "raw_features") -> DataFrame:
-    """Replaces the words by a sparse vector of term counts."""
-    model = CountVectorizerModel.from_vocabulary(
-        vocabulary.terms, inputCol="words", outputCol=output
-    )
-    return model.transform(docs).drop("words")
+def count_vectors(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """Replaces the words by ``raw_features``, a sparse vector of term counts."""
+    return vocabulary.model.transform(docs).drop("words")
 
 
 def with_arrays(counted: DataFrame, vector: str = "raw_features") -> DataFrame:

@@ -6,6 +6,7 @@ them up; the inverse document frequencies are multiplied in once per term.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from topicvote.functions.hashing import P, draw_coefficients
 from topicvote.functions.labels import index_to_label
+from topicvote.functions.literals import constant_rows
 from topicvote.operators.features import Vocabulary
 from topicvote.operators.sampling import EnsembleSpec, in_train, sampling_thresholds
 from topicvote.operators.scoring import LinearEnsemble
@@ -83,36 +85,29 @@ def fit_ensemble(rows: DataFrame, vocabulary: Vocabulary, spec: EnsembleSpec) ->
         t: (in_train() | known(t)) & ~F.col("label").eqNullSafe(F.lit(t)) for t in active
     }
 
-    sums: dict = {}
-    sizes: dict = {}
-    if active:
-        flagged = rows.select(
-            "term_ids",
-            "tfs",
-            *[(in_train() & F.col("label").eqNullSafe(F.lit(t))).alias(f"pos_{t}") for t in active],
-            *[negative[t].alias(f"neg_{t}") for t in whole],
-        )
-        flags = [f"pos_{t}" for t in active] + [f"neg_{t}" for t in whole]
-        sums.update(_column_sums(flagged, flags, n_terms, []))
-        sizes.update({f"pos_{t}": plan[t]["label"] for t in active})
-        sizes.update({f"neg_{t}": plan[t]["non_label_all"] for t in whole})
-    drawn_sizes: dict = {}
+    sizes: dict = {f"pos_{t}": plan[t]["label"] for t in active}
+    sizes.update({f"neg_{t}": plan[t]["non_label_all"] for t in whole})
+
+    def fixed_sums() -> dict:
+        """Positives of all topics and negatives of those that keep theirs."""
+        if not active:
+            return {}
+        is_topic = {t: in_train() & F.col("label").eqNullSafe(F.lit(t)) for t in active}
+        flags = {f"pos_{t}": is_topic[t] for t in active}
+        flags |= {f"neg_{t}": negative[t] for t in whole}
+        flagged = rows.select("term_ids", "tfs", *[c.alias(n) for n, c in flags.items()])
+        return _column_sums(flagged, list(flags), n_terms, [])
+
+    drawn = [f"neg_{t}" for t in rare]
     if rare:
-        draws = F.array(
-            *[
-                F.struct(
-                    F.lit(r).alias("rep"),
-                    *[
-                        F.struct(*[F.lit(c).cast("bigint").alias(n) for n, c in
-                                   zip("ab", draw_coefficients(*spec.key(t, i, j)), strict=True)])
-                        .alias(f"t{t}")
-                        for t in rare
-                    ],
-                )
-                for r, (i, j) in enumerate(reps)
-            ]
-        )
-        flagged = rows.withColumn("d", F.explode(draws)).select(
+        draws = []
+        for r, (i, j) in enumerate(reps):
+            one = {"rep": r}
+            for t in rare:
+                a, b = draw_coefficients(*spec.key(t, i, j))
+                one |= {f"a{t}": a, f"b{t}": b}
+            draws.append(one)
+        per_rep = rows.withColumn("d", F.explode(constant_rows(draws))).select(
             F.col("d.rep").alias("rep"),
             "term_ids",
             "tfs",
@@ -120,21 +115,27 @@ def fit_ensemble(rows: DataFrame, vocabulary: Vocabulary, spec: EnsembleSpec) ->
                 (
                     negative[t]
                     & (
-                        (F.col("row_hash") * F.col(f"d.t{t}.a") + F.col(f"d.t{t}.b")) % F.lit(P)
+                        (F.col("row_hash") * F.col(f"d.a{t}") + F.col(f"d.b{t}")) % F.lit(P)
                         < plan[t]["threshold"]
                     )
                 ).alias(f"neg_{t}")
                 for t in rare
             ],
         )
-        flags = [f"neg_{t}" for t in rare]
-        sums.update({(f, r): v for (f, r), v in _column_sums(flagged, flags, n_terms, ["rep"]).items()})
-        for row in (
-            flagged.groupBy("rep")
-            .agg(*[F.sum(F.col(f).cast("int")).alias(f) for f in flags])
-            .collect()
-        ):
-            drawn_sizes.update({(f, row["rep"]): row[f] for f in flags})
+
+    def drawn_sums() -> dict:
+        return _column_sums(per_rep, drawn, n_terms, ["rep"]) if rare else {}
+
+    def drawn_counts() -> dict:
+        if not rare:
+            return {}
+        counts = per_rep.groupBy("rep").agg(*[F.count_if(F.col(f)).alias(f) for f in drawn])
+        return {(f, row["rep"]): row[f] for row in counts.collect() for f in drawn}
+
+    with ThreadPoolExecutor(3) as pool:
+        jobs = [pool.submit(job) for job in (fixed_sums, drawn_sums, drawn_counts)]
+        sums = jobs[0].result() | jobs[1].result()
+        drawn_sizes = jobs[2].result()
 
     def log_weights(vector: np.ndarray) -> np.ndarray:
         weighted = vector * idf

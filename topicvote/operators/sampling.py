@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from topicvote.constants import SAMPLE_DELTA, SAMPLE_MINIMUM, SAMPLE_Z, TOPICS
 from topicvote.functions.hashing import DEFAULT_SEED, P, draw_coefficients
-
+from topicvote.functions.literals import constant_array, constant_rows
 
 
 def in_train() -> Column:
@@ -51,7 +51,7 @@ def training_class_counts(state: DataFrame, topics: Sequence[int] = TOPICS) -> D
     A training row counts for all topics, a known negative only for the topic it was rejected
     from. The rows are first counted by label, so only those few counts meet the topic list.
     """
-    all_topics = F.array(*[F.lit(t) for t in topics])
+    all_topics = constant_array(topics)
     code = F.when(F.col("label").isin(*topics), F.col("label"))
     by_label = state.where(in_train()).groupBy(code.alias("label")).count()
     for_all = by_label.select("label", "count", F.explode(all_topics).alias("topic"))
@@ -116,31 +116,26 @@ def negative_draws(state: DataFrame, spec: EnsembleSpec, hashed: str = "row_hash
     Topics that keep all their negatives have no rows here.
     """
     plan = sampling_thresholds(state, spec)
-    models = [
-        (t, i, j, plan[t]["threshold"], *draw_coefficients(*spec.key(t, i, j)))
-        for t in spec.topics
-        if plan[t]["threshold"] is not None
-        for i, j in spec.replicates
-    ]
+    models = []
+    for t in spec.topics:
+        if plan[t]["threshold"] is None:
+            continue
+        for i, j in spec.replicates:
+            a, b = draw_coefficients(*spec.key(t, i, j))
+            models.append(
+                {"topic": t, "i": i, "j": j, "threshold": plan[t]["threshold"], "a": a, "b": b}
+            )
     if not models:
         return state.select(
             "doc_id", *[F.lit(0).alias(c) for c in ("topic", "i", "j")]
         ).where(F.lit(False))
-    names = ["topic", "i", "j", "threshold", "a", "b"]
-    kinds = ["int", "int", "int", "bigint", "bigint", "bigint"]
-    literals = F.array(
-        *[
-            F.struct(*[F.lit(v).cast(k).alias(n) for n, k, v in zip(names, kinds, m, strict=True)])
-            for m in models
-        ]
-    )
     known = (
         F.coalesce(F.array_contains("neg_topics", F.col("m.topic")), F.lit(False))
         if "neg_topics" in state.columns
         else F.lit(False)
     )
     return (
-        state.withColumn("m", F.explode(literals))
+        state.withColumn("m", F.explode(constant_rows(models)))
         .where((in_train() | known) & ~F.col("label").eqNullSafe(F.col("m.topic")))
         .where((F.col(hashed) * F.col("m.a") + F.col("m.b")) % F.lit(P) < F.col("m.threshold"))
         .select("doc_id", "m.topic", "m.i", "m.j")
@@ -150,7 +145,7 @@ def negative_draws(state: DataFrame, spec: EnsembleSpec, hashed: str = "row_hash
 def sample_number_log(state: DataFrame, spec: EnsembleSpec) -> DataFrame:
     """(topic, i, j, label, non_label_all, non_label_sample, train_all) as trained on."""
     counts = with_fraction(training_class_counts(state, spec.topics))
-    reps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in spec.replicates])
+    reps = constant_rows([{"i": i, "j": j} for i, j in spec.replicates])
     drawn = negative_draws(state, spec).groupBy("topic", "i", "j").count()
     return (
         counts.withColumn("r", F.explode(reps))

@@ -15,8 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from topicvote.functions.literals import constant_rows
 from topicvote.operators.sampling import EnsembleSpec
 
 SLICE_BYTES = 256 * 1024 * 1024
@@ -95,14 +95,9 @@ def score_votes(
 def vote_table(counted: DataFrame, ensemble: LinearEnsemble) -> DataFrame:
     """The long vote table (doc_id, topic, i, j, vote)."""
     spec = ensemble.spec
-    slots = F.array(
-        *[
-            F.struct(
-                F.lit(t).alias("topic"),
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(int(ensemble.model_of[n * spec.votes + r])).alias("model"),
-            )
+    slots = constant_rows(
+        [
+            {"topic": t, "i": i, "j": j, "model": int(ensemble.model_of[n * spec.votes + r])}
             for n, t in enumerate(spec.topics)
             for r, (i, j) in enumerate(spec.replicates)
         ]
@@ -122,18 +117,14 @@ def full_vote_topics(
     spec = ensemble.spec
     groups = []
     for n, t in enumerate(spec.topics):
-        models = sorted(
-            {
-                int(ensemble.model_of[n * spec.votes + r])
-                for r, (i, j) in enumerate(spec.replicates)
-                if grid is None or (i <= grid and j <= grid)
-            }
-        )
-        groups.append(
-            F.struct(F.lit(t).alias("topic"), F.array(*[F.lit(m) for m in models]).alias("models"))
-        )
+        models = {
+            int(ensemble.model_of[n * spec.votes + r])
+            for r, (i, j) in enumerate(spec.replicates)
+            if grid is None or (i <= grid and j <= grid)
+        }
+        groups.append({"topic": t, "models": sorted(models)})
     unanimous = F.filter(
-        F.array(*groups),
+        constant_rows(groups),
         lambda g: F.forall(g.getField("models"), lambda m: F.get(column, m) == 1),
     )
     return F.transform(unanimous, lambda g: g.getField("topic"))

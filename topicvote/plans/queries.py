@@ -394,9 +394,12 @@ def validation_sample(spark, folder):
 @query
 def validation_numbers(spark, folder):
     numbers = validation.validation_numbers(_checked(spark, folder), 0.75)
-    return numbers.drop("cut", "precision_in_sample", "passes").select(
-        "*", numbers.passes.cast("int").alias("passes"), *six("precision_in_sample")
-    )
+    return numbers.withColumns(
+        {
+            "passes": F.col("passes").cast("int"),
+            "precision_in_sample": F.round("precision_in_sample", 6),
+        }
+    ).drop("cut")
 
 
 def _routed(spark, folder, gate, keep_negatives) -> DataFrame:
