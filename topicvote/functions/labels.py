@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicvote.constants import OTHER_TOPIC, TOPIC_NAMES
+from topicvote.functions.literals import constant_array, constant_table
 
 
 def recode_topic(topic: str | Column, above: int = 23) -> Column:
@@ -26,7 +27,7 @@ def binary_label(label: str | Column, topic: int | Column) -> Column:
 def topic_table(df: DataFrame) -> DataFrame:
     """The 22 topic codes with name and category, as a table."""
     rows = [(code, name, f"{code}. {name}") for code, name in TOPIC_NAMES.items()]
-    return df.sparkSession.createDataFrame(rows, "topic int, name string, category string")
+    return constant_table(df, ["topic", "name", "category"], rows)
 
 
 def with_category(df: DataFrame, topic: str = "topic") -> DataFrame:
@@ -46,7 +47,7 @@ def label_index(labels: DataFrame, label: str) -> DataFrame:
 def index_to_label(index: str | Column, labels: Sequence[int]) -> Column:
     """Maps a predicted class number back to its code, given the sorted codes."""
     column = F.col(index) if isinstance(index, str) else index
-    return F.element_at(F.array(*[F.lit(int(x)) for x in labels]), column.cast("int") + 1)
+    return F.element_at(constant_array([int(x) for x in labels]), column.cast("int") + 1)
 
 
 def class_name_to_code(name: str | Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,6 +16,8 @@ def _text(value: object) -> str:
         return f"array({', '.join(map(_text, value))})"
     if isinstance(value, int):
         return f"{value}L" if abs(value) >= 2**31 - 1 else str(value)
+    if isinstance(value, str):
+        return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
     raise TypeError(type(value).__name__)
 
 
@@ -27,3 +29,9 @@ def constant_rows(rows: Sequence[dict]) -> Column:
 
 def constant_array(values: Sequence[int]) -> Column:
     return F.expr(_text(list(values)))
+
+
+def constant_table(df: DataFrame, columns: Sequence[str], rows: Sequence[tuple]) -> DataFrame:
+    """A few fixed rows as a table of the session of ``df``."""
+    values = ", ".join(f"({', '.join(map(_text, row))})" for row in rows)
+    return df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(columns)})")

@@ -138,7 +138,7 @@ def next_state(
     classified = classified.withColumn("draw", check_order(round_number, config.spec.seed))
     numbers = validation_numbers(classified, config.gate(round_number), config.spec.topics)
     # One row per topic: computed once, then a literal table.
-    numbers = state.sparkSession.createDataFrame(numbers.collect(), numbers.schema)
+    numbers = state.sparkSession.createDataFrame(numbers.toArrow())
     parts = [trained, route(classified, numbers, config.keep_negatives)]
     if config.active_learning:
         tied = F.size("full_topics") > 1

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from topicvote.constants import SAMPLE_DELTA, SAMPLE_MINIMUM, SAMPLE_Z, TOPICS
 from topicvote.functions.hashing import DEFAULT_SEED, P, draw_coefficients
-from topicvote.functions.literals import constant_array, constant_rows
+from topicvote.functions.literals import constant_array, constant_rows, constant_table
 
 
 def in_train() -> Column:
@@ -55,7 +55,7 @@ def training_class_counts(state: DataFrame, topics: Sequence[int] = TOPICS) -> D
     code = F.when(F.col("label").isin(*topics), F.col("label"))
     by_label = state.where(in_train()).groupBy(code.alias("label")).count()
     for_all = by_label.select("label", "count", F.explode(all_topics).alias("topic"))
-    topics_only = state.sparkSession.createDataFrame([(t,) for t in topics], "topic int").select(
+    topics_only = constant_table(state, ["topic"], [(t,) for t in topics]).select(
         F.lit(None).cast("int").alias("label"), F.lit(0).cast("bigint").alias("count"), "topic"
     )
     rows = for_all.unionByName(topics_only)

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from topicvote.constants import TOPICS
 from topicvote.functions.hashing import DEFAULT_SEED, draw
-from topicvote.operators.sampling import sample_per_group
+from topicvote.functions.literals import constant_table
+from topicvote.operators.sampling import required_sample_size, sample_per_group
 
 STATE_COLUMNS = ["doc_id", "sim", "row_hash", "label", "original_label", "in_train", "neg_topics"]
 
@@ -24,8 +25,6 @@ def check_order(round_number: int, seed: int | str = DEFAULT_SEED, hashed: str =
 
 def sample_sizes(classified: DataFrame) -> DataFrame:
     """(verdict, num_classified, sample_size)"""
-    from topicvote.operators.sampling import required_sample_size
-
     sizes = classified.groupBy("verdict").agg(F.count("*").alias("num_classified"))
     return sizes.withColumn("sample_size", required_sample_size("num_classified"))
 
@@ -47,7 +46,7 @@ def validation_numbers(
         F.sum("correct").alias("num_correct"),
         F.max(F.struct("draw", "doc_id")).alias("cut"),
     )
-    all_topics = classified.sparkSession.createDataFrame([(t,) for t in topics], "topic int")
+    all_topics = constant_table(classified, ["topic"], [(t,) for t in topics])
     joined = (
         all_topics.join(F.broadcast(sizes), F.col("topic") == sizes["verdict"], "left")
         .drop("verdict")

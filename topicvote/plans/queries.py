@@ -338,7 +338,10 @@ def _coded(spark, folder) -> DataFrame:
 @query
 def ensemble_verdict(spark, folder):
     return _coded(spark, folder).select(
-        "doc_id", "label", F.size("full_topics").alias("n_full"), "verdict"
+        "doc_id",
+        "label",
+        F.size("full_topics").alias("n_full"),
+        F.coalesce("verdict", F.lit(0)).alias("verdict"),
     )
 
 
@@ -492,7 +495,7 @@ def _vote_cells(spark, folder) -> DataFrame:
 @query
 def verdict_flags(spark, folder):
     coded = _coded(spark, folder).select("doc_id", "sim", "label", "verdict")
-    return metrics.compare_flags(coded)
+    return metrics.compare_flags(coded).na.fill(0, ["verdict"])
 
 
 @query
@@ -541,7 +544,7 @@ def pr_comparison(spark, folder):
 
 @query
 def pr_comparison_means(spark, folder):
-    return metrics.with_column_means(_both_models(spark, folder), "topic")
+    return metrics.with_column_means(_both_models(spark, folder), "topic").na.fill(0, ["topic"])
 
 
 @query
@@ -605,7 +608,7 @@ def variant_summary(spark, folder):
     cells = metrics.confusion_cells(final, by=["sim"])
     summary = metrics.variant_summary(cells, numbers)
     rest = [c for c in summary.columns if c not in ("precision", "recall")]
-    return summary.select(*rest, *six("precision", "recall"))
+    return summary.select(*rest, *six("precision", "recall")).na.fill(0, ["topic"])
 
 
 @query
@@ -721,7 +724,7 @@ def json_flatten(spark, folder):
     docs = F.filter(F.array(doc), lambda d: even)
     response = F.struct(docs.alias("docs"), F.struct(F.col("page_id").alias("hits")).alias("meta"))
     saved = pages.select("page_id", F.to_json(F.struct(response.alias("response"))).alias("json"))
-    return flatten_response(saved)
+    return flatten_response(saved).withColumn("word_count", F.col("word_count").cast("string"))
 
 
 @query
