@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicvote.functions.text import tokenize
-from topicvote.session import materialise
 
 VOCABULARY_SIZE = 262_144
 
@@ -30,20 +29,15 @@ def with_words(corpus: DataFrame, text: str = "text") -> DataFrame:
 def term_statistics(docs: DataFrame, words: str = "words") -> DataFrame:
     """(term, df, tc): documents with the term and its total count, in one pass.
 
-    Both numbers add up map-side, so a term that is in every document costs one row per task.
+    A document contributes its distinct terms and then all of its words. Both numbers add up
+    map-side, so a term that is in every document costs one row per task.
     """
-    occurrences = F.transform(
-        F.col(words),
-        lambda w: F.struct(w.alias("term"), F.lit(1).alias("tc"), F.lit(0).alias("df")),
+    both = docs.select(F.array_distinct(words).alias("once"), words).select(
+        F.size("once").alias("n_once"), F.posexplode(F.concat("once", words)).alias("at", "term")
     )
-    documents = F.transform(
-        F.array_distinct(words),
-        lambda w: F.struct(w.alias("term"), F.lit(0).alias("tc"), F.lit(1).alias("df")),
-    )
-    return (
-        docs.select(F.explode(F.concat(occurrences, documents)).alias("t"))
-        .groupBy("t.term")
-        .agg(F.sum("t.df").alias("df"), F.sum("t.tc").alias("tc"))
+    first = F.col("at") < F.col("n_once")
+    return both.groupBy("term").agg(
+        F.count_if(first).alias("df"), F.count_if(~first).alias("tc")
     )
 
 
@@ -94,16 +88,13 @@ def fit_vocabulary(docs: DataFrame, min_df: int = 5, max_df: float | None = None
                    size: int = VOCABULARY_SIZE) -> Vocabulary:
     """The terms are chosen by ``vocabulary_terms``. The count model is fitted on that table, one
     row per term, so the terms get to the JVM's dictionary without a detour."""
-    table = materialise(vocabulary_terms(docs, min_df, max_df, size).select("term", "df"), "terms")
-    one_each = table.select(F.array("term").alias("words"))
+    table = vocabulary_terms(docs, min_df, max_df, size).select("term", "df").toArrow()
+    one_each = docs.sparkSession.createDataFrame(table).select(F.array("term").alias("words"))
     model = CountVectorizer(
         inputCol="words", outputCol="raw_features", minDF=1.0, vocabSize=size
     ).fit(one_each)
     terms = model.vocabulary
-    frequencies = table.toArrow()
-    known = dict(
-        zip(frequencies.column("term").to_pylist(), frequencies.column("df").to_pylist(), strict=True)
-    )
+    known = dict(zip(table.column("term").to_pylist(), table.column("df").to_pylist(), strict=True))
     return Vocabulary(model, terms, np.array([known[t] for t in terms], dtype=np.int64), docs.count())
 
 

@@ -11,12 +11,11 @@ from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import NaiveBayes
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicvote.functions.hashing import P, draw_coefficients
+from topicvote.functions.hashing import draw
 from topicvote.functions.labels import index_to_label
-from topicvote.functions.literals import constant_rows
 from topicvote.operators.features import Vocabulary
 from topicvote.operators.sampling import EnsembleSpec, in_train, sampling_thresholds
 from topicvote.operators.scoring import LinearEnsemble
@@ -40,26 +39,41 @@ def multiclass_verdicts(vectors: DataFrame, fold: int, smoothing: float = 0.1) -
     )
 
 
-def _column_sums(rows: DataFrame, flags: list[str], n_terms: int, by: list[str]) -> dict:
-    """Sums of term counts per flag column, as vectors of the vocabulary's length."""
-    kept = rows.where(reduce(lambda a, b: a | b, [F.col(f) for f in flags]))
-    pairs = kept.select(*by, *flags, F.explode(F.arrays_zip("term_ids", "tfs")).alias("e"))
+FLAGS_PER_JOB = 24
+
+
+def _flagged_sums(rows: DataFrame, flags: dict[str, Column], n_terms: int) -> dict:
+    """For every flag: the term counts summed over the rows that carry it, and their number.
+
+    A row's flags are bits of one number, so an entry is read once for all of them. Every row
+    also counts itself, under the term -1.
+    """
+    bits = [F.shiftleft(f.cast("bigint"), k) for k, f in enumerate(flags.values())]
+    pairs = F.arrays_zip(
+        F.concat(F.array(F.lit(-1)), "term_ids").alias("term_id"),
+        F.concat(F.array(F.lit(1)), "tfs").alias("tf"),
+    )
+    entries = (
+        rows.select("term_ids", "tfs", reduce(Column.bitwiseOR, bits).alias("bits"))
+        .where(F.col("bits") != 0)
+        .select("bits", F.inline(pairs).alias("term_id", "tf"))
+    )
     sums = (
-        pairs.select(*by, *flags, F.col("e.term_ids").alias("term_id"), F.col("e.tfs").alias("tf"))
-        .groupBy(*by, "term_id")
-        .agg(*[F.sum(F.when(F.col(f), F.col("tf")).otherwise(0)).alias(f) for f in flags])
+        entries.groupBy("term_id")
+        .agg(
+            *[
+                F.sum(F.col("tf") * F.shiftright("bits", k).bitwiseAND(F.lit(1))).alias(name)
+                for k, name in enumerate(flags)
+            ]
+        )
         .toArrow()
     )
     terms = sums.column("term_id").to_numpy()
-    groups = sums.column(by[0]).to_numpy() if by else np.zeros(len(terms), dtype=int)
     out = {}
-    for flag in flags:
-        values = sums.column(flag).to_numpy()
-        for group in np.unique(groups):
-            vector = np.zeros(n_terms)
-            at = groups == group
-            vector[terms[at]] = values[at]
-            out[flag, int(group)] = vector
+    for name in flags:
+        vector = np.zeros(n_terms + 1)
+        vector[terms] = sums.column(name).to_numpy()
+        out[name] = vector[:-1], int(vector[-1])
     return out
 
 
@@ -85,57 +99,23 @@ def fit_ensemble(rows: DataFrame, vocabulary: Vocabulary, spec: EnsembleSpec) ->
         t: (in_train() | known(t)) & ~F.col("label").eqNullSafe(F.lit(t)) for t in active
     }
 
-    sizes: dict = {f"pos_{t}": plan[t]["label"] for t in active}
-    sizes.update({f"neg_{t}": plan[t]["non_label_all"] for t in whole})
-
-    def fixed_sums() -> dict:
-        """Positives of all topics and negatives of those that keep theirs."""
-        if not active:
-            return {}
-        is_topic = {t: in_train() & F.col("label").eqNullSafe(F.lit(t)) for t in active}
-        flags = {f"pos_{t}": is_topic[t] for t in active}
-        flags |= {f"neg_{t}": negative[t] for t in whole}
-        flagged = rows.select("term_ids", "tfs", *[c.alias(n) for n, c in flags.items()])
-        return _column_sums(flagged, list(flags), n_terms, [])
-
-    drawn = [f"neg_{t}" for t in rare]
-    if rare:
-        draws = []
-        for r, (i, j) in enumerate(reps):
-            one = {"rep": r}
-            for t in rare:
-                a, b = draw_coefficients(*spec.key(t, i, j))
-                one |= {f"a{t}": a, f"b{t}": b}
-            draws.append(one)
-        per_rep = rows.withColumn("d", F.explode(constant_rows(draws))).select(
-            F.col("d.rep").alias("rep"),
-            "term_ids",
-            "tfs",
-            *[
-                (
-                    negative[t]
-                    & (
-                        (F.col("row_hash") * F.col(f"d.a{t}") + F.col(f"d.b{t}")) % F.lit(P)
-                        < plan[t]["threshold"]
-                    )
-                ).alias(f"neg_{t}")
-                for t in rare
-            ],
-        )
-
-    def drawn_sums() -> dict:
-        return _column_sums(per_rep, drawn, n_terms, ["rep"]) if rare else {}
-
-    def drawn_counts() -> dict:
-        if not rare:
-            return {}
-        counts = per_rep.groupBy("rep").agg(*[F.count_if(F.col(f)).alias(f) for f in drawn])
-        return {(f, row["rep"]): row[f] for row in counts.collect() for f in drawn}
-
-    with ThreadPoolExecutor(3) as pool:
-        jobs = [pool.submit(job) for job in (fixed_sums, drawn_sums, drawn_counts)]
-        sums = jobs[0].result() | jobs[1].result()
-        drawn_sizes = jobs[2].result()
+    is_topic = {t: in_train() & F.col("label").eqNullSafe(F.lit(t)) for t in active}
+    flags = {f"pos_{t}": is_topic[t] for t in active}
+    flags |= {f"neg_{t}": negative[t] for t in whole}
+    for t in rare:
+        for i, j in reps:
+            key = spec.key(t, i, j)
+            name = "neg_" + "_".join(map(str, key))
+            flags[name] = negative[t] & (draw("row_hash", *key) < plan[t]["threshold"])
+    names = list(flags)
+    parts = [
+        {n: flags[n] for n in names[k : k + FLAGS_PER_JOB]}
+        for k in range(0, len(names), FLAGS_PER_JOB)
+    ]
+    sums: dict = {}
+    with ThreadPoolExecutor(4) as pool:
+        for part in pool.map(lambda p: _flagged_sums(rows, p, n_terms), parts):
+            sums |= part
 
     def log_weights(vector: np.ndarray) -> np.ndarray:
         weighted = vector * idf
@@ -156,18 +136,16 @@ def fit_ensemble(rows: DataFrame, vocabulary: Vocabulary, spec: EnsembleSpec) ->
             # Without positives nothing is coded, without negatives everything is.
             model_of += [add(zeros, np.inf if plan[t]["label"] else -np.inf)] * spec.votes
             continue
-        positive = log_weights(sums[f"pos_{t}", 0])
+        positive, n_pos = sums[f"pos_{t}"]
+        positive = log_weights(positive)
         models = {}
-        for r, (i, j) in enumerate(reps):
-            key = spec.key(t, i, j) if t in rare else t
+        for i, j in reps:
+            key = "_".join(map(str, spec.key(t, i, j))) if t in rare else str(t)
             if key not in models:
-                where = (f"neg_{t}", r) if t in rare else (f"neg_{t}", 0)
-                n_neg = drawn_sizes.get(where, 0) if t in rare else sizes[f"neg_{t}"]
+                negatives, n_neg = sums[f"neg_{key}"]
                 if n_neg:
-                    theta = idf * (positive - log_weights(sums.get(where, zeros)))
-                    prior = np.log(sizes[f"pos_{t}"] + spec.smoothing) - np.log(
-                        n_neg + spec.smoothing
-                    )
+                    theta = idf * (positive - log_weights(negatives))
+                    prior = np.log(n_pos + spec.smoothing) - np.log(n_neg + spec.smoothing)
                     models[key] = add(theta, prior)
                 else:
                     models[key] = add(zeros, np.inf)
