@@ -651,8 +651,8 @@ def oracle_sql() -> dict[str, str]:
             ],
             """SELECT g, n_verdicts, tp, round(tp / n_verdicts, 6) AS "precision",
                       round(tp / n, 6) AS recall,
-                      round(2 * round(tp / n_verdicts, 6) * round(tp / n, 6)
-                            / nullif(round(tp / n_verdicts, 6) + round(tp / n, 6), 0), 6) AS f1
+                      round(2 * (tp / n_verdicts) * (tp / n)
+                            / nullif(tp / n_verdicts + tp / n, 0), 6) AS f1
                FROM hits""",
         ),
         "ensemble_verdict": sql(
