@@ -115,7 +115,7 @@ def test_workflow_invariants(counts, variant):
     assert final.where("verdict IS NOT NULL").count() == trained - rows.where("sim <> 3").count()
 
 
-def test_bucketed_run_gives_the_same_and_joins_without_shuffle(spark, counts):
+def test_bucketed_run_gives_the_same(spark, counts):
     rows, vocabulary = counts
     spec = EnsembleSpec(outer=2, inner=1)
     plain = rounds.run(rows, vocabulary, rounds.WorkflowConfig("v3", rounds=2, spec=spec))
@@ -123,6 +123,18 @@ def test_bucketed_run_gives_the_same_and_joins_without_shuffle(spark, counts):
     assert states(plain) == states(bucketed)
 
 
+def test_larger_corpora_are_bucketed(spark, counts, monkeypatch):
+    rows, vocabulary = counts
+    written = []
+    monkeypatch.setattr(rounds, "PLAIN_DOCUMENTS", 10)
+    original = rounds.materialise_bucketed
+    monkeypatch.setattr(
+        rounds, "materialise_bucketed", lambda *a: written.append(a[1:]) or original(*a)
+    )
+    rounds.run(rows, vocabulary, rounds.WorkflowConfig("v0", rounds=1, spec=EnsembleSpec(outer=1, inner=1)))
+    assert [w[0] for w in written] == ["state", "counts", "state"] and written[0][2] == 4
+
+
 def test_bucketed_tables_join_in_place(spark, counts):
     from topicvote.session import materialise_bucketed
 

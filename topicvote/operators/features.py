@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicvote.functions.text import tokenize
+from topicvote.session import materialise
 
 VOCABULARY_SIZE = 262_144
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def with_words(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -48,12 +50,28 @@ def vocabulary_terms(
     size: int = VOCABULARY_SIZE,
     words: str = "words",
 ) -> DataFrame:
-    """The ``size`` most frequent terms with at least ``min_df`` (and at most ``max_df``)
-    documents; equal counts in the order of the terms."""
+    """(term, df, tc) of the ``size`` most frequent terms with at least ``min_df`` (and at most
+    ``max_df``) documents; equal counts in the order of the terms.
+
+    The final ranking runs in one task. Where there are more terms than wanted, the numbers of
+    terms per power of two of the count tell which of them cannot be among the first, and only
+    the others are ranked.
+    """
     stats = term_statistics(docs, words).where(F.col("df") >= min_df)
     if max_df is not None:
         stats = stats.where(F.col("df") <= max_df)
-    return stats.orderBy(F.desc("tc"), "term").limit(size)
+    stats = materialise(stats, "terms")
+    power = F.floor(F.log2("tc")).cast("int")
+    counts = {r["power"]: r["n"] for r in
+              stats.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
+    if sum(counts.values()) <= size:
+        return stats
+    above = 0
+    for least in sorted(counts, reverse=True):
+        above += counts[least]
+        if above >= size:
+            break
+    return stats.where(F.col("tc") >= 2**least).orderBy(F.desc("tc"), "term").limit(size)
 
 
 @dataclass
@@ -74,14 +92,16 @@ class Vocabulary:
         return len(self.terms)
 
     def table(self, df: DataFrame) -> DataFrame:
-        """(term_id, term, df, idf)"""
+        """(term_id, term, df, idf), broadcast in a join if its measured size allows it."""
         columns = {
             "term_id": np.arange(len(self), dtype=np.int32),
             "term": self.terms,
             "df": self.df,
             "idf": self.idf,
         }
-        return df.sparkSession.createDataFrame(pa.table(columns))
+        table = pa.table(columns)
+        out = df.sparkSession.createDataFrame(table)
+        return F.broadcast(out) if table.nbytes <= BROADCAST_BYTES else out
 
 
 def fit_vocabulary(docs: DataFrame, min_df: int = 5, max_df: float | None = None,
@@ -133,11 +153,7 @@ def entries(counted: DataFrame, *keep: str | Column) -> DataFrame:
 
 
 def tfidf_terms(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(doc_id, term, tf, tfidf) for every document and vocabulary term in it.
-
-    The vocabulary has a bounded number of rows, and it is left to the planner whether its bytes
-    allow a broadcast.
-    """
+    """(doc_id, term, tf, tfidf) for every document and vocabulary term in it."""
     counted = with_arrays(count_vectors(docs.select("doc_id", "words"), vocabulary))
     rows = entries(counted, "doc_id")
     return rows.join(vocabulary.table(docs), "term_id").select(

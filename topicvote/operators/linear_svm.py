@@ -25,6 +25,7 @@ def fit_ensemble(
     rows: DataFrame,
     vocabulary: Vocabulary,
     spec: EnsembleSpec,
+    state: DataFrame | None = None,
     max_iter: int = 10,
     reg_param: float = 0.1,
     threads: int = 8,
@@ -33,7 +34,7 @@ def fit_ensemble(
 
     The vectors carry idf-weighted counts; the weights of the result apply to plain counts.
     """
-    plan = sampling_thresholds(rows, spec)
+    plan = sampling_thresholds(rows if state is None else state, spec)
     n_terms = len(vocabulary)
     has_known = "neg_topics" in rows.columns
     used = in_train() | (F.size("neg_topics") > 0) if has_known else in_train()

@@ -77,13 +77,18 @@ def _flagged_sums(rows: DataFrame, flags: dict[str, Column], n_terms: int) -> di
     return out
 
 
-def fit_ensemble(rows: DataFrame, vocabulary: Vocabulary, spec: EnsembleSpec) -> LinearEnsemble:
+def fit_ensemble(
+    rows: DataFrame,
+    vocabulary: Vocabulary,
+    spec: EnsembleSpec,
+    state: DataFrame | None = None,
+) -> LinearEnsemble:
     """One binary model per topic and replicate.
 
-    ``rows`` has label, in_train, row_hash, term_ids, tfs and maybe neg_topics. What reaches the
-    driver is one number per model and term.
+    ``rows`` has label, in_train, row_hash, term_ids, tfs and maybe neg_topics; ``state`` may give
+    the same rows without the counts. What reaches the driver is one number per model and term.
     """
-    plan = sampling_thresholds(rows, spec)
+    plan = sampling_thresholds(rows if state is None else state, spec)
     idf, n_terms = vocabulary.idf, len(vocabulary)
     active = [t for t in spec.topics if plan[t]["label"] > 0 and plan[t]["non_label_all"] > 0]
     rare = [t for t in active if plan[t]["threshold"] is not None]

@@ -27,7 +27,10 @@ from topicvote.operators.validation import (
 )
 from topicvote.session import materialise, materialise_bucketed
 
-Learner = Callable[[DataFrame, Vocabulary, EnsembleSpec], LinearEnsemble]
+Learner = Callable[[DataFrame, Vocabulary, EnsembleSpec, DataFrame], LinearEnsemble]
+
+# Up to here the state is small enough to be broadcast to the counts in every round.
+PLAIN_DOCUMENTS = 100_000
 
 
 @dataclass
@@ -79,7 +82,7 @@ def classify(
     """Fits the ensemble of a round and adds ``full_topics`` and ``verdict`` to the test rows."""
     rows = state.join(counted.select("doc_id", "raw_features"), "doc_id")
     rows = with_arrays(rows)
-    ensemble = config.learner(rows, vocabulary, config.spec)
+    ensemble = config.learner(rows, vocabulary, config.spec, state)
     return classify_with(rows.where(F.col("in_train") == 0), ensemble, config.missing_vote)
 
 
@@ -156,18 +159,21 @@ def run(
 ) -> list[RoundResult]:
     """All rounds of one fold. ``counted``: doc_id, sim, label, raw_features.
 
-    With ``config.buckets`` the counts and the state are bucketed by document, and the join that
-    starts every round needs no shuffle of the counts.
+    The counts and the state of a larger corpus (or one with ``config.buckets`` set) are bucketed
+    by document, and the join that starts every round needs no shuffle of the counts.
     """
+    buckets = config.buckets
+    if buckets is None and vocabulary.n_docs > PLAIN_DOCUMENTS:
+        buckets = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def write(df: DataFrame, name: str) -> DataFrame:
-        if config.buckets is None:
+        if buckets is None:
             return materialise(df, name)
-        return materialise_bucketed(df, name, "doc_id", config.buckets)
+        return materialise_bucketed(df, name, "doc_id", buckets)
 
     corpus = counted.select("doc_id", "sim", "label")
     state = write(start_state(corpus, config.fold, config.spec.seed).select(*STATE_COLUMNS), "state")
-    if config.buckets is not None:
+    if buckets is not None:
         counted = write(counted, "counts")
     results = []
     for number in range(1, config.rounds + 1):

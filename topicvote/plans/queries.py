@@ -128,7 +128,7 @@ def start_corpus_csv(spark, folder):
         "doc_id", "majortopic", F.lit("20240101").alias("date"), "text", "sim"
     )
     write_csv(rows, path, sep=";")
-    return read_csv(spark, path, START_CORPUS, sep=";")
+    return read_csv(spark, path, START_CORPUS, sep=";", line_breaks=True)
 
 
 @query
@@ -758,7 +758,7 @@ def svm_workflow(spark, folder):
 
 @query
 def svm_multiclass(spark, folder):
-    vectors = dense_vectors(spread(read_table(spark, folder, "embeddings")), "embedding")
+    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
     train = F.col("vec_id") % 3 != 2
     coded = linear_svm.multiclass_verdicts(vectors, train)
     return coded.select("vec_id", "label", "verdict")
@@ -766,7 +766,7 @@ def svm_multiclass(spark, folder):
 
 @query
 def svm_80_20(spark, folder):
-    vectors = dense_vectors(spread(read_table(spark, folder, "embeddings")), "embedding")
+    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
     train = split_by_share("vec_id", 0.8) == "train"
     coded = linear_svm.multiclass_verdicts(vectors, train)
     return coded.select("vec_id", "label", "verdict")
@@ -774,13 +774,13 @@ def svm_80_20(spark, folder):
 
 @query
 def lasso_cv(spark, folder):
-    vectors = dense_vectors(spread(read_table(spark, folder, "embeddings")), "embedding")
+    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
     train = split_by_share("vec_id", 0.8) == "train"
     return baselines.lasso_verdicts(vectors, train).select("vec_id", "label", "verdict")
 
 
 @query
 def forest(spark, folder):
-    vectors = dense_vectors(spread(read_table(spark, folder, "embeddings")), "embedding")
+    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
     train = split_by_share("vec_id", 0.8) == "train"
     return baselines.forest_verdicts(vectors, train).select("vec_id", "label", "verdict")

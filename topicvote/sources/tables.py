@@ -31,10 +31,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str, sep: str = ";") -> DataFrame:
-    """CSV with a header and a declared schema; quoted fields may contain line breaks."""
+def read_csv(
+    spark: SparkSession,
+    path: str,
+    schema: T.StructType | str,
+    sep: str = ";",
+    line_breaks: bool = False,
+) -> DataFrame:
+    """CSV with a header and a declared schema. ``line_breaks`` allows them inside quoted fields;
+    a file then cannot be split between tasks."""
     return spark.read.schema(schema).csv(
-        path, sep=sep, header=True, quote='"', escape='"', multiLine=True
+        path, sep=sep, header=True, quote='"', escape='"', multiLine=line_breaks
     )
 
 
