@@ -50,8 +50,8 @@ def test_vocabulary_and_tfidf(spark):
         [(1, ["aa", "aa", "bb"]), (2, ["aa"]), (3, ["bb", "cc"]), (4, [])],
         "doc_id int, words array<string>",
     )
-    assert [tuple(r) for r in vocabulary_terms(docs, min_df=2).collect()] == [("aa", 2, 3), ("bb", 2, 2)]
-    assert [r.term for r in vocabulary_terms(docs, min_df=1, size=2).collect()] == ["aa", "bb"]
+    assert {tuple(r) for r in vocabulary_terms(docs, min_df=2).collect()} == {("aa", 2, 3), ("bb", 2, 2)}
+    assert {r.term for r in vocabulary_terms(docs, min_df=1, size=2).collect()} == {"aa", "bb"}
     assert {r.term for r in vocabulary_terms(docs, min_df=1, max_df=1).collect()} == {"cc"}
     rows = {(r.doc_id, r.term): r for r in tfidf_terms(docs, fit_vocabulary(docs, min_df=2)).collect()}
     assert rows[1, "aa"].tf == 2
@@ -59,6 +59,15 @@ def test_vocabulary_and_tfidf(spark):
     assert (4, "aa") not in rows
 
 
+@pytest.mark.parametrize("size", [1, 3, 10, 25, 40])
+def test_vocabulary_cut_matches_a_full_sort(spark, size):
+    counts = {f"t{n:02d}": n // 3 + 1 for n in range(30)}
+    words = [t for t, c in counts.items() for _ in range(c)]
+    docs = spark.createDataFrame([(1, words)], "doc_id int, words array<string>")
+    expected = sorted(counts, key=lambda t: (-counts[t], t))[:size]
+    assert {r.term for r in vocabulary_terms(docs, min_df=1, size=size).collect()} == set(expected)
+
+
 def test_null_rows_are_dropped(spark):
     df = spark.createDataFrame([(1, None), (2, "some text")], "doc_id int, text string")
     assert [r.doc_id for r in with_words(df).collect()] == [2]
