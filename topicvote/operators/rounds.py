@@ -6,7 +6,8 @@ each one, so plans do not grow. Term counts are written once, apart from the sta
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -190,6 +191,15 @@ def run(
     return results
 
 
+def run_all(
+    counted: DataFrame, vocabulary: Vocabulary, configs: Sequence[WorkflowConfig], threads: int = 4
+) -> list[list[RoundResult]]:
+    """Runs of several folds or variants. They do not depend on each other and keep their tables
+    apart, so their jobs share the cluster."""
+    with ThreadPoolExecutor(threads) as pool:
+        return list(pool.map(lambda config: run(counted, vocabulary, config), configs))
+
+
 def known_negatives(state: DataFrame) -> DataFrame:
     """(doc_id, topic) pairs that a check rejected."""
     return state.select("doc_id", F.explode("neg_topics").alias("topic"))

@@ -729,6 +729,16 @@ def oracle_sql() -> dict[str, str]:
             + ", ".join(f"count(*) FILTER (label = {t}) AS actual_{t}" for t in TOPICS)
             + " FROM nb_rows GROUP BY verdict",
         ),
+        "class_report": sql(
+            NB_ALL,
+            """SELECT topic, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp,
+                      CAST(n_items AS BIGINT) AS n_items,
+                      round(tp / nullif(tp + fp, 0), 6) AS "precision",
+                      round(tp / n_items, 6) AS recall,
+                      CASE WHEN tp > 0 THEN round(2 * tp / (tp + fp + n_items), 6) END AS f1
+               FROM (SELECT topic, sum(tp) AS tp, sum(fp) AS fp, sum(n_items) AS n_items
+                     FROM pr_nb GROUP BY topic)""",
+        ),
         "model_wins": sql(
             BOTH,
             """SELECT count(*) FILTER (precision_vote > precision_nb) AS precision_wins,

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from topicvote.constants import TOPICS, VARIANT_NAMES
@@ -12,13 +15,17 @@ from topicvote.functions import text as tx
 from topicvote.functions.dates import compact_date, parse_mdy, year_month
 from topicvote.functions.hashing import split_by_share, split_number
 from topicvote.functions.labels import label_index, recode_topic, with_category
+from topicvote.functions.stemmer import stem_word
 from topicvote.operators import audit, baselines, linear_svm, metrics, naive_bayes, rounds, validation, votes
 from topicvote.operators import corpus as start
 from topicvote.operators.features import (
+    count_vectors,
     dense_vectors,
+    entries,
     tfidf_terms,
     tfidf_vectors,
     vocabulary_terms,
+    with_arrays,
 )
 from topicvote.operators.features import fit_vocabulary as fit_terms
 from topicvote.operators.sampling import (
@@ -65,6 +72,10 @@ def six(*names: str):
     return [F.round(n, 6).alias(n) for n in names]
 
 
+def _union(parts) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
 # --- corpus ---------------------------------------------------------------------------------
 
 
@@ -166,8 +177,6 @@ def stopword_filter(spark, folder):
 
 @query
 def stem_vocabulary(spark, folder):
-    from topicvote.functions.stemmer import stem_word
-
     docs = spread(read_table(spark, folder, "documents"))
     terms = docs.select(F.explode(tx.feature_tokens("text", stem=False)).alias("term")).distinct()
     return terms.select("term", stem_word("term").alias("stem"))
@@ -192,10 +201,6 @@ def top_terms_by_topic(spark, folder):
 def top_terms(docs: DataFrame, k: int = 10) -> DataFrame:
     """The k terms with the largest summed TF-IDF per topic. Sums are per (topic, term), so the
     ranking sees a vocabulary per topic and no documents."""
-    from pyspark.sql import Window as W
-
-    from topicvote.operators.features import count_vectors, entries, with_arrays
-
     vocabulary = fit_terms(docs)
     counts = with_arrays(count_vectors(docs.select("label", "words"), vocabulary))
     sums = entries(counts, "label").groupBy("label", "term_id").agg(F.sum("tf").alias("tf"))
@@ -250,11 +255,8 @@ def negative_sample_shared(spark, folder):
 def _nb_multiclass(spark, folder, folds=(1, 2, 3)) -> DataFrame:
     rows, vocabulary = counted(spark, folder)
     vectors = tfidf_vectors(rows, vocabulary)
-    parts = [naive_bayes.multiclass_verdicts(vectors, f) for f in folds]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    with ThreadPoolExecutor(3) as pool:
+        return _union(pool.map(lambda f: naive_bayes.multiclass_verdicts(vectors, f), folds))
 
 
 @query
@@ -481,15 +483,16 @@ def _nb_cells(spark, folder) -> DataFrame:
 def _vote_cells(spark, folder) -> DataFrame:
     """The same counts of the unanimous votes, over all folds."""
     rows, vocabulary = counted(spark, folder)
-    parts = []
-    for fold in (1, 2, 3):
-        state = rounds.start_state(rounds.with_arrays(rows), fold)
+
+    def cells(fold: int) -> DataFrame:
+        state = rounds.start_state(with_arrays(rows), fold)
         ensemble = naive_bayes.fit_ensemble(state, vocabulary, SPEC)
-        coded = ensemble_verdicts(
-            state.where(F.col("in_train") == 0), ensemble, keep=["doc_id", "sim", "label"]
-        )
-        parts.append(metrics.confusion_cells(coded, by=["sim"]))
-    return materialise(parts[0].unionByName(parts[1]).unionByName(parts[2]), "cells")
+        test = state.where(F.col("in_train") == 0)
+        coded = ensemble_verdicts(test, ensemble, keep=["doc_id", "sim", "label"])
+        return metrics.confusion_cells(coded, by=["sim"])
+
+    with ThreadPoolExecutor(3) as pool:
+        return materialise(_union(pool.map(cells, (1, 2, 3))), "cells")
 
 
 @query
@@ -521,6 +524,14 @@ def confusion_matrix(spark, folder):
     return metrics.confusion_matrix(_nb_cells(spark, folder), TOPICS)
 
 
+@query
+def class_report(spark, folder):
+    """Precision, recall and F1 of every topic, folds pooled."""
+    cells = _nb_cells(spark, folder).groupBy("topic", "verdict").agg(F.sum("n").alias("n"))
+    report = metrics.pr_by_topic(cells).withColumn("f1", metrics.f1())
+    return report.select("topic", "tp", "fp", "n_items", *six("precision", "recall", "f1"))
+
+
 def _both_models(spark, folder) -> DataFrame:
     return metrics.side_by_side(
         {
@@ -550,8 +561,6 @@ def pr_comparison_means(spark, folder):
 @query
 def pr_highlights(spark, folder):
     """Named topics of at least 0.8 precision or 0.5 recall, best first within a metric."""
-    from pyspark.sql import Window as W
-
     wide = materialise(_both_models(spark, folder), "pr")
     parts = []
     for metric, least in (("precision", 0.8), ("recall", 0.5)):
@@ -585,37 +594,30 @@ def metrics_wide(spark, folder):
     return wide.select("topic", *six(*[c for c in wide.columns if c != "topic"]))
 
 
-def _all_folds(spark, folder, variant: str, n_rounds: int) -> tuple[DataFrame, DataFrame]:
-    """(final verdicts, counters of all rounds) of the three folds."""
+def _runs(spark, folder, variants, n_rounds: int) -> list[tuple[int, list]]:
+    """(fold, rounds) of every variant and fold."""
     rows, vocabulary = counted(spark, folder)
-    finals, numbers = [], []
-    for fold in (1, 2, 3):
-        config = rounds.WorkflowConfig(variant=variant, fold=fold, rounds=n_rounds)
-        results = rounds.run(rows, vocabulary, config)
-        finals.append(rounds.final_verdicts(results[-1].state, fold))
-        numbers += [r.numbers for r in results]
-    final, counters = finals[0], numbers[0]
-    for part in finals[1:]:
-        final = final.unionByName(part)
-    for part in numbers[1:]:
-        counters = counters.unionByName(part)
-    return final, counters
+    configs = [
+        rounds.WorkflowConfig(variant=v, fold=f, rounds=n_rounds) for v in variants for f in (1, 2, 3)
+    ]
+    results = rounds.run_all(rows, vocabulary, configs)
+    return [(c.fold, r) for c, r in zip(configs, results, strict=True)]
 
 
 @query
 def variant_summary(spark, folder):
-    final, numbers = _all_folds(spark, folder, "v3", 2)
-    cells = metrics.confusion_cells(final, by=["sim"])
-    summary = metrics.variant_summary(cells, numbers)
+    runs = _runs(spark, folder, ["v3"], 2)
+    final = _union(rounds.final_verdicts(done[-1].state, fold) for fold, done in runs)
+    numbers = _union(r.numbers for _, done in runs for r in done)
+    summary = metrics.variant_summary(metrics.confusion_cells(final, by=["sim"]), numbers)
     rest = [c for c in summary.columns if c not in ("precision", "recall")]
     return summary.select(*rest, *six("precision", "recall")).na.fill(0, ["topic"])
 
 
 @query
 def convergence(spark, folder):
-    _, basic = _all_folds(spark, folder, "v1", 2)
-    _, machine = _all_folds(spark, folder, "v0", 2)
-    rows = metrics.convergence(basic.unionByName(machine))
+    runs = _runs(spark, folder, ["v0", "v1"], 2)
+    rows = metrics.convergence(_union(r.numbers for _, done in runs for r in done))
     names = ["num_classified", "num_added_to_training", "num_sample"]
     return rows.select("variant", "round", *six(*names))
 
