@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from topicvote.session import ship_package
+
 VOWELS = "aeiouy"
 DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
 LI_ENDINGS = "cdeghkmnrt"
@@ -165,12 +167,15 @@ def _stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 def stem_text(text: str | Column) -> Column:
     """Stems the words between blanks."""
+    ship_package()
     return F.pandas_udf(_stem_texts, "string")(text)
 
 
 def stem_tokens(tokens: str | Column) -> Column:
+    ship_package()
     return F.pandas_udf(_stem_lists, "array<string>")(tokens)
 
 
 def stem_word(word: str | Column) -> Column:
+    ship_package()
     return F.pandas_udf(_stem_words, "string")(word)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from topicvote.functions.literals import constant_rows
 from topicvote.operators.sampling import EnsembleSpec
+from topicvote.session import ship_package
 
 SLICE_BYTES = 256 * 1024 * 1024
 BLOCK_ENTRIES = 1 << 16
@@ -65,6 +66,7 @@ def score_votes(
 ) -> DataFrame:
     """The kept columns and ``model_votes``, one 0/1 per distinct model."""
     spark = counted.sparkSession
+    ship_package(spark)
     n_terms, n_models = ensemble.weights.shape
     width = max(1, slice_bytes // (8 * max(n_terms, 1)))
     kept = [f for f in counted.schema.fields if f.name in keep]

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def get_session(app_name: str = "topicvote", master: str | None = None, **conf: str) -> SparkSession:
@@ -27,6 +30,18 @@ def get_session(app_name: str = "topicvote", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
+def ship_package(spark: SparkSession | None = None) -> None:
+    """Makes this package importable in the Python workers of the application, once."""
+    spark = spark or SparkSession.active()
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        package = Path(__file__).resolve().parent
+        target = Path(tempfile.mkdtemp(prefix="topicvote-")) / package.name
+        archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+        spark.sparkContext.addPyFile(archive)
+        _shipped.add(app)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; in local mode a temporary one where it is unset."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
