@@ -150,6 +150,11 @@ def _cells(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(cells), np.concatenate(owners)
 
 
+def _distance(left: np.ndarray, right) -> np.ndarray:
+    """Differing bits; numpy would count those of the absolute value of a signed number."""
+    return np.bitwise_count((left ^ right).view(np.uint64))
+
+
 def _absorb(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     """Links that connect what is connected among ``fps``: every fingerprint is compared with
     those not reached yet, so a dense group costs one comparison for each member."""
@@ -158,7 +163,7 @@ def _absorb(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
         if not frontier:
             frontier, open_ = [open_[0]], open_[1:]
         here = frontier.pop()
-        near = np.bitwise_count(open_ ^ here) <= bits
+        near = _distance(open_, here) <= bits
         found = open_[near]
         links += [(int(here), int(x)) for x in found]
         frontier += list(found)
@@ -178,7 +183,7 @@ def _links(cells: np.ndarray, fps: np.ndarray, bits: int) -> np.ndarray:
         if not same.any():
             break
         a, b = f[:-lag][same], f[lag:][same]
-        near = np.bitwise_count(a ^ b) <= bits
+        near = _distance(a, b) <= bits
         found.append(np.column_stack([a[near], b[near]]))
     for k in np.flatnonzero(sizes > SHORT_RUN):
         pairs = _absorb(fps[edge[k] : edge[k + 1]], bits)
