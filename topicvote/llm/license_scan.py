@@ -74,10 +74,10 @@ KNOWN = (
 )
 # Spellings that mean the same, as (pattern on small letters, replacement).
 SPELLINGS = (
-    (r"\blicence", "license"),
+    ("licence", "license"),
     (r"\bv(?:\.|ersion) ?([0-9])", "version $1"),
     (r"\bhttps?://(?:www\.)?", ""),
-    (r"\bsub-licen[cs]e", "sublicense"),
+    (r"\bsub-license", "sublicense"),
     (r"\bnon-infringement", "noninfringement"),
     (r"©|\(c\)", "copyright"),
 )
