@@ -16,7 +16,6 @@ every score is 0.5, which is a pass. Ids, labels, language and source are never
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -31,16 +30,15 @@ from topicvote.session import ship_package
 
 WORD_SLOTS = 1 << 15
 FACTORS = 8
-SAMPLE = 20_000
-EPOCHS = 4
+SAMPLE = 6_000
+EPOCHS = 6
 BATCH = 256
 RATE = 0.02
 DECAY = 1e-4
-MANY = 1 << 16
 
 SIGNS = b"#*$%&|<>"
 FIGURES = 14
-UPPER = re.compile(rb"[A-Z]")
+
 
 
 def _share(part: float, whole: float) -> float:
@@ -206,7 +204,9 @@ def fit(
     found = map_rows(joined, run, f"doc_id {kind}, label int, places binary, vals binary").collect()
     found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["places"]), bytes(r["vals"])))
     rows = [(np.frombuffer(r["places"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in found]
-    return train(rows, np.array([r["label"] for r in found], np.float64))
+    values = np.array([r["label"] for r in found], np.float64)
+    del found
+    return train(rows, values)
 
 
 def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
