@@ -5,7 +5,8 @@ from topicvote.constants import STOPWORDS
 from topicvote.functions import text as tx
 from topicvote.functions.dates import compact_date, parse_mdy, year_month
 from topicvote.functions.labels import class_name_to_code, index_to_label, label_index, recode_topic
-from topicvote.functions.stemmer import stem
+from topicvote.functions.stemmer import stem, stem_text, stem_tokens
+from topicvote.operators.features import trimmed_counts
 
 
 def value(spark, column, **cells):
@@ -31,7 +32,8 @@ def test_clean_text_stems_and_filters_again(spark):
 
 @pytest.mark.parametrize(
     "text, left",
-    [("the cat", " cat"), ("thecat", "thecat"), ("über an", "über "), ("the–cat", "–cat"), ("", "")],
+    [("the cat", " cat"), ("thecat", "thecat"), ("über an", "über "), ("the–cat", "–cat"), ("", ""),
+     ("i don't know she's", "  know "), ("'tis cat's", "'tis cat's"), ("she'd've", "'ve")],
 )
 def test_remove_words(spark, text, left):
     assert value(spark, tx.remove_words("t"), t=text) == left
@@ -94,3 +96,28 @@ def test_label_positions(spark):
 
 def test_class_names(spark):
     assert value(spark, class_name_to_code("c"), c="Class: 12") == 12
+
+
+def test_tokens_are_measured_in_utf16_units(spark):
+    assert value(spark, tx.tokenize("t"), t="a \U0001f600 é bc") == ["\U0001f600", "bc"]
+
+
+def test_titles_lose_the_punctuation_of_any_script(spark):
+    assert value(spark, tx.query_title("t"), t="“Costs” rise by $5 – taxes") == "costs+rise+$5++taxes"
+
+
+def test_stemming_keeps_nulls_blanks_and_order(spark):
+    rows = [("running  dogs ",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "t string").coalesce(1)
+    assert [r[0] for r in df.select(stem_text("t")).collect()] == ["run  dog ", None, ""]
+    df = spark.createDataFrame([(["running", "dogs"],), (None,), ([],)], "t array<string>").coalesce(1)
+    assert [r[0] for r in df.select(stem_tokens("t")).collect()] == [["run", "dog"], None, []]
+
+
+def test_trimmed_counts_have_no_cap(spark, monkeypatch):
+    monkeypatch.setattr("topicvote.operators.features.VOCABULARY_SIZE", 2)
+    rows = [(i, ["a", "b", "c", "d", "d", f"x{i}"]) for i in range(6)] + [(9, ["e"])]
+    for limit in (1 << 26, 0):
+        monkeypatch.setattr("topicvote.operators.features.BROADCAST_BYTES", limit)
+        got = trimmed_counts(spark.createDataFrame(rows, "doc_id bigint, words array<string>"), 2, 0.9).collect()
+        assert {tuple(r) for r in got} == {(i, t, 1 + (t == "d")) for i in range(6) for t in "abcd"}

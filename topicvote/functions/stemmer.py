@@ -7,10 +7,10 @@ bounded cache per worker means each distinct word is worked out about once.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -150,32 +150,34 @@ def stem(word: str) -> str:
     return word.lower()
 
 
-def _stem_texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for texts in batches:
-        yield texts.map(lambda t: None if t is None else " ".join(map(stem, t.split(" "))))
+def _stem_values(words: pa.Array) -> pa.Array:
+    """Stems each distinct word of a batch once."""
+    coded = words.dictionary_encode()
+    stems = pa.array([stem(w) for w in coded.dictionary.to_pylist()], pa.string())
+    return stems.take(coded.indices)
 
 
-def _stem_lists(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for tokens in batches:
-        yield tokens.map(lambda ws: None if ws is None else [stem(w) for w in ws])
+def _stem_lists(tokens: pa.Array) -> pa.Array:
+    whole = pa.concat_arrays([tokens])
+    return pa.ListArray.from_arrays(whole.offsets, _stem_values(whole.values), mask=whole.is_null())
 
 
-def _stem_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for words in batches:
-        yield words.map(stem, na_action="ignore")
+def _stem_texts(texts: pa.Array) -> pa.Array:
+    """Words are what stands between single blanks."""
+    return pc.binary_join(_stem_lists(pc.split_pattern(texts, " ")), " ")
 
 
 def stem_text(text: str | Column) -> Column:
     """Stems the words between blanks."""
     ship_package()
-    return F.pandas_udf(_stem_texts, "string")(text)
+    return F.arrow_udf(_stem_texts, "string")(text)
 
 
 def stem_tokens(tokens: str | Column) -> Column:
     ship_package()
-    return F.pandas_udf(_stem_lists, "array<string>")(tokens)
+    return F.arrow_udf(_stem_lists, "array<string>")(tokens)
 
 
 def stem_word(word: str | Column) -> Column:
     ship_package()
-    return F.pandas_udf(_stem_words, "string")(word)
+    return F.arrow_udf(_stem_values, "string")(word)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -9,8 +10,9 @@ from pyspark.sql import functions as F
 
 from topicvote.constants import DELETED_CHARACTERS, STOPWORDS
 
-# A word is a run of letters, digits and underscores in any script.
-WORD_OR_GAP = r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"
+# A word is a run of letters, digits and underscores in any script, with single apostrophes inside.
+WORD_OR_GAP = r"([\p{L}\p{N}_]+(?:'[\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+)"
+BEYOND_16_BITS = r"[^\x{10000}-\x{10FFFF}]"
 WHITESPACE = r"[ \t\n\x0B\f\r]+"
 
 
@@ -36,9 +38,16 @@ def delete_characters(text: str | Column, characters: str = DELETED_CHARACTERS)
 
 
 def remove_words(text: str | Column, words: Sequence[str] = STOPWORDS) -> Column:
-    """Drops whole words; the characters around them stay."""
+    """Drops whole words; the characters around them stay. In a run with an apostrophe the longest
+    listed words go, so "don't" goes as a whole and "she's" leaves "'s" unless it is listed."""
     runs = F.regexp_extract_all(_col(text), F.lit(WORD_OR_GAP), F.lit(1))
-    return F.array_join(F.filter(runs, lambda run: ~run.isin(*words)), "")
+    listed = "|".join(re.escape(w) for w in sorted(words, reverse=True))
+    inside = rf"(?<![\p{{L}}\p{{N}}_])(?:{listed})(?![\p{{L}}\p{{N}}_])"
+
+    def left(run: Column) -> Column:
+        return F.when(run.contains("'"), F.regexp_replace(run, inside, "")).when(~run.isin(*words), run).otherwise("")
+
+    return F.array_join(F.transform(runs, left), "")
 
 
 def assemble_text(*parts: str | Column) -> Column:
@@ -59,8 +68,15 @@ def clean_text(text: str | Column, stem: bool = True) -> Column:
 
 
 def tokenize(text: str | Column, min_length: int = 2) -> Column:
-    """Lower-cased tokens between whitespace, short ones dropped."""
-    return F.filter(F.split(F.lower(_col(text)), WHITESPACE), lambda w: F.length(w) >= min_length)
+    """Lower-cased tokens between whitespace, short ones dropped. The length is in UTF-16 units, so
+    a character beyond 16 bits counts twice."""
+
+    def long_enough(w: Column) -> Column:
+        return (F.length(w) >= min_length) | (
+            F.length(w) + F.length(F.regexp_replace(w, BEYOND_16_BITS, "")) >= min_length
+        )
+
+    return F.filter(F.split(F.lower(_col(text)), WHITESPACE), long_enough)
 
 
 def feature_tokens(text: str | Column, stem: bool = True) -> Column:
@@ -78,8 +94,9 @@ def feature_tokens(text: str | Column, stem: bool = True) -> Column:
 
 
 def query_title(title: str | Column) -> Column:
-    """Search form of a title: no punctuation, lower case, no stop words, joined by '+'."""
-    words = F.split(F.lower(remove_punctuation(title)), " ")
+    """Search form of a title: no punctuation of any script (signs like $ stay), lower case, no
+    stop words, joined by '+'."""
+    words = F.split(F.lower(F.regexp_replace(_col(title), r"\p{P}+", "")), " ")
     return F.array_join(F.filter(words, lambda w: ~w.isin(*STOPWORDS)), "+")
 
 

@@ -21,6 +21,7 @@ from topicvote.session import materialise
 
 VOCABULARY_SIZE = 262_144
 BROADCAST_BYTES = 64 * 1024 * 1024
+TERM_BYTES = 64
 
 
 def with_words(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -74,6 +75,24 @@ def vocabulary_terms(
     return stats.where(F.col("tc") >= 2**least).orderBy(F.desc("tc"), "term").limit(size)
 
 
+def trimmed_counts(
+    docs: DataFrame, min_df: int, max_share: float, words: str = "words"
+) -> DataFrame:
+    """(doc_id, term, tf) of all terms in at least ``min_df`` documents and at most this share of
+    them, however many terms that are. The kept terms are written and broadcast only if their
+    counted rows are small; a document's own rows lie in one task, so its counts are summed there.
+    """
+    n_docs = docs.count()
+    stats = term_statistics(docs, words).where(
+        (F.col("df") >= min_df) & (F.col("df") <= max_share * n_docs)
+    )
+    kept = materialise(stats.select("term"), "kept_terms")
+    if kept.count() * TERM_BYTES <= BROADCAST_BYTES:
+        kept = F.broadcast(kept)
+    pairs = docs.select("doc_id", F.explode(words).alias("term")).join(kept, "term")
+    return pairs.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+
+
 @dataclass
 class Vocabulary:
     """Terms with their document frequency; at most ``size`` of them, so this is the one table

@@ -23,7 +23,7 @@ SEED = "1830"
 FOLD = 3
 SMOOTHING = 0.1
 SPACE = r"[ \t\n\x0B\f\r]+"
-WORD_OR_GAP = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_]+"
+WORD_OR_GAP = r"[\p{L}\p{N}_]+(?:''[\p{L}\p{N}_]+)*|[^\p{L}\p{N}_]+"
 
 
 def quoted(text: str) -> str:
@@ -61,7 +61,7 @@ BASE: list[tuple[str, str]] = [
     (
         "tokens",
         rf"""SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '{SPACE}'),
-                                              lambda w: length(w) >= 2)) AS term FROM corpus""",
+                                              lambda w: length(w) >= 2 OR bit_length(w) >= 32)) AS term FROM corpus""",
     ),
     ("all_terms", "SELECT doc_id, term, count(*) AS tf FROM tokens GROUP BY ALL"),
     (
@@ -480,9 +480,12 @@ def clean_sql(text: str) -> str:
 
 
 def words_removed(text: str) -> str:
+    """Whole runs that are listed go, and the listed parts of a run with apostrophes."""
+    part = f"CASE WHEN list_contains({STOP_LIST}, p) THEN '' ELSE p END"
     return (
-        rf"array_to_string(list_filter(regexp_extract_all({text}, '{WORD_OR_GAP}'), "
-        rf"lambda w: NOT list_contains({STOP_LIST}, w)), '')"
+        rf"array_to_string(list_transform(list_filter(regexp_extract_all({text}, '{WORD_OR_GAP}'), "
+        rf"lambda w: NOT list_contains({STOP_LIST}, w)), lambda w: array_to_string("
+        rf"list_transform(string_split(w, ''''), lambda p: {part}), '''')), '')"
     )
 
 
@@ -497,7 +500,7 @@ LOGS = [
                        WHEN 'signup' THEN 'ERROR : replacement has length zero ;'
                        WHEN 'click' THEN 'ERROR : undefined columns selected ;'
                        WHEN 'purchase' THEN 'ERROR : subscript out of bounds ;'
-                       ELSE 'URL ' || user_id || ' added;' END AS api_logs FROM events""",
+                       ELSE 'URL ' || user_id || ' added;' END AS api_logs, event_type FROM events""",
     )
 ]
 ERROR_COUNTS = sql(
@@ -591,6 +594,21 @@ def oracle_sql() -> dict[str, str]:
             kept AS (SELECT feature FROM counts GROUP BY feature HAVING count(*) >= 50
                      AND count(*) <= 0.8 * (SELECT count(*) FROM documents))
             SELECT doc_id, feature, tf FROM counts JOIN kept USING (feature)""",
+        "csv_without_wide_columns": sql(
+            BASE, "SELECT doc_id, majortopic, CAST(sim AS INT) AS sim FROM raw_corpus"
+        ),
+        "class_name_codes": sql(
+            BASE, "SELECT 'Class: ' || label AS class, label AS topic, count(*) AS n FROM corpus GROUP BY label"
+        ),
+        "error_kinds": sql(
+            LOGS,
+            """SELECT api_logs, CAST(event_type = 'purchase' AS INT) AS overrun,
+                      CAST(event_type IN ('error', 'signup', 'click', 'purchase') AS INT) AS error,
+                      CAST(event_type = 'error' AS INT) AS http_error,
+                      CAST(event_type = 'signup' AS INT) AS length_zero,
+                      CAST(event_type = 'click' AS INT) AS undefined_columns, count(*) AS n
+               FROM logs GROUP BY api_logs, event_type""",
+        ),
         "ovr_class_counts": sql(
             FIRST, "SELECT topic, label, non AS non_label_all, train_all FROM plan_1"
         ),
@@ -611,8 +629,7 @@ def oracle_sql() -> dict[str, str]:
         ),
         "nb_votes_partitioned": sql(
             FIRST,
-            """SELECT doc_id, vote, topic, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM votes_1
-               WHERE topic = 12 AND i = 2""",
+            """SELECT doc_id, vote, topic, CAST(i AS INT) AS i, CAST(j AS INT) AS j FROM votes_1""",
         ),
         "votes_wide": sql(
             FIRST,
@@ -804,7 +821,7 @@ def oracle_sql() -> dict[str, str]:
               SELECT *, row_number() OVER (ORDER BY event_id) AS row_nr FROM events)
             WHERE row_nr BETWEEN 301 AND 700""",
         "query_titles": f"""SELECT page_id, array_to_string(list_filter(string_split(lower(
-                     regexp_replace(title, '[[:punct:]]+', '', 'g')), ' '),
+                     regexp_replace(title, '\\p{{P}}+', '', 'g')), ' '),
                      lambda w: NOT list_contains({STOP_LIST}, w)), '+') AS title_q,
                    array_to_string(string_split(lower(title), ' ')[1:3], '+') AS short_q
             FROM (SELECT page_id, {tag_sql('title')} AS title FROM pages)""",

@@ -14,7 +14,7 @@ from topicvote.constants import TOPICS, VARIANT_NAMES
 from topicvote.functions import text as tx
 from topicvote.functions.dates import compact_date, parse_mdy, year_month
 from topicvote.functions.hashing import split_by_share, split_number
-from topicvote.functions.labels import label_index, recode_topic, with_category
+from topicvote.functions.labels import class_name_to_code, label_index, recode_topic, with_category
 from topicvote.functions.stemmer import stem_word
 from topicvote.operators import audit, baselines, linear_svm, metrics, naive_bayes, rounds, validation, votes
 from topicvote.operators import corpus as start
@@ -24,6 +24,7 @@ from topicvote.operators.features import (
     entries,
     tfidf_terms,
     tfidf_vectors,
+    trimmed_counts,
     vocabulary_terms,
     with_arrays,
 )
@@ -142,6 +143,21 @@ def start_corpus_csv(spark, folder):
     return read_csv(spark, path, START_CORPUS, sep=";", line_breaks=True)
 
 
+@query
+def csv_without_wide_columns(spark, folder):
+    path = new_path(spark, "export.csv")
+    write_csv(raw_corpus(spark, folder), path, drop=("text",))
+    return read_csv(spark, path, "doc_id bigint, majortopic int, sim int", sep=",")
+
+
+@query
+def class_name_codes(spark, folder):
+    """Topic codes back from the class names of a report."""
+    names = corpus(spark, folder).select(F.concat(F.lit("Class: "), "label").alias("class"))
+    counts = names.groupBy("class").agg(F.count("*").alias("n"))
+    return counts.select("class", class_name_to_code("class").alias("topic"), "n")
+
+
 @query
 def fold_split(spark, folder):
     return start.fold_sizes(corpus(spark, folder))
@@ -217,8 +233,8 @@ def top_terms(docs: DataFrame, k: int = 10) -> DataFrame:
 def trimmed_dfm(spark, folder):
     docs = spread(read_table(spark, folder, "documents"))
     words = docs.select("doc_id", tx.feature_tokens("text", stem=False).alias("words"))
-    vocabulary = fit_terms(words, min_df=50, max_df=0.8 * words.count())
-    return tfidf_terms(words, vocabulary).select("doc_id", F.col("term").alias("feature"), "tf")
+    counts = trimmed_counts(materialise(words, "words"), min_df=50, max_share=0.8)
+    return counts.withColumnRenamed("term", "feature")
 
 
 # --- sampling -------------------------------------------------------------------------------
@@ -252,8 +268,8 @@ def negative_sample_shared(spark, folder):
 # --- naive Bayes and votes ------------------------------------------------------------------
 
 
-def _nb_multiclass(spark, folder, folds=(1, 2, 3)) -> DataFrame:
-    rows, vocabulary = counted(spark, folder)
+def _nb_multiclass(spark, folder, folds=(1, 2, 3), features=None) -> DataFrame:
+    rows, vocabulary = features or counted(spark, folder)
     vectors = tfidf_vectors(rows, vocabulary)
     with ThreadPoolExecutor(3) as pool:
         return _union(pool.map(lambda f: naive_bayes.multiclass_verdicts(vectors, f), folds))
@@ -284,7 +300,7 @@ def nb_votes(spark, folder):
 def nb_votes_partitioned(spark, folder):
     path = new_path(spark, "votes")
     write_votes(_nb_votes(spark, folder), path)
-    return read_votes(spark, path).where((F.col("topic") == 12) & (F.col("i") == 2))
+    return read_votes(spark, path)
 
 
 @query
@@ -474,15 +490,15 @@ for _variant in VARIANT_NAMES:
 # --- evaluation -----------------------------------------------------------------------------
 
 
-def _nb_cells(spark, folder) -> DataFrame:
+def _nb_cells(spark, folder, features=None) -> DataFrame:
     """Counts of (sim, topic, verdict) of the multiclass model over all folds."""
-    cells = metrics.confusion_cells(_nb_multiclass(spark, folder), by=["sim"])
+    cells = metrics.confusion_cells(_nb_multiclass(spark, folder, features=features), by=["sim"])
     return materialise(cells, "cells")
 
 
-def _vote_cells(spark, folder) -> DataFrame:
+def _vote_cells(spark, folder, features=None) -> DataFrame:
     """The same counts of the unanimous votes, over all folds."""
-    rows, vocabulary = counted(spark, folder)
+    rows, vocabulary = features or counted(spark, folder)
 
     def cells(fold: int) -> DataFrame:
         state = rounds.start_state(with_arrays(rows), fold)
@@ -533,10 +549,11 @@ def class_report(spark, folder):
 
 
 def _both_models(spark, folder) -> DataFrame:
+    features = counted(spark, folder)
     return metrics.side_by_side(
         {
-            "nb": metrics.fold_mean(metrics.pr_by_topic(_nb_cells(spark, folder), ["sim"])),
-            "vote": metrics.fold_mean(metrics.pr_by_topic(_vote_cells(spark, folder), ["sim"])),
+            "nb": metrics.fold_mean(metrics.pr_by_topic(_nb_cells(spark, folder, features), ["sim"])),
+            "vote": metrics.fold_mean(metrics.pr_by_topic(_vote_cells(spark, folder, features), ["sim"])),
         }
     )
 
@@ -646,6 +663,13 @@ def _logs(spark, folder) -> DataFrame:
     return read_table(spark, folder, "events").select(kind.alias("api_logs"))
 
 
+@query
+def error_kinds(spark, folder):
+    """Every log line with the flags of its kinds of error, counted."""
+    flagged = audit.error_flags(_logs(spark, folder))
+    return flagged.groupBy("api_logs", *audit.ERROR_MARKS).agg(F.count("*").alias("n"))
+
+
 @query
 def error_counts(spark, folder):
     return audit.error_counts(audit.error_lines(_logs(spark, folder)))
