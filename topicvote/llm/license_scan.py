@@ -75,7 +75,7 @@ KNOWN = (
 # Spellings that mean the same, as (pattern on small letters, replacement).
 SPELLINGS = (
     ("licence", "license"),
-    (r"\bv(?:\.|ersion) ?([0-9])", "version $1"),
+    (r"\bv(?:\.|ersion)? ?([0-9])", "version $1"),
     (r"\bhttps?://(?:www\.)?", ""),
     (r"\bsub-license", "sublicense"),
     (r"\bnon-infringement", "noninfringement"),
