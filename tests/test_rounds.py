@@ -115,24 +115,19 @@ def test_workflow_invariants(counts, variant):
     assert final.where("verdict IS NOT NULL").count() == trained - rows.where("sim <> 3").count()
 
 
-def test_bucketed_run_gives_the_same(spark, counts):
+def test_the_number_of_buckets_does_not_matter(spark, counts):
     rows, vocabulary = counts
     spec = EnsembleSpec(outer=2, inner=1)
-    plain = rounds.run(rows, vocabulary, rounds.WorkflowConfig("v3", rounds=2, spec=spec))
-    bucketed = rounds.run(rows, vocabulary, rounds.WorkflowConfig("v3", rounds=2, spec=spec, buckets=4))
-    assert states(plain) == states(bucketed)
+    one = rounds.run(rows, vocabulary, rounds.WorkflowConfig("v3", rounds=2, spec=spec, buckets=1))
+    more = rounds.run(rows, vocabulary, rounds.WorkflowConfig("v3", rounds=2, spec=spec, buckets=5))
+    assert states(one) == states(more)
 
 
-def test_larger_corpora_are_bucketed(spark, counts, monkeypatch):
-    rows, vocabulary = counts
-    written = []
-    monkeypatch.setattr(rounds, "PLAIN_DOCUMENTS", 10)
-    original = rounds.materialise_bucketed
-    monkeypatch.setattr(
-        rounds, "materialise_bucketed", lambda *a: written.append(a[1:]) or original(*a)
-    )
-    rounds.run(rows, vocabulary, rounds.WorkflowConfig("v0", rounds=1, spec=EnsembleSpec(outer=1, inner=1)))
-    assert [w[0] for w in written] == ["state", "counts", "state"] and written[0][2] == 4
+def test_buckets_follow_the_size(spark, counts):
+    rows, _ = counts
+    entries = sum(len(r.raw_features.indices) for r in rows.collect())
+    assert rounds.bucket_number(rows) == spark.sparkContext.defaultParallelism
+    assert rounds.bucket_number(rows, 60) == -(-entries * rounds.ENTRY_BYTES // 60)
 
 
 def test_bucketed_tables_join_in_place(spark, counts):

@@ -111,7 +111,7 @@ def test_group_sample_is_exact_for_a_hot_group(spark):
         F.when(F.col("id") % 3 == 0, 2).when(F.col("id") % 100 == 1, 3).otherwise(1).alias("verdict"),
         draw(row_hash(F.col("id")), "test").alias("draw"),
     )
-    got = {(r.verdict, r.doc_id) for r in sample_per_group(rows, "verdict", "draw", buckets=7).collect()}
+    got = {(r.verdict, r.doc_id) for r in sample_per_group(rows, "verdict", "draw").collect()}
     local = rows.toPandas()
     expected = set()
     for verdict, group in local.groupby("verdict"):

@@ -4,7 +4,7 @@ from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from topicvote.functions.labels import binary_label
-from topicvote.operators import linear_svm, naive_bayes, votes
+from topicvote.operators import flags, linear_svm, naive_bayes, votes
 from topicvote.operators.features import (
     count_vectors,
     fit_vocabulary,
@@ -14,9 +14,17 @@ from topicvote.operators.features import (
     with_arrays,
     with_words,
 )
+from topicvote.operators.flags import Flag, flag_vectors, flagged_sums
 from topicvote.operators.rounds import start_state
 from topicvote.operators.sampling import EnsembleSpec
-from topicvote.operators.scoring import LinearEnsemble, ensemble_verdicts, score_votes, vote_table
+from topicvote.operators.scoring import (
+    LinearEnsemble,
+    ensemble_verdicts,
+    score_tallies,
+    strictness_verdicts,
+    tally_rows,
+    vote_table,
+)
 from topicvote.session import materialise
 
 WORDS = {1: "tax budget growth bank", 5: "union strike wage worker", 100: "film music song dance"}
@@ -105,12 +113,39 @@ def test_narrow_and_long_verdicts_agree(prepared):
     assert long
 
 
-def test_slices_give_the_same_votes(prepared):
+def test_tallies_and_strictness_match_the_long_table(prepared):
+    _, vocabulary, rows = prepared
+    spec = EnsembleSpec(outer=2, inner=2)
+    ensemble = naive_bayes.fit_ensemble(rows, vocabulary, spec)
+    table = vote_table(rows, ensemble)
+    long = {(r.doc_id, r.topic): r.tally for r in votes.vote_tally(table).collect()}
+    tallies = score_tallies(rows, ensemble).select("doc_id", F.inline(tally_rows(spec.topics)))
+    assert {(r.doc_id, r.topic): r.tally for r in tallies.collect()} == long
+    swept = {tuple(r) for r in strictness_verdicts(rows, ensemble).collect()}
+    assert swept == {tuple(r) for r in votes.strictness_verdicts(table, 2).collect()}
+    assert swept
+
+
+def test_one_python_step_and_no_shuffle(prepared):
     _, vocabulary, rows = prepared
     ensemble = naive_bayes.fit_ensemble(rows, vocabulary, EnsembleSpec(outer=2, inner=2))
-    whole = {tuple(r.model_votes) for r in score_votes(rows, ensemble).collect()}
-    sliced = {tuple(r.model_votes) for r in score_votes(rows, ensemble, slice_bytes=1).collect()}
-    assert whole == sliced
+    plan = strictness_verdicts(rows, ensemble)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert "Exchange" not in plan
+
+
+def test_sums_of_few_buffered_entries(prepared, monkeypatch):
+    """Flushing early, in small chunks and reading block by block changes nothing."""
+    _, vocabulary, rows = prepared
+    wanted = [Flag(1), Flag(1, True), *[Flag(1, True, (7, k), 1 << 29) for k in range(40)]]
+    whole = list(flag_vectors(flagged_sums(rows, wanted), len(wanted), len(vocabulary)))
+    monkeypatch.setattr(flags, "CHUNK_ENTRIES", 50)
+    monkeypatch.setattr(flags, "BUFFERED_ENTRIES", 300)
+    parts = list(flag_vectors(flagged_sums(rows, wanted), len(wanted), len(vocabulary), read_bytes=1))
+    assert [k for k, *_ in parts] == list(range(len(wanted)))
+    for (_, a, n), (_, b, m) in zip(whole, parts, strict=True):
+        assert n == m > 0
+        assert a.tolist() == b.tolist()
 
 
 def test_missing_votes(spark):

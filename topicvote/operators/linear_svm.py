@@ -40,7 +40,7 @@ def fit_ensemble(
     used = in_train() | (F.size("neg_topics") > 0) if has_known else in_train()
     columns = ["label", "row_hash", "in_train"] + (["neg_topics"] if has_known else [])
     weighted = tfidf_vectors(rows.where(used).select(*columns, "raw_features"), vocabulary)
-    vectors = materialise(weighted.drop("raw_features"), "vectors").persist()
+    vectors = materialise(weighted.drop("raw_features"), "vectors")
 
     def train_rows(topic: int, i: int, j: int) -> DataFrame:
         known = F.array_contains("neg_topics", F.lit(topic)) if has_known else F.lit(False)
@@ -76,7 +76,6 @@ def fit_ensemble(
 
     with ThreadPoolExecutor(threads) as pool:
         fitted = list(pool.map(fit, jobs.items()))
-    vectors.unpersist()
     return LinearEnsemble(
         spec,
         np.column_stack([w for w, _ in fitted]),

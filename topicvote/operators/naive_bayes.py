@@ -6,18 +6,17 @@ them up; the inverse document frequencies are multiplied in once per term.
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import NaiveBayes
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicvote.functions.hashing import draw
 from topicvote.functions.labels import index_to_label
 from topicvote.operators.features import Vocabulary
-from topicvote.operators.sampling import EnsembleSpec, in_train, sampling_thresholds
+from topicvote.operators.flags import Flag, flag_vectors, flagged_sums
+from topicvote.operators.sampling import EnsembleSpec, negatives_flag, sampling_thresholds
 from topicvote.operators.scoring import LinearEnsemble
 
 
@@ -39,88 +38,36 @@ def multiclass_verdicts(vectors: DataFrame, fold: int, smoothing: float = 0.1) -
     )
 
 
-FLAGS_PER_JOB = 24
-
-
-def _flagged_sums(rows: DataFrame, flags: dict[str, Column], n_terms: int) -> dict:
-    """For every flag: the term counts summed over the rows that carry it, and their number.
-
-    A row's flags are bits of one number, so an entry is read once for all of them. Every row
-    also counts itself, under the term -1.
-    """
-    bits = [F.shiftleft(f.cast("bigint"), k) for k, f in enumerate(flags.values())]
-    pairs = F.arrays_zip(
-        F.concat(F.array(F.lit(-1)), "term_ids").alias("term_id"),
-        F.concat(F.array(F.lit(1)), "tfs").alias("tf"),
-    )
-    entries = (
-        rows.select("term_ids", "tfs", reduce(Column.bitwiseOR, bits).alias("bits"))
-        .where(F.col("bits") != 0)
-        .select("bits", F.inline(pairs).alias("term_id", "tf"))
-    )
-    sums = (
-        entries.groupBy("term_id")
-        .agg(
-            *[
-                F.sum(F.col("tf") * F.shiftright("bits", k).bitwiseAND(F.lit(1))).alias(name)
-                for k, name in enumerate(flags)
-            ]
-        )
-        .toArrow()
-    )
-    terms = sums.column("term_id").to_numpy()
-    out = {}
-    for name in flags:
-        vector = np.zeros(n_terms + 1)
-        vector[terms] = sums.column(name).to_numpy()
-        out[name] = vector[:-1], int(vector[-1])
-    return out
-
-
 def fit_ensemble(
     rows: DataFrame,
     vocabulary: Vocabulary,
     spec: EnsembleSpec,
     state: DataFrame | None = None,
 ) -> LinearEnsemble:
-    """One binary model per topic and replicate.
+    """One binary model per topic and replicate, from one pass over ``rows``.
 
     ``rows`` has label, in_train, row_hash, term_ids, tfs and maybe neg_topics; ``state`` may give
-    the same rows without the counts. What reaches the driver is one number per model and term.
+    the same rows without the counts. The driver holds the weights once, one number per model and
+    term; the sums come to it in bounded parts.
     """
     plan = sampling_thresholds(rows if state is None else state, spec)
     idf, n_terms = vocabulary.idf, len(vocabulary)
     active = [t for t in spec.topics if plan[t]["label"] > 0 and plan[t]["non_label_all"] > 0]
-    rare = [t for t in active if plan[t]["threshold"] is not None]
-    whole = [t for t in active if plan[t]["threshold"] is None]
-    reps = spec.replicates
-
-    known = (
-        (lambda t: F.coalesce(F.array_contains("neg_topics", F.lit(t)), F.lit(False)))
-        if "neg_topics" in rows.columns
-        else (lambda t: F.lit(False))
-    )
-    negative = {
-        t: (in_train() | known(t)) & ~F.col("label").eqNullSafe(F.lit(t)) for t in active
-    }
-
-    is_topic = {t: in_train() & F.col("label").eqNullSafe(F.lit(t)) for t in active}
-    flags = {f"pos_{t}": is_topic[t] for t in active}
-    flags |= {f"neg_{t}": negative[t] for t in whole}
-    for t in rare:
-        for i, j in reps:
-            key = spec.key(t, i, j)
-            name = "neg_" + "_".join(map(str, key))
-            flags[name] = negative[t] & (draw("row_hash", *key) < plan[t]["threshold"])
-    names = list(flags)
-    parts = [
-        {n: flags[n] for n in names[k : k + FLAGS_PER_JOB]}
-        for k in range(0, len(names), FLAGS_PER_JOB)
-    ]
-    sums: dict = {}
-    with ThreadPoolExecutor(4) as pool:
-        for part in pool.map(lambda p: _flagged_sums(rows, p, n_terms), parts):
-            sums |= part
+    flags = [Flag(t) for t in active]
+    model_at: dict[Flag, int] = {}
+    model_of = []
+    for t in spec.topics:
+        for i, j in spec.replicates:
+            if t not in active:
+                # Without positives nothing is coded, without negatives everything is.
+                model_of.append(0 if plan[t]["label"] else 1)
+                continue
+            flag = negatives_flag(plan, spec, t, i, j)
+            model_of.append(model_at.setdefault(flag, 2 + len(model_at)))
+    flags += list(model_at)
+    weights = np.zeros((n_terms, 2 + len(model_at)))
+    intercepts = np.zeros(weights.shape[1])
+    intercepts[:2] = np.inf, -np.inf
 
     def log_weights(vector: np.ndarray) -> np.ndarray:
         weighted = vector * idf
@@ -128,33 +75,18 @@ def fit_ensemble(
             weighted.sum() + spec.smoothing * n_terms
         )
 
-    zeros = np.zeros(n_terms)
-    columns, intercepts, model_of = [], [], []
-
-    def add(weights: np.ndarray, intercept: float) -> int:
-        columns.append(weights)
-        intercepts.append(intercept)
-        return len(columns) - 1
-
-    for t in spec.topics:
-        if t not in active:
-            # Without positives nothing is coded, without negatives everything is.
-            model_of += [add(zeros, np.inf if plan[t]["label"] else -np.inf)] * spec.votes
+    positives: dict[int, tuple[np.ndarray, int]] = {}
+    sums = flagged_sums(rows, flags) if flags else None
+    for k, vector, n in flag_vectors(sums, len(flags), n_terms) if flags else ():
+        flag = flags[k]
+        if not flag.negative:
+            positives[flag.topic] = log_weights(vector), n
             continue
-        positive, n_pos = sums[f"pos_{t}"]
-        positive = log_weights(positive)
-        models = {}
-        for i, j in reps:
-            key = "_".join(map(str, spec.key(t, i, j))) if t in rare else str(t)
-            if key not in models:
-                negatives, n_neg = sums[f"neg_{key}"]
-                if n_neg:
-                    theta = idf * (positive - log_weights(negatives))
-                    prior = np.log(n_pos + spec.smoothing) - np.log(n_neg + spec.smoothing)
-                    models[key] = add(theta, prior)
-                else:
-                    models[key] = add(zeros, np.inf)
-            model_of.append(models[key])
-    return LinearEnsemble(
-        spec, np.column_stack(columns), np.array(intercepts), np.array(model_of)
-    )
+        positive, n_pos = positives[flag.topic]
+        at = model_at[flag]
+        if n:
+            weights[:, at] = idf * (positive - log_weights(vector))
+            intercepts[at] = np.log(n_pos + spec.smoothing) - np.log(n + spec.smoothing)
+        else:
+            intercepts[at] = np.inf
+    return LinearEnsemble(spec, weights, intercepts, np.array(model_of))

@@ -30,8 +30,8 @@ from topicvote.session import materialise, materialise_bucketed
 
 Learner = Callable[[DataFrame, Vocabulary, EnsembleSpec, DataFrame], LinearEnsemble]
 
-# Up to here the state is small enough to be broadcast to the counts in every round.
-PLAIN_DOCUMENTS = 100_000
+BUCKET_BYTES = 256 * 1024 * 1024
+ENTRY_BYTES = 12
 
 
 @dataclass
@@ -155,27 +155,29 @@ def next_state(
     return out, numbers.drop("passes", "cut")
 
 
+def bucket_number(counted: DataFrame, bucket_bytes: int = BUCKET_BYTES) -> int:
+    """Buckets of about ``bucket_bytes`` of counts, measured; one for each core at least."""
+    filled = F.size(F.unwrap_udt("raw_features").getField("indices"))
+    size = ENTRY_BYTES * (counted.agg(F.sum(filled)).first()[0] or 0)
+    return max(counted.sparkSession.sparkContext.defaultParallelism, -(-size // bucket_bytes))
+
+
 def run(
     counted: DataFrame, vocabulary: Vocabulary, config: WorkflowConfig
 ) -> list[RoundResult]:
     """All rounds of one fold. ``counted``: doc_id, sim, label, raw_features.
 
-    The counts and the state of a larger corpus (or one with ``config.buckets`` set) are bucketed
-    by document, and the join that starts every round needs no shuffle of the counts.
+    The counts and the state are bucketed by document, and the join that starts every round needs
+    no shuffle. There are ``config.buckets`` buckets, by default as many as ``bucket_number`` says.
     """
-    buckets = config.buckets
-    if buckets is None and vocabulary.n_docs > PLAIN_DOCUMENTS:
-        buckets = int(counted.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = config.buckets or bucket_number(counted)
 
     def write(df: DataFrame, name: str) -> DataFrame:
-        if buckets is None:
-            return materialise(df, name)
         return materialise_bucketed(df, name, "doc_id", buckets)
 
     corpus = counted.select("doc_id", "sim", "label")
     state = write(start_state(corpus, config.fold, config.spec.seed).select(*STATE_COLUMNS), "state")
-    if buckets is not None:
-        counted = write(counted, "counts")
+    counted = write(counted, "counts")
     results = []
     for number in range(1, config.rounds + 1):
         coded = materialise(classify(counted, state, vocabulary, config), "coded")

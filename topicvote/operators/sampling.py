@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from topicvote.constants import SAMPLE_DELTA, SAMPLE_MINIMUM, SAMPLE_Z, TOPICS
 from topicvote.functions.hashing import DEFAULT_SEED, P, draw_coefficients
 from topicvote.functions.literals import constant_array, constant_rows, constant_table
+from topicvote.operators.flags import Flag, flag_vectors, flagged_sums
 
 
 def in_train() -> Column:
@@ -110,6 +111,13 @@ def sampling_thresholds(state: DataFrame, spec: EnsembleSpec) -> dict[int, dict]
     }
 
 
+def negatives_flag(plan: dict[int, dict], spec: EnsembleSpec, topic: int, i: int, j: int) -> Flag:
+    """The negatives of a model. Replicates of a topic that keeps them all have the same."""
+    threshold = plan[topic]["threshold"]
+    key = None if threshold is None else spec.key(topic, i, j)
+    return Flag(topic, negative=True, key=key, threshold=threshold)
+
+
 def negative_draws(state: DataFrame, spec: EnsembleSpec, hashed: str = "row_hash") -> DataFrame:
     """(doc_id, topic, i, j): the negatives each classifier of a rare topic trains on.
 
@@ -143,33 +151,24 @@ def negative_draws(state: DataFrame, spec: EnsembleSpec, hashed: str = "row_hash
 
 
 def sample_number_log(state: DataFrame, spec: EnsembleSpec) -> DataFrame:
-    """(topic, i, j, label, non_label_all, non_label_sample, train_all) as trained on."""
-    counts = with_fraction(training_class_counts(state, spec.topics))
-    reps = constant_rows([{"i": i, "j": j} for i, j in spec.replicates])
-    drawn = negative_draws(state, spec).groupBy("topic", "i", "j").count()
-    return (
-        counts.withColumn("r", F.explode(reps))
-        .select("*", "r.i", "r.j")
-        .join(F.broadcast(drawn), ["topic", "i", "j"], "left")
-        .withColumn(
-            "non_label_sample",
-            F.when(F.col("fraction").isNull(), F.col("non_label_all")).otherwise(
-                F.coalesce("count", F.lit(0))
-            ),
-        )
-        .select(
-            "topic",
-            "i",
-            "j",
-            "label",
-            "non_label_all",
-            "non_label_sample",
-            (F.col("label") + F.col("non_label_sample")).alias("train_all"),
-        )
-    )
-
-
-MAX_SAMPLE = ceil(SAMPLE_Z * SAMPLE_Z * 0.25 / (SAMPLE_DELTA * SAMPLE_DELTA))
+    """(topic, i, j, label, non_label_all, non_label_sample, train_all) as trained on. The sampled
+    rows of all models are counted in one pass."""
+    plan = sampling_thresholds(state, spec)
+    slots = [(t, i, j, negatives_flag(plan, spec, t, i, j)) for t in spec.topics for i, j in spec.replicates]
+    flags = list(dict.fromkeys(flag for *_, flag in slots if flag.threshold is not None))
+    drawn = {}
+    if flags:
+        sums = flagged_sums(state, flags, with_terms=False)
+        drawn = {flags[k]: n for k, _, n in flag_vectors(sums, len(flags), 0)}
+    rows = []
+    for t, i, j, flag in slots:
+        label, others = plan[t]["label"], plan[t]["non_label_all"]
+        sample = others if flag.threshold is None else drawn[flag]
+        rows.append((t, i, j, label, others, sample, label + sample))
+    names = ["topic", "i", "j", "label", "non_label_all", "non_label_sample", "train_all"]
+    kinds = ["int"] * 3 + ["bigint"] * 4
+    schema = ", ".join(f"{n} {k}" for n, k in zip(names, kinds, strict=True))
+    return state.sparkSession.createDataFrame(rows, schema)
 
 
 def required_sample_size(n: str | Column) -> Column:
@@ -182,25 +181,31 @@ def required_sample_size(n: str | Column) -> Column:
     )
 
 
-def sample_per_group(
-    df: DataFrame, group: str, order: str, key: str = "doc_id", buckets: int = 64
-) -> DataFrame:
-    """The required sample of every group: its rows with the smallest draws.
+DRAW_BINS = 2048
 
-    No group goes through one task. Each bucket of a group first keeps its MAX_SAMPLE smallest
-    draws (a bound on any sample), and only those few rows are ranked together.
+
+def sample_per_group(df: DataFrame, group: str, order: str, key: str = "doc_id") -> DataFrame:
+    """The required sample of every group: its rows with the smallest draws (``order``, in [0, P)).
+
+    Rows are first counted by group and ``DRAW_BINS`` equal ranges of the draw. The counts tell the
+    size of a group and the range in which its sample ends, so that little more than the sample
+    itself is ranked, whatever the group's size.
     """
-    sizes = df.groupBy(group).agg(F.count("*").alias("num_classified"))
-    sizes = sizes.withColumn("sample_size", required_sample_size("num_classified"))
-    within_bucket = W.partitionBy(group, "bucket").orderBy(order, key)
-    within_group = W.partitionBy(group).orderBy(order, key)
+    place = (F.col(order) * DRAW_BINS / F.lit(P)).cast("int")
+    bins = df.groupBy(group, place.alias("bin")).agg(F.count("*").alias("n"))
+    whole = W.partitionBy(group)
+    total, before = F.sum("n").over(whole), F.sum("n").over(whole.orderBy("bin")) - F.col("n")
+    cuts = (
+        bins.select(group, "bin", before.alias("before"), required_sample_size(total).alias("sample_size"))
+        .where(F.col("before") < F.col("sample_size"))
+        .groupBy(group)
+        .agg(F.max("bin").alias("last_bin"), F.first("sample_size").alias("sample_size"))
+    )
+    rank = F.row_number().over(W.partitionBy(group).orderBy(order, key))
     return (
-        df.withColumn("bucket", F.col(order) % buckets)
-        .withColumn("rank", F.row_number().over(within_bucket))
-        .where(F.col("rank") <= MAX_SAMPLE)
-        .withColumn("rank", F.row_number().over(within_group))
-        .where(F.col("rank") <= MAX_SAMPLE)
-        .join(F.broadcast(sizes), group)
+        df.join(F.broadcast(cuts), group)
+        .where(place <= F.col("last_bin"))
+        .withColumn("rank", rank)
         .where(F.col("rank") <= F.col("sample_size"))
-        .drop("bucket", "rank", "num_classified", "sample_size")
+        .drop("rank", "last_bin", "sample_size")
     )

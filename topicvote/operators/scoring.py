@@ -1,27 +1,34 @@
 """Scoring of many linear classifiers in one pass over the documents.
 
 Every classifier of an ensemble (naive Bayes or linear SVM, one per topic and replicate) is a
-weight vector over the vocabulary and an intercept. The vectors form a matrix bounded by the
-vocabulary size and the number of models; it is broadcast in slices of bounded size. A document
-meets all classifiers inside its own row, so no vote is ever shuffled to find a verdict.
+weight vector over the vocabulary and an intercept. The vectors form one matrix, which goes to the
+executors as a file and is mapped into memory there, so that all tasks of an executor share its
+pages. A document meets all classifiers inside its own row, so no vote is ever shuffled to find a
+verdict.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator, Sequence
+import tempfile
+import uuid
+from collections.abc import Callable, Collection, Iterator, Sequence
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicvote.functions.literals import constant_rows
+from topicvote.functions.literals import constant_array, constant_rows
+from topicvote.operators.flags import entry_arrays
 from topicvote.operators.sampling import EnsembleSpec
 from topicvote.session import ship_package
 
-SLICE_BYTES = 256 * 1024 * 1024
 BLOCK_ENTRIES = 1 << 16
+# Sent files must outlive the jobs: an executor that joins late fetches them from the driver.
+_sent: list[tempfile.TemporaryDirectory] = []
 
 
 @dataclass
@@ -52,46 +59,115 @@ def _margins(ids: np.ndarray, tfs: np.ndarray, starts: np.ndarray, weights: np.n
     return out
 
 
-def _entry_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    ids, tfs = batch.column("term_ids"), batch.column("tfs")
-    starts = np.concatenate([[0], np.cumsum(ids.value_lengths().fill_null(0).to_numpy())])
-    return ids.flatten().to_numpy(), tfs.flatten().to_numpy().astype(float), starts.astype(np.int64)
+def _send(spark: SparkSession, array: np.ndarray) -> str:
+    """Gives every executor the array as a file; returns the file's name."""
+    folder = tempfile.TemporaryDirectory(prefix="topicvote-")
+    _sent.append(folder)
+    name = f"weights-{uuid.uuid4().hex}.npy"
+    path = Path(folder.name) / name
+    np.save(path, array)
+    spark.sparkContext.addFile(str(path))
+    return name
 
 
-def score_votes(
+def _scored(
     counted: DataFrame,
     ensemble: LinearEnsemble,
-    keep: Collection[str] = ("doc_id",),
-    slice_bytes: int = SLICE_BYTES,
+    keep: Collection[str],
+    column: str,
+    kind: str,
+    finish: Callable[[np.ndarray], np.ndarray],
 ) -> DataFrame:
-    """The kept columns and ``model_votes``, one 0/1 per distinct model."""
+    """The kept columns and an array of what ``finish`` makes of the models' votes (0/1, a row per
+    document)."""
     spark = counted.sparkSession
     ship_package(spark)
-    n_terms, n_models = ensemble.weights.shape
-    width = max(1, slice_bytes // (8 * max(n_terms, 1)))
     kept = [f for f in counted.schema.fields if f.name in keep]
-    out = counted.select(*[f.name for f in kept], "term_ids", "tfs").withColumn(
-        "model_votes", F.array().cast("array<tinyint>")
+    rows = counted.select(*[f.name for f in kept], "term_ids", "tfs")
+    name, intercepts = _send(spark, np.ascontiguousarray(ensemble.weights)), ensemble.intercepts
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = np.load(SparkFiles.get(name), mmap_mode="r")
+        for batch in batches:
+            votes = (_margins(*entry_arrays(batch), weights) + intercepts > 0).astype(np.int8)
+            values = finish(votes)
+            sizes = np.arange(batch.num_rows + 1, dtype=np.int32) * values.shape[1]
+            lists = pa.ListArray.from_arrays(sizes, pa.array(values.ravel()))
+            columns = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*columns, lists], [*[f.name for f in kept], column])
+
+    schema = rows.select(*[f.name for f in kept], F.array().cast(f"array<{kind}>").alias(column)).schema
+    return rows.mapInArrow(run, schema)
+
+
+def score_votes(
+    counted: DataFrame, ensemble: LinearEnsemble, keep: Collection[str] = ("doc_id",)
+) -> DataFrame:
+    """The kept columns and ``model_votes``, one 0/1 per distinct model."""
+    return _scored(counted, ensemble, keep, "model_votes", "tinyint", lambda votes: votes)
+
+
+def score_tallies(
+    counted: DataFrame,
+    ensemble: LinearEnsemble,
+    keep: Collection[str] = ("doc_id",),
+    grids: Sequence[int] | None = None,
+) -> DataFrame:
+    """The kept columns and ``tallies``: how many replicates vote for each topic, in the order of
+    the ensemble's topics. With ``grids`` one such run for every g in it, over the replicates with
+    i, j <= g."""
+    spec, slots = ensemble.spec, ensemble.model_of
+    every = max(spec.outer, spec.inner)
+    used = np.array(
+        [[i <= g and j <= g for i, j in spec.replicates] for g in grids or [every]], np.int16
     )
-    for start in range(0, n_models, width):
-        columns = slice(start, start + width)
-        shared = spark.sparkContext.broadcast(
-            (np.ascontiguousarray(ensemble.weights[:, columns]), ensemble.intercepts[columns])
-        )
 
-        def add_votes(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            weights, intercepts = shared.value
-            for batch in batches:
-                votes = (_margins(*_entry_arrays(batch), weights) + intercepts > 0).astype(np.int8)
-                before = batch.column("model_votes").flatten().to_numpy()
-                votes = np.hstack([before.reshape(batch.num_rows, -1), votes])
-                sizes = np.arange(batch.num_rows + 1, dtype=np.int32) * votes.shape[1]
-                lists = pa.ListArray.from_arrays(sizes, pa.array(votes.ravel(), pa.int8()))
-                at = batch.schema.get_field_index("model_votes")
-                yield batch.set_column(at, "model_votes", lists)
+    def finish(votes: np.ndarray) -> np.ndarray:
+        by_topic = votes[:, slots].reshape(len(votes), len(spec.topics), spec.votes)
+        tallies = np.einsum("dtr,gr->dgt", by_topic, used)
+        return tallies.reshape(len(votes), used.shape[0] * len(spec.topics))
+
+    return _scored(counted, ensemble, keep, "tallies", "smallint", finish)
 
-        out = out.mapInArrow(add_votes, out.schema)
-    return out.drop("term_ids", "tfs")
+
+def tally_rows(topics: Sequence[int], tallies: str = "tallies") -> Column:
+    """``tallies`` as an array of (topic, tally)."""
+    return F.transform(
+        F.arrays_zip(constant_array(topics).alias("topic"), F.col(tallies).alias("tally")),
+        lambda z: F.struct(z["topic"].alias("topic"), z["tally"].cast("bigint").alias("tally")),
+    )
+
+
+def full_topics(topics: Sequence[int], n_votes: int, tallies: Column) -> Column:
+    """The topics that have every vote."""
+    zipped = F.arrays_zip(constant_array(topics).alias("topic"), tallies.alias("tally"))
+    return F.transform(F.filter(zipped, lambda z: z["tally"] == n_votes), lambda z: z["topic"])
+
+
+def only_topic(full: str) -> Column:
+    """The verdict: the only topic with every vote, or null."""
+    return F.when(F.size(full) == 1, F.get(full, F.lit(0)))
+
+
+def strictness_verdicts(
+    counted: DataFrame, ensemble: LinearEnsemble, keep: Sequence[str] = ("doc_id",)
+) -> DataFrame:
+    """The kept columns, g and verdict for every strictness g x g that leaves a single topic."""
+    spec = ensemble.spec
+    grids, width = list(range(1, spec.outer + 1)), len(spec.topics)
+    parts = [
+        F.struct(
+            F.lit(g).alias("g"),
+            full_topics(spec.topics, g * g, F.slice("tallies", k * width + 1, width)).alias("full"),
+        )
+        for k, g in enumerate(grids)
+    ]
+    scored = score_tallies(counted, ensemble, keep, grids)
+    return (
+        scored.select(*keep, F.explode(F.array(*parts)).alias("p"))
+        .where(F.size("p.full") == 1)
+        .select(*keep, "p.g", F.get("p.full", F.lit(0)).alias("verdict"))
+    )
 
 
 def vote_table(counted: DataFrame, ensemble: LinearEnsemble) -> DataFrame:
@@ -111,27 +187,6 @@ def vote_table(counted: DataFrame, ensemble: LinearEnsemble) -> DataFrame:
     )
 
 
-def full_vote_topics(
-    ensemble: LinearEnsemble, votes: str | Column = "model_votes", grid: int | None = None
-) -> Column:
-    """The topics for which every replicate votes 1 (``grid``: every replicate with i, j <= grid)."""
-    column = F.col(votes) if isinstance(votes, str) else votes
-    spec = ensemble.spec
-    groups = []
-    for n, t in enumerate(spec.topics):
-        models = {
-            int(ensemble.model_of[n * spec.votes + r])
-            for r, (i, j) in enumerate(spec.replicates)
-            if grid is None or (i <= grid and j <= grid)
-        }
-        groups.append({"topic": t, "models": sorted(models)})
-    unanimous = F.filter(
-        constant_rows(groups),
-        lambda g: F.forall(g.getField("models"), lambda m: F.get(column, m) == 1),
-    )
-    return F.transform(unanimous, lambda g: g.getField("topic"))
-
-
 def ensemble_verdicts(
     counted: DataFrame,
     ensemble: LinearEnsemble,
@@ -146,8 +201,8 @@ def ensemble_verdicts(
     if missing_vote not in ("exclude", "abstain"):
         raise ValueError("missing_vote is 'exclude' or 'abstain'")
     has_negatives = "neg_topics" in counted.columns
-    scored = score_votes(counted, ensemble, {*keep, "neg_topics"})
-    full = full_vote_topics(ensemble)
+    scored = score_tallies(counted, ensemble, {*keep, "neg_topics"})
+    full = full_topics(ensemble.spec.topics, ensemble.spec.votes, F.col("tallies"))
     if has_negatives:
         if missing_vote == "exclude":
             empty = F.array().cast("array<int>")
@@ -155,5 +210,5 @@ def ensemble_verdicts(
         else:
             full = F.array_except(full, "neg_topics")
     return scored.select(*keep, full.alias("full_topics")).withColumn(
-        "verdict", F.when(F.size("full_topics") == 1, F.get("full_topics", F.lit(0)))
+        "verdict", only_topic("full_topics")
     )

@@ -35,7 +35,15 @@ from topicvote.operators.sampling import (
     sample_number_log,
     training_class_counts,
 )
-from topicvote.operators.scoring import ensemble_verdicts, vote_table
+from topicvote.operators.scoring import (
+    ensemble_verdicts,
+    full_topics,
+    only_topic,
+    score_tallies,
+    strictness_verdicts,
+    tally_rows,
+    vote_table,
+)
 from topicvote.plans.inputs import (
     FOLD,
     corpus,
@@ -308,20 +316,33 @@ def votes_wide(spark, folder):
     return votes.wide_votes(_nb_votes(spark, folder))
 
 
+def _tallies(spark, folder, keep=("doc_id",)) -> DataFrame:
+    """Tallies of the test rows, inside their rows."""
+    rows, vocabulary = training_rows(spark, folder)
+    ensemble = naive_bayes.fit_ensemble(rows, vocabulary, SPEC)
+    return score_tallies(rows.where(F.col("in_train") == 0), ensemble, keep)
+
+
+def _full(spark, folder) -> DataFrame:
+    full = full_topics(SPEC.topics, SPEC.votes, F.col("tallies"))
+    return _tallies(spark, folder).select("doc_id", full.alias("full"))
+
+
 @query
 def vote_tally(spark, folder):
-    return votes.vote_tally(_nb_votes(spark, folder))
+    return _tallies(spark, folder).select("doc_id", F.inline(tally_rows(SPEC.topics)))
 
 
 @query
 def unanimous_verdict(spark, folder):
-    tally = votes.vote_tally(_nb_votes(spark, folder))
-    return votes.unanimous_verdicts(tally, SPEC.votes)
+    full = _full(spark, folder)
+    return full.where(F.size("full") == 1).select("doc_id", only_topic("full").alias("verdict"))
 
 
 @query
 def tied_docs(spark, folder):
-    return votes.tied_documents(votes.vote_tally(_nb_votes(spark, folder)), SPEC.votes)
+    full = _full(spark, folder)
+    return full.where(F.size("full") > 1).select("doc_id", F.size("full").cast("bigint").alias("n_full"))
 
 
 @query
@@ -329,9 +350,8 @@ def verdict_strictness_sweep(spark, folder):
     rows, vocabulary = training_rows(spark, folder)
     ensemble = naive_bayes.fit_ensemble(rows, vocabulary, GRID)
     test = rows.where(F.col("in_train") == 0)
-    given = votes.strictness_verdicts(vote_table(test, ensemble), GRID.outer)
-    truth = rows.select("doc_id", "label", "in_train").where(F.col("in_train") == 0)
-    hits = given.join(truth, "doc_id").groupBy("g").agg(
+    given = strictness_verdicts(test, ensemble, ["doc_id", "label"])
+    hits = given.groupBy("g").agg(
         F.count("*").alias("n_verdicts"),
         F.count_if(F.col("label") == F.col("verdict")).alias("tp"),
     )
