@@ -16,6 +16,7 @@ from topicvote.constants import (
     STOPWORDS,
     TOPIC_NAMES,
     TOPICS,
+    VARIANT_NAMES,
 )
 
 P = 2147483647
@@ -132,7 +133,7 @@ def models(state: str, tag: str, outer: int = 3, inner: int = 3, shared: bool =
     ]
 
 
-def nb_votes(state: str, tag: str) -> list[tuple[str, str]]:
+def nb_votes(state: str, tag: str, n_votes: int = 9) -> list[tuple[str, str]]:
     """One-vs-rest naive Bayes votes of the test rows, topics without positives voting 0."""
     return [
         (
@@ -194,8 +195,8 @@ def nb_votes(state: str, tag: str) -> list[tuple[str, str]]:
             f"coded{tag}",
             f"""SELECT s.*, f.n_full, CASE WHEN f.n_full = 1 THEN f.topic END AS verdict
                 FROM {state} s JOIN (
-                    SELECT doc_id, count(*) FILTER (tally = 9) AS n_full,
-                           max(topic) FILTER (tally = 9) AS topic
+                    SELECT doc_id, count(*) FILTER (tally = {n_votes}) AS n_full,
+                           max(topic) FILTER (tally = {n_votes}) AS topic
                     FROM tally{tag} GROUP BY doc_id) f USING (doc_id)""",
         ),
         (
@@ -276,13 +277,13 @@ def routed(tag: str, keep_negatives: bool) -> list[tuple[str, str]]:
     ]
 
 
-def round_steps(variant: str, number: int, fold_tag: str = "", before: str | None = None):
+def round_steps(variant: str, number: int, fold_tag: str = "", before: str | None = None, side: int = 3):
     """All expressions of one round, ending in the next state."""
     tag = f"{fold_tag}_{number}"
     state = before or f"state{fold_tag}{number - 1}"
     after = f"state{fold_tag}{number}"
     columns = "doc_id, sim, x, label, original_label, in_train, neg"
-    steps = models(state, tag) + nb_votes(state, tag)
+    steps = models(state, tag, side, side) + nb_votes(state, tag, side * side)
     trained = f"SELECT {columns} FROM {state} WHERE in_train = 1"
     if variant == "v0":
         steps += [
@@ -333,8 +334,8 @@ def named(source: str, key: str = "topic") -> str:
     return f"(SELECT category FROM names n WHERE n.topic = {source}.{key})"
 
 
-FIRST = BASE + start(FOLD) + models("state0", "_1") + nb_votes("state0", "_1")
-GRID_STEPS = BASE + start(FOLD) + models("state0", "_1", 5, 5) + nb_votes("state0", "_1")
+FIRST = BASE + start(FOLD) + models("state0", "_1", 7, 7) + nb_votes("state0", "_1", 49)
+GRID_STEPS = BASE + start(FOLD) + models("state0", "_1", 10, 10) + nb_votes("state0", "_1", 100)
 
 RECALLS = "tp / nullif(tp + fp, 0)", "tp / n_items"
 
@@ -427,7 +428,8 @@ NB_ALL = (
 VOTE_ALL: list[tuple[str, str]] = []
 for _f in (1, 2, 3):
     VOTE_ALL += start(_f, f"start_f{_f}")
-    VOTE_ALL += models(f"start_f{_f}", f"_f{_f}") + nb_votes(f"start_f{_f}", f"_f{_f}")
+    VOTE_ALL += models(f"start_f{_f}", f"_f{_f}", 7, 7)
+    VOTE_ALL += nb_votes(f"start_f{_f}", f"_f{_f}", 49)
 VOTE_ALL += [
     (
         "vote_rows",
@@ -455,10 +457,10 @@ BOTH = (
 )
 
 
-def workflow(variant: str, n_rounds: int, fold: int = FOLD, fold_tag: str = ""):
+def workflow(variant: str, n_rounds: int, fold: int = FOLD, fold_tag: str = "", side: int = 3):
     steps = start(fold, f"state{fold_tag}0")
     for number in range(1, n_rounds + 1):
-        steps += round_steps(variant, number, fold_tag)
+        steps += round_steps(variant, number, fold_tag, side=side)
     return steps
 
 
@@ -615,7 +617,7 @@ def oracle_sql() -> dict[str, str]:
         "negative_sample_numbers": sql(FIRST, SAMPLE_LOG),
         "negative_sample": sql(FIRST, DRAWN),
         "negative_sample_shared": sql(
-            BASE + start(FOLD) + models("state0", "_1", shared=True), DRAWN
+            BASE + start(FOLD) + models("state0", "_1", 7, 7, shared=True), DRAWN
         ),
         "nb_multiclass": sql(NB_ALL, "SELECT doc_id, sim, label, verdict FROM best_m3"),
         "nb_index_map": sql(
@@ -650,7 +652,7 @@ def oracle_sql() -> dict[str, str]:
                 (
                     "graded",
                     """SELECT doc_id, g, topic, sum(vote) = any_value(g.g * g.g) AS is_full
-                       FROM votes_1, range(1, 6) AS g(g) WHERE i <= g AND j <= g
+                       FROM votes_1, range(1, 11) AS g(g) WHERE i <= g AND j <= g
                        GROUP BY doc_id, g, topic""",
                 ),
                 (
@@ -681,7 +683,7 @@ def oracle_sql() -> dict[str, str]:
                FROM corpus c LEFT JOIN decided_1 d USING (doc_id)""",
         ),
         "train_test_split_round": sql(
-            BASE + workflow("v0", 1),
+            BASE + workflow("v0", 1, side=7),
             """SELECT label, count(*) FILTER (in_train = 1) AS n_train,
                       count(*) FILTER (in_train = 0) AS n_test FROM state1 GROUP BY label""",
         ),
@@ -711,7 +713,7 @@ def oracle_sql() -> dict[str, str]:
             FIRST, "SELECT doc_id, label, 1 AS in_train FROM decided_1 WHERE n_full > 1"
         ),
         "known_negative_training": sql(
-            BASE + workflow("v2", 1) + models("state1", "_2"),
+            BASE + workflow("v2", 1, side=7) + models("state1", "_2"),
             "SELECT topic, label, non AS non_label_all, train_all FROM plan_2",
         ),
         "verdict_flags": sql(
@@ -845,91 +847,95 @@ def oracle_sql() -> dict[str, str]:
     }
     for variant in ("v0", "v1", "v2", "v3", "v4"):
         out[f"workflow_{variant}"] = sql(
-            BASE + workflow(variant, 3),
-            f"SELECT doc_id, label, original_label, in_train, {NEGATIVES} FROM state3",
+            BASE + workflow(variant, 5),
+            f"SELECT doc_id, label, original_label, in_train, {NEGATIVES} FROM state5",
         )
 
-    v3 = BASE + all_folds("v3", 2, "g")
-    v3 += [
-        (
-            "final_rows",
-            " UNION ALL ".join(
-                f"""SELECT sim, original_label AS label, CASE WHEN in_train = 1 THEN label END AS verdict
-                    FROM stateg{f}r2 WHERE sim = {f}"""
-                for f in (1, 2, 3)
+    for v in list(VARIANT_NAMES)[1:]:
+        summaries = BASE + all_folds(v, 5, v)
+        summaries += [
+            (
+                f"final_rows_{v}",
+                " UNION ALL ".join(
+                    f"""SELECT sim, original_label AS label, CASE WHEN in_train = 1 THEN label END AS verdict
+                        FROM state{v}{f}r5 WHERE sim = {f}"""
+                    for f in (1, 2, 3)
+                ),
             ),
-        ),
-        *pr_steps("final_rows", "_final"),
-        (
-            "counters",
-            union_all([f"numbersg{f}r_{n}" for f in (1, 2, 3) for n in (1, 2)]),
-        ),
-        (
-            "counter_sums",
-            "SELECT topic, "
-            + ", ".join(
-                f"CAST(sum({c}) AS BIGINT) AS {c}"
-                for c in (
-                    "num_classified",
-                    "num_sample",
-                    "num_non_sample",
-                    "num_correct",
-                    "num_incorrect",
-                    "num_added_to_training",
+            *pr_steps(f"final_rows_{v}", f"_final_{v}"),
+            (
+                f"counters_{v}",
+                union_all([f"numbers{v}{f}r_{n}" for f in (1, 2, 3) for n in range(1, 6)]),
+            ),
+            (
+                f"counter_sums_{v}",
+                "SELECT topic, "
+                + ", ".join(
+                    f"CAST(sum({c}) AS BIGINT) AS {c}"
+                    for c in (
+                        "num_classified",
+                        "num_sample",
+                        "num_non_sample",
+                        "num_correct",
+                        "num_incorrect",
+                        "num_added_to_training",
+                    )
                 )
-            )
-            + " FROM counters GROUP BY topic",
-        ),
-        (
-            "summary",
-            """SELECT topic, CAST(sum(tp) AS BIGINT) AS one, CAST(sum(fp) AS BIGINT) AS zero,
-                      CAST(sum(tp + fp) AS BIGINT) AS total_result,
-                      CAST(sum(n_items) AS BIGINT) AS n_items,
-                      avg("precision") AS "precision", avg(recall) AS recall
-               FROM pr_final GROUP BY topic""",
-        ),
-        ("joined", "SELECT * FROM summary LEFT JOIN counter_sums USING (topic)"),
-    ]
-    sums = (
-        "one",
-        "zero",
-        "total_result",
-        "n_items",
-        "num_classified",
-        "num_sample",
-        "num_non_sample",
-        "num_correct",
-        "num_incorrect",
-        "num_added_to_training",
-    )
-    listed = ", ".join(sums)
-    totals = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in sums)
-    out["variant_summary"] = sql(
-        v3,
-        f"""SELECT topic, {listed}, round("precision", 6) AS "precision", round(recall, 6) AS recall
-            FROM joined UNION ALL
-            SELECT 0, {totals}, round(sum(one) / sum(total_result), 6),
-                   round(sum(one) / sum(n_items), 6) FROM joined""",
-    )
-    both = BASE + all_folds("v1", 2, "b") + all_folds("v0", 2, "m")
-    both.append(
-        (
-            "progress",
-            " UNION ALL ".join(
-                f"""SELECT '{v}' AS variant, {n} AS round, num_classified, num_added_to_training,
-                           num_sample FROM numbers{tag}{f}r_{n}"""
-                for v, tag in (("v1", "b"), ("v0", "m"))
-                for f in (1, 2, 3)
-                for n in (1, 2)
+                + f" FROM counters_{v} GROUP BY topic",
+            ),
+            (
+                f"summary_{v}",
+                f"""SELECT topic, CAST(sum(tp) AS BIGINT) AS one, CAST(sum(fp) AS BIGINT) AS zero,
+                          CAST(sum(tp + fp) AS BIGINT) AS total_result,
+                          CAST(sum(n_items) AS BIGINT) AS n_items,
+                          avg("precision") AS "precision", avg(recall) AS recall
+                   FROM pr_final_{v} GROUP BY topic""",
             ),
+            (f"joined_{v}", f"SELECT * FROM summary_{v} LEFT JOIN counter_sums_{v} USING (topic)"),
+        ]
+        sums = (
+            "one",
+            "zero",
+            "total_result",
+            "n_items",
+            "num_classified",
+            "num_sample",
+            "num_non_sample",
+            "num_correct",
+            "num_incorrect",
+            "num_added_to_training",
+        )
+        listed = ", ".join(sums)
+        totals = ", ".join(f"CAST(sum({c}) AS BIGINT) AS {c}" for c in sums)
+        out["variant_summary" if v == "v3" else f"variant_summary_{v}"] = sql(
+            summaries,
+            f"""SELECT topic, {listed}, round("precision", 6) AS "precision", round(recall, 6) AS recall
+                FROM joined_{v} UNION ALL
+                SELECT 0, {totals}, round(sum(one) / sum(total_result), 6),
+                       round(sum(one) / sum(n_items), 6) FROM joined_{v}""",
+        )
+    for name, variants in (("convergence", ("v0", "v1")), ("convergence_gated", ("v2", "v3", "v4"))):
+        study = list(BASE)
+        for v in variants:
+            study += all_folds(v, 5, v)
+        study.append(
+            (
+                "progress",
+                " UNION ALL ".join(
+                    f"""SELECT '{v}' AS variant, {n} AS round, num_classified, num_added_to_training,
+                               num_sample FROM numbers{v}{f}r_{n}"""
+                    for v in variants
+                    for f in (1, 2, 3)
+                    for n in range(1, 6)
+                ),
+            )
+        )
+        out[name] = sql(
+            study,
+            """SELECT variant, CAST(round AS INT) AS round,
+                      round(sum(num_classified) / 3, 6) AS num_classified,
+                      round(sum(num_added_to_training) / 3, 6) AS num_added_to_training,
+                      round(sum(num_sample) / 3, 6) AS num_sample
+               FROM progress GROUP BY variant, round""",
         )
-    )
-    out["convergence"] = sql(
-        both,
-        """SELECT variant, CAST(round AS INT) AS round,
-                  round(sum(num_classified) / 3, 6) AS num_classified,
-                  round(sum(num_added_to_training) / 3, 6) AS num_added_to_training,
-                  round(sum(num_sample) / 3, 6) AS num_sample
-           FROM progress GROUP BY variant, round""",
-    )
     return out

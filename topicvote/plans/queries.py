@@ -68,8 +68,8 @@ from topicvote.sources.tables import (
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SPEC = EnsembleSpec()
-GRID = EnsembleSpec(outer=5, inner=5)
+SPEC = EnsembleSpec(outer=7, inner=7)
+GRID = EnsembleSpec(outer=10, inner=10)
 
 
 def query(function: Query) -> Query:
@@ -269,7 +269,7 @@ def negative_sample(spark, folder):
 
 @query
 def negative_sample_shared(spark, folder):
-    shared = EnsembleSpec(repeats="same-sample")
+    shared = EnsembleSpec(outer=7, inner=7, repeats="same-sample")
     return negative_draws(_labelled(spark, folder), shared)
 
 
@@ -486,7 +486,7 @@ def known_negative_training(spark, folder):
     return training_class_counts(state)
 
 
-def _workflow(variant: str, n_rounds: int = 3) -> Query:
+def _workflow(variant: str, n_rounds: int = 5) -> Query:
     def run(spark, folder):
         rows, vocabulary = counted(spark, folder)
         config = rounds.WorkflowConfig(variant=variant, rounds=n_rounds, fold=FOLD)
@@ -641,22 +641,38 @@ def _runs(spark, folder, variants, n_rounds: int) -> list[tuple[int, list]]:
     return [(c.fold, r) for c, r in zip(configs, results, strict=True)]
 
 
-@query
-def variant_summary(spark, folder):
-    runs = _runs(spark, folder, ["v3"], 2)
-    final = _union(rounds.final_verdicts(done[-1].state, fold) for fold, done in runs)
-    numbers = _union(r.numbers for _, done in runs for r in done)
-    summary = metrics.variant_summary(metrics.confusion_cells(final, by=["sim"]), numbers)
-    rest = [c for c in summary.columns if c not in ("precision", "recall")]
-    return summary.select(*rest, *six("precision", "recall")).na.fill(0, ["topic"])
+def _summary(name: str, variant: str) -> Query:
+    """Five rounds of three folds of a variant that checks samples."""
+
+    def run(spark, folder):
+        runs = _runs(spark, folder, [variant], 5)
+        final = _union(rounds.final_verdicts(done[-1].state, fold) for fold, done in runs)
+        numbers = _union(r.numbers for _, done in runs for r in done)
+        summary = metrics.variant_summary(metrics.confusion_cells(final, by=["sim"]), numbers)
+        rest = [c for c in summary.columns if c not in ("precision", "recall")]
+        return summary.select(*rest, *six("precision", "recall")).na.fill(0, ["topic"])
+
+    run.__name__ = name
+    return run
 
 
-@query
-def convergence(spark, folder):
-    runs = _runs(spark, folder, ["v0", "v1"], 2)
-    rows = metrics.convergence(_union(r.numbers for _, done in runs for r in done))
-    names = ["num_classified", "num_added_to_training", "num_sample"]
-    return rows.select("variant", "round", *six(*names))
+def _convergence(name: str, variants: list[str]) -> Query:
+    """Counters of five rounds, means of three folds."""
+
+    def run(spark, folder):
+        runs = _runs(spark, folder, variants, 5)
+        rows = metrics.convergence(_union(r.numbers for _, done in runs for r in done))
+        names = ["num_classified", "num_added_to_training", "num_sample"]
+        return rows.select("variant", "round", *six(*names))
+
+    run.__name__ = name
+    return run
+
+
+for _variant in list(VARIANT_NAMES)[1:]:
+    query(_summary("variant_summary" if _variant == "v3" else f"variant_summary_{_variant}", _variant))
+query(_convergence("convergence", ["v0", "v1"]))
+query(_convergence("convergence_gated", ["v2", "v3", "v4"]))
 
 
 # --- metadata -------------------------------------------------------------------------------
