@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,8 @@ MIN_CHARS = 200
 MIN_WORDS = 100
 MAX_CHAR_DISTANCE = 0.32
 MAX_WORD_DISTANCE = 0.58
+FOREIGN_PART = 0.9
+EXPECTED_COMMON = 20
 LEAST_WORDS = 50
 REPEATED_SHARE = 50
 WINDOW = 3
@@ -100,6 +103,25 @@ class Reference:
     places: dict[bytes, int]
     words: np.ndarray
 
+    @cached_property
+    def common_share(self) -> float:
+        return 1 - float(self.words[-1]) / max(1.0, float(self.words.sum()))
+
+    @cached_property
+    def without_common(self) -> float:
+        """The distance of a text without any common word."""
+        none = np.zeros(len(self.words))
+        none[-1] = 1
+        return distance(none, self.words)
+
+    def is_foreign(self, own: np.ndarray, by_words: float) -> bool:
+        n = own.sum()
+        return bool(
+            n * self.common_share >= EXPECTED_COMMON
+            and n - own[-1] < n * self.common_share / 2
+            and by_words >= FOREIGN_PART * self.without_common
+        )
+
 
 def references(
     docs: DataFrame, text_column: str = "text", lang_column: str = "lang", common: int = COMMON_WORDS
@@ -164,14 +186,16 @@ def judge(text: str | None, reference: Reference | None) -> tuple:
     chars = int(classes.sum())
     failed = len(words) < LEAST_WORDS or 100 * repeats > REPEATED_SHARE * len(words)
     by_chars = by_words = 0.0
+    foreign = False
     if reference is not None:
         by_chars = distance(classes, reference.classes)
         own = np.zeros(len(reference.words))
         for word, n in Counter(words).items():
             own[reference.places.get(word, -1)] += n
         by_words = distance(own, reference.words)
+        foreign = reference.is_foreign(own, by_words)
     far = (chars >= MIN_CHARS and by_chars > MAX_CHAR_DISTANCE) or (
-        len(words) >= MIN_WORDS and by_words > MAX_WORD_DISTANCE
+        len(words) >= MIN_WORDS and (foreign or by_words > MAX_WORD_DISTANCE)
     )
     return (
         len(words),
