@@ -2,7 +2,9 @@
 
 A text is made canonical: small letters, equivalent spellings, no copyright lines, signs to
 blanks, single blanks. The digest of the result is looked up among those of known licences, for
-the whole text, for every paragraph (blank lines between) and for every line. Known texts go
+the whole text, for every paragraph (blank lines between) and for every line. A licence of several
+paragraphs is found inside a text too: where a paragraph is the first of a known licence, as many
+paragraphs as that has are looked up together. Full texts are in the folder ``licenses``. Known texts go
 through the same function, so punctuation, case, line breaks and years do not matter, while a
 text with other words is not that licence.
 
@@ -13,6 +15,8 @@ and units without a letter match nothing.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +76,13 @@ KNOWN = (
         "ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
 )
+# Full texts by SPDX name, and titles that some are headed with.
+KNOWN += tuple((p.stem, "full", p.read_text()) for p in sorted((Path(__file__).parent / "licenses").glob("*.txt")))
+TITLES = (("MIT", "MIT License"), ("MIT", "The MIT License"), ("MIT", "The MIT License (MIT)"), ("ISC", "ISC License"))
+TITLES += (("BSD-2-Clause", "BSD 2-Clause License"), ("BSD-3-Clause", "BSD 3-Clause License"))
+KNOWN += tuple(
+    (name, "full", f"{title}\n\n{text}") for name, title in TITLES for n, form, text in KNOWN if (n, form) == (name, "full")
+)
 # Spellings that mean the same, as (pattern on small letters, replacement).
 SPELLINGS = (
     ("licence", "license"),
@@ -99,17 +110,44 @@ def known_licenses(spark: SparkSession, known=KNOWN) -> DataFrame:
     return rows.groupBy("digest").agg(F.min("of").alias("of")).select("digest", "of.*")
 
 
-def units(text: Column) -> Column:
-    """(unit, digest) of the whole text, its paragraphs if it has more than one, and its lines."""
+def first_paragraphs(spark: SparkSession, known=KNOWN) -> list[tuple[int, int]]:
+    """(digest of the first paragraph, number of paragraphs) of known texts with more than one."""
+    parts = F.filter(F.split("text", PARAGRAPHS), lambda t: canonical(t) != "")
+    table = spark.createDataFrame([(text,) for _, _, text in known], "text string").select(parts.alias("p"))
+    found = table.filter(F.size("p") > 1).select(F.xxhash64(canonical(F.col("p")[0])), F.size("p")).distinct()
+    return sorted(tuple(r) for r in found.collect())
+
+
+def units(text: Column, firsts: list[tuple[int, int]] = ()) -> Column:
+    """(unit, digest) of the whole text, its paragraphs if it has more than one, its lines, and the
+    paragraphs in a row that begin as a known text does (``first_paragraphs``)."""
+    digest = lambda t: F.xxhash64(canonical(t))
     part = lambda name, parts: F.transform(
-        parts, lambda t: F.struct(F.lit(name).alias("unit"), F.xxhash64(canonical(t)).alias("digest"))
+        parts, lambda t: F.struct(F.lit(name).alias("unit"), digest(t).alias("digest"))
     )
     many = lambda parts: F.when(F.size(parts) > 1, parts).otherwise(F.array().cast("array<string>"))
-    return F.concat(
+    found = [
         part("text", F.array(text)),
         part("paragraph", many(F.split(text, PARAGRAPHS))),
         part("line", many(F.split(text, "\n"))),
-    )
+    ]
+    if firsts:
+        rows = F.array(*[F.struct(F.lit(d).cast("long").alias("d"), F.lit(n).alias("n")) for d, n in firsts])
+        # a paragraph of signs or a copyright line alone is none
+        full = F.filter(many(F.split(text, PARAGRAPHS)), lambda t: canonical(t) != "")
+        known = F.array(*[F.lit(d).cast("long") for d in sorted({d for d, _ in firsts})])
+        begins = F.exists(full, lambda t: F.array_contains(known, digest(t)))
+        runs = F.flatten(
+            F.transform(
+                full,
+                lambda t, i: F.transform(
+                    F.filter(rows, lambda r: (r["d"] == digest(t)) & (i + r["n"] <= F.size(full))),
+                    lambda r: F.array_join(F.slice(full, i + 1, r["n"]), "\n\n"),
+                ),
+            )
+        )
+        found.append(part("run", F.when(begins, runs).otherwise(F.array().cast("array<string>"))))
+    return F.concat(*found)
 
 
 def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", known=KNOWN) -> DataFrame:
@@ -117,11 +155,12 @@ def scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     known) and licenses (their distinct names in order, comma-joined) of every row."""
     text = F.coalesce(column(docs, text_column), F.lit(""))
     table = F.broadcast(known_licenses(docs.sparkSession, known))
+    firsts = first_paragraphs(docs.sparkSession, known)
     rows = materialise(
         docs.select(
             column(docs, id_column).alias("doc_id"),
             F.monotonically_increasing_id().alias("row"),
-            units(text).alias("units"),
+            units(text, firsts).alias("units"),
         ),
         "units",
     )
