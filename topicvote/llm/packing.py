@@ -1,10 +1,11 @@
-"""Best-fit packing of documents into sequences by bulk-synchronous rounds.
+"""Best-fit packing of documents into sequences, planned on the driver over counts of lengths.
 
 Documents become token ids and an end token; longer ones than a sequence are cut, and the first
 piece takes what is left over, so that all others fill a sequence each. Pieces are range-sorted by
 length; a piece's rank among its length is its place in that order.
 
-A round takes all pieces of one length, longest first, together. Its successor is the smallest gap
+The plan is a sequential loop on the driver; no round runs on Spark. A round takes all pieces of one
+length, longest first, together. Its successor is the smallest gap
 that holds the length. Ranks resolve conflicts: the gaps of that size take as many pieces each as
 fit, in the order of ranks, and what remains sweeps on to the next larger gap. Only when no gap is
 left, new sequences are opened. Then the gaps are updated and the next round begins. As one length
