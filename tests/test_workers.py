@@ -1,6 +1,9 @@
 import os
 import subprocess
 import sys
+import threading
+import time
+from concurrent.futures import ThreadPoolExecutor
 from pathlib import Path
 
 SCRIPT = """
@@ -22,3 +25,27 @@ def test_workers_find_the_package_from_another_folder(tmp_path):
         env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"},
     )
     assert "stem: run" in done.stdout, done.stderr[-2000:]
+
+
+def test_package_is_shipped_once_by_many_threads(spark, monkeypatch):
+    from topicvote import session
+
+    made, make = [], session.shutil.make_archive
+
+    def slow(*args):
+        time.sleep(0.3)
+        made.append(args)
+        return make(*args)
+
+    monkeypatch.setattr(session.shutil, "make_archive", slow)
+    monkeypatch.setattr(session, "_shipped", set())
+    monkeypatch.setattr(spark.sparkContext, "addPyFile", lambda path: None)
+    together = threading.Barrier(8)
+
+    def ship(_):
+        together.wait()
+        session.ship_package(spark)
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(ship, range(8)))
+    assert len(made) == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import shutil
 import tempfile
+import threading
 import uuid
 from pathlib import Path
 
@@ -11,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _local_dirs: dict[str, str] = {}
 _shipped: set[str] = set()
+_shipping = threading.Lock()
 
 
 def get_session(app_name: str = "topicvote", master: str | None = None, **conf: str) -> SparkSession:
@@ -31,15 +33,17 @@ def get_session(app_name: str = "topicvote", master: str | None = None, **conf:
 
 
 def ship_package(spark: SparkSession | None = None) -> None:
-    """Makes this package importable in the Python workers of the application, once."""
+    """Makes this package importable in the Python workers of the application, once. Driver
+    threads that come meanwhile wait until it is there."""
     spark = spark or SparkSession.active()
     app = spark.sparkContext.applicationId
-    if app not in _shipped:
-        package = Path(__file__).resolve().parent
-        target = Path(tempfile.mkdtemp(prefix="topicvote-")) / package.name
-        archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
-        spark.sparkContext.addPyFile(archive)
-        _shipped.add(app)
+    with _shipping:
+        if app not in _shipped:
+            package = Path(__file__).resolve().parent
+            target = Path(tempfile.mkdtemp(prefix="topicvote-")) / package.name
+            archive = shutil.make_archive(str(target), "zip", package.parent, package.name)
+            spark.sparkContext.addPyFile(archive)
+            _shipped.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
