@@ -137,9 +137,47 @@ FROM d LEFT JOIN r USING (row)
 """
 
 
+COLLOCATIONS = r"""
+WITH t AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(string_split_regex(
+               translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+               '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS words FROM t),
+s AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (
+    SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, k
+    FROM (SELECT *, unnest(range(1, least(5, len(words) - i + 1) + 1)) AS k FROM s)),
+f AS (SELECT lang, phrase, k, count(*) AS a FROM g GROUP BY ALL),
+n AS (SELECT lang, sum(a)::HUGEINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, phrase, k, a, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND a >= 100),
+parts AS (
+    SELECT lang, a, array_to_string(ws[i:i + size - 1], ' ') AS part
+    FROM (SELECT *, unnest(range(1, k - size + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS size FROM c))),
+longer AS (SELECT lang, part AS phrase, max(a) AS most FROM parts GROUP BY ALL),
+cuts AS (
+    SELECT lang, phrase, a, cut, array_to_string(ws[:cut], ' ') AS x, array_to_string(ws[cut + 1:], ' ') AS y
+    FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+q AS (
+    SELECT cuts.lang, cuts.phrase, cuts.a, cut, x.a AS l, y.a AS r, n.n,
+           (1000::HUGEINT * cuts.a * n.n) // (x.a::HUGEINT * y.a) AS score
+    FROM cuts JOIN n USING (lang)
+    JOIN f AS x ON x.lang = cuts.lang AND x.phrase = cuts.x
+    JOIN f AS y ON y.lang = cuts.lang AND y.phrase = cuts.y),
+best AS (SELECT * FROM q QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+kept AS (
+    SELECT best.* FROM best LEFT JOIN longer USING (lang, phrase)
+    WHERE most IS NULL OR 100 * most < 100 * best.a)
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept)
+WHERE rank <= 2000
+"""
+
 ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op2_url_filter": URL_FILTER,
     "op4_secret_scan": SECRET_SCAN,
     "op5_license_scan": _license_scan(),
+    "op13_collocations": COLLOCATIONS,
 }

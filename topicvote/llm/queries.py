@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from topicvote.llm import (
     bpe,
+    collocations,
     exact_dedup,
     license_scan,
     packing,
@@ -114,6 +115,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(docs, pii.fit(docs))
 
 
+def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(documents(spark, folder))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -127,5 +132,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_bpe,
         op10_pii,
+        op13_collocations,
     )
 }
