@@ -174,10 +174,97 @@ FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC
 WHERE rank <= 2000
 """
 
+def _repair() -> str:
+    """States of a conversation are (cost, audit, text) by what was said last, in s0 to s3 (nothing, s,
+    u, a); the smaller of two is the cheaper, then the one with the lesser audit."""
+    far = "{'c': 1000000000, 'a': '', 'r': ''}"
+
+    def least(*states):
+        return f"list_sort([{', '.join(states)}])[1]"
+
+    def said(old, cost, letter, role, text):
+        end = f"CASE WHEN replace({old}.a, 'D', '') = '' THEN '' ELSE chr(10) END"
+        return f"{{'c': {old}.c + {cost}, 'a': {old}.a || '{letter}', 'r': {old}.r || {end} || {role} || ':' || {text}}}"
+
+    def deleted(old):
+        return f"{{'c': {old}.c + 4, 'a': {old}.a || 'D', 'r': {old}.r}}"
+
+    def inserted(old, *roles):
+        for role in roles:
+            old = "(" + said(old, 3, "I", quoted(role), "''") + ")"
+        return old
+
+    def given(old, initial, role):
+        keep, change = said(old, "extra", "K", "role", "text"), said(old, "extra + 3", "R", quoted(role), "text")
+        return f"CASE WHEN fault IN (1, 2) THEN {far} WHEN initial = '{initial}' THEN {keep} ELSE {change} END"
+
+    kept_s = f"CASE WHEN fault IN (1, 2) OR initial <> 's' THEN {far} ELSE {said('s0', 'extra', 'K', 'role', 'text')} END"
+    return rf"""
+WITH RECURSIVE
+e AS (
+    SELECT list(list_reduce(list_prepend(n, [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                lambda x, y: CASE WHEN x & 1 = 1 THEN xor(3988292384, x >> 1) ELSE x >> 1 END) ORDER BY n) AS t
+    FROM (SELECT unnest(range(256)) AS n)),
+b AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+           list_prepend(4294967295::BIGINT, list_transform(string_split(
+               coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''),
+               lambda x: ord(x)::BIGINT)) AS name
+    FROM conversations),
+f AS (
+    SELECT conv_id, turn, role, text, xor(4294967295,
+           list_reduce(name, lambda x, y: xor(t[(xor(x, y) & 255) + 1], x >> 8))) % 20 AS f
+    FROM b, e),
+d AS (
+    SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+           CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+           unnest(range(CASE f WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy
+    FROM f),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, copy) AS i FROM d),
+r AS (
+    SELECT *, CASE fault WHEN 3 THEN 3 ELSE 0 END AS extra FROM (
+        SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+               CASE WHEN NOT regexp_matches(text, '[^ 	-]') THEN 1
+                    WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2
+                    WHEN NOT regexp_matches(text, '[.!?][ 	-]*$') THEN 3 ELSE 0 END AS fault
+        FROM o)),
+w AS (
+    SELECT DISTINCT conv_id, 0::BIGINT AS i, {{'c': 0, 'a': '', 'r': ''}} AS s0, {far} AS s1,
+           {{'c': 3, 'a': 'I', 'r': 'user:'}} AS s2, {{'c': 6, 'a': 'II', 'r': 'user:' || chr(10) || 'assistant:'}} AS s3
+    FROM d
+    UNION ALL
+    SELECT conv_id, i, n0, n1,
+           {least("n2", inserted("n0", "user"), inserted("n1", "user"), inserted("n3", "user"))},
+           {least("n3", inserted("n2", "assistant"), inserted("n0", "user", "assistant"), inserted("n1", "user", "assistant"))}
+    FROM (
+        SELECT w.conv_id, r.i, {deleted("s0")} AS n0,
+               {least(deleted("s1"), kept_s)} AS n1,
+               {least(deleted("s2"), *(given(x, "u", "user") for x in ("s0", "s1", "s3")))} AS n2,
+               {least(deleted("s3"), given("s2", "a", "assistant"))} AS n3
+        FROM w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)),
+last AS (
+    SELECT conv_id, {least("s0", "s3")} AS best FROM w
+    QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) = 1),
+g AS (
+    SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+           count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate,
+           count(*) FILTER (fault = 3) AS truncated,
+           count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+    FROM r GROUP BY conv_id),
+c AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost,
+       coalesce(best.a, '') AS audit, sha256(coalesce(best.r, '')) AS repaired_sha256
+FROM c LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM c.conv_id
+LEFT JOIN last ON last.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 ORACLES = {
     "op1_exact_dedup": EXACT_DEDUP,
     "op2_url_filter": URL_FILTER,
     "op4_secret_scan": SECRET_SCAN,
     "op5_license_scan": _license_scan(),
+    "op11_conversation_repair": _repair(),
     "op13_collocations": COLLOCATIONS,
 }

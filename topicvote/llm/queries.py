@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from topicvote.llm import (
     bpe,
     collocations,
+    conversation_repair,
     exact_dedup,
     license_scan,
     packing,
@@ -115,6 +116,36 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return pii.spans(docs, pii.fit(docs))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults that a checksum of conversation and turn chooses."""
+    name = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(name("conv_id"), F.lit(":"), name("turn"))) % 20
+    text = F.coalesce("text", F.lit(" "))
+    changed = rows.select(
+        "conv_id",
+        "turn",
+        F.when(fault == 4, "user").otherwise(F.coalesce("role", F.lit(" "))).alias("role"),
+        F.when(fault == 1, "").when(fault == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.when(fault == 0, 0).when(fault == 3, 2).otherwise(1).alias("copies"),
+    )
+    return changed.withColumn("_", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("_", "copies")
+
+
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    rows = spark.read.parquet(f"{folder}/conversations.parquet")
+    fixed = conversation_repair.repair(damaged(rows))
+    texts = conversation_repair.digests(fixed.steps).withColumnRenamed("conv_id", "id")
+    found = fixed.summary.join(texts, F.col("conv_id").eqNullSafe(F.col("id"))).drop("id")
+    every = rows.select(F.col("conv_id").alias("id")).distinct()
+    counters = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("id")), "left").select(
+        F.col("id").alias("conv_id"),
+        *[F.coalesce(c, F.lit(0)).cast("bigint").alias(c) for c in counters],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(documents(spark, folder))
 
@@ -132,6 +163,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_quality_rules,
         op9_bpe,
         op10_pii,
+        op11_conversation_repair,
         op13_collocations,
     )
 }
