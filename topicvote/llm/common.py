@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from topicvote.session import materialise
 
 HOT_SHARE = 1000
 BROADCAST_BYTES = 32 << 20
+GROUP_ROWS = 1 << 15
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -69,3 +71,38 @@ def text_slices(batch: pa.RecordBatch, name: str = "text", characters: int = 1 <
             first, texts, size = at + 1, [], 0
     if texts:
         yield first, texts
+
+
+def sorted_groups(
+    batches: Iterator[pa.RecordBatch], key: str, most: int | None = None, rows: int = GROUP_ROWS
+) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Whole groups of rows sorted by ``key``, about ``rows`` rows at a time: a table, a number for the
+    group of each row, and of the part of its group. With ``most`` a group is cut into parts of so
+    many rows, and whole parts are given out, so that no group is held as a whole."""
+    held, given = None, 0
+
+    def cut(table: pa.Table, last: bool):
+        nonlocal held, given
+        codes = table.column(key).chunk(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
+        heads = np.flatnonzero(np.diff(codes, prepend=-1))
+        inside = np.arange(len(codes)) - np.repeat(heads, np.diff(heads, append=len(codes)))
+        part = inside // most if most else np.zeros(len(codes), np.int64)
+        part[: heads[1] if len(heads) > 1 else len(codes)] += given
+        done = len(codes)
+        if not last:
+            others = np.flatnonzero((codes != codes[-1]) | (part != part[-1]))
+            done = int(others[-1]) + 1 if len(others) else 0
+        held, given = table.slice(done), int(part[-1]) if most and not last else 0
+        return table.slice(0, done), codes[:done], part[:done]
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        held = table if held is None else pa.concat_tables([held, table])
+        if held.num_rows >= rows:
+            found = cut(held.combine_chunks(), False)
+            if found[0].num_rows:
+                yield found
+    if held is not None and held.num_rows:
+        yield cut(held.combine_chunks(), True)

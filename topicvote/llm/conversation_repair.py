@@ -29,7 +29,6 @@ steps but the last, where rows are joined with their texts by row number.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -38,11 +37,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicvote.llm.common import column
+from topicvote.llm.common import column, sorted_groups
 from topicvote.session import materialise, ship_package
 
 SEGMENT = 2048
-BATCH = 1 << 15
 BLANK, DUPLICATE, TRUNCATED = 1, 2, 3
 DELETE, INSERT, KEEP, REROLE = b"DIKR"
 NEXT = np.array([2, 2, 3, 2])  # the state that user or assistant leads to
@@ -153,43 +151,12 @@ def least_paths(
     return out
 
 
-def _complete(batches: Iterator[pa.RecordBatch], key: str, segment: int | None = None) -> Iterator[tuple]:
-    """(rows, number of the segment of each, in its conversation) of sorted rows: whole groups of
-    ``key``, or parts of ``segment`` rows of them, as many as a batch completes."""
-    held, given = None, 0
-
-    def cut(table, last):
-        nonlocal held, given
-        codes = table.column(key).chunk(0).dictionary_encode(null_encoding="encode").indices.to_numpy()
-        heads = np.flatnonzero(np.diff(codes, prepend=-1))
-        inside = np.arange(len(codes)) - np.repeat(heads, np.diff(heads, append=len(codes)))
-        number = inside // segment if segment else np.zeros(len(codes), np.int64)
-        number[: heads[1] if len(heads) > 1 else len(codes)] += given
-        done = len(codes)
-        while not last and done and codes[done - 1] == codes[-1] and number[done - 1] == number[-1]:
-            done -= 1
-        held, given = table.slice(done), 0 if last or not segment else int(number[-1])
-        return table.slice(0, done), codes[:done], number[:done]
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        table = pa.Table.from_batches([batch])
-        held = table if held is None else pa.concat_tables([held, table])
-        if held.num_rows >= BATCH:
-            part = cut(held.combine_chunks(), False)
-            if part[0].num_rows:
-                yield part
-    if held is not None and held.num_rows:
-        yield cut(held.combine_chunks(), True)
-
-
 def _segmented(batches):
     """Sorted rows (conv_id, rid, kind, fault) with the number of their segment and their place in it; the last
     row of a segment has its costs, first and last initials and illegal pairs."""
     part, given = TaskContext.get().partitionId() << 33, 0
     unit = np.where(np.eye(4, dtype=bool), 0, FAR)
-    for table, codes, number in _complete(batches, "conv_id", SEGMENT):
+    for table, codes, number in sorted_groups(batches, "conv_id", SEGMENT):
         n = table.num_rows
         kind, fault = (table.column(c).to_numpy().astype(np.int64) for c in ("kind", "fault"))
         heads = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(number, prepend=-1) != 0))
@@ -274,7 +241,7 @@ def _ends_schema(batch: pa.RecordBatch) -> pa.Schema:
 def _solved(batches):
     """Rows (segment, seq, rid, kind, fault) behind a row of their segment's ends (seq -1), sorted: a row for
     each segment with its paths from all states it may be entered with."""
-    for table, _, _ in _complete(batches, "segment"):
+    for table, _, _ in sorted_groups(batches, "segment"):
         seq = table.column("seq").to_numpy()
         heads = np.flatnonzero(seq < 0)
         sizes = np.diff(heads, append=len(seq)) - 1

@@ -13,6 +13,7 @@ from topicvote.llm import (
     conversation_repair,
     exact_dedup,
     license_scan,
+    nn_descent,
     packing,
     pii,
     quality_classifier,
@@ -146,6 +147,12 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    found = nn_descent.nearest(vectors, vectors.filter("vec_id % 20 = 0"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op13_collocations(spark: SparkSession, folder: str) -> DataFrame:
     return collocations.collocations(documents(spark, folder))
 
@@ -164,6 +171,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_bpe,
         op10_pii,
         op11_conversation_repair,
+        op12_nearest_neighbours,
         op13_collocations,
     )
 }
