@@ -1,10 +1,11 @@
 import numpy as np
 import pytest
-from pyspark.ml.classification import NaiveBayes
+from pyspark.ml.classification import LinearSVC, NaiveBayes
 from pyspark.sql import functions as F
 
+from topicvote.functions.hashing import draw
 from topicvote.functions.labels import binary_label
-from topicvote.operators import flags, linear_svm, naive_bayes, votes
+from topicvote.operators import flags, hinge, linear_svm, naive_bayes, scoring, votes
 from topicvote.operators.features import (
     count_vectors,
     fit_vocabulary,
@@ -16,7 +17,7 @@ from topicvote.operators.features import (
 )
 from topicvote.operators.flags import Flag, flag_vectors, flagged_sums
 from topicvote.operators.rounds import start_state
-from topicvote.operators.sampling import EnsembleSpec
+from topicvote.operators.sampling import EnsembleSpec, negatives_flag, sampling_thresholds
 from topicvote.operators.scoring import (
     LinearEnsemble,
     ensemble_verdicts,
@@ -138,11 +139,11 @@ def test_sums_of_few_buffered_entries(prepared, monkeypatch):
     """Flushing early, in small chunks and reading block by block changes nothing."""
     _, vocabulary, rows = prepared
     wanted = [Flag(1), Flag(1, True), *[Flag(1, True, (7, k), 1 << 29) for k in range(40)]]
-    whole = list(flag_vectors(flagged_sums(rows, wanted), len(wanted), len(vocabulary)))
+    whole = list(flag_vectors(flagged_sums(rows, wanted), len(vocabulary)))
     monkeypatch.setattr(flags, "CHUNK_ENTRIES", 50)
     monkeypatch.setattr(flags, "BUFFERED_ENTRIES", 300)
-    parts = list(flag_vectors(flagged_sums(rows, wanted), len(wanted), len(vocabulary), read_bytes=1))
-    assert [k for k, *_ in parts] == list(range(len(wanted)))
+    parts = list(flag_vectors(flagged_sums(rows, wanted), len(vocabulary), read_bytes=1))
+    assert [flag for flag, *_ in parts] == wanted
     for (_, a, n), (_, b, m) in zip(whole, parts, strict=True):
         assert n == m > 0
         assert a.tolist() == b.tolist()
@@ -204,3 +205,123 @@ def test_multiclass_naive_bayes(prepared):
     coded = naive_bayes.multiclass_verdicts(tfidf_vectors(rows, vocabulary), 3)
     assert {r.verdict for r in coded.collect()} <= {1, 5, 100}
     assert coded.where("label = verdict").count() / coded.count() > 0.9
+
+
+def test_a_tile_of_models_at_a_time_gives_the_same_tallies(prepared):
+    _, vocabulary, rows = prepared
+    ensemble = naive_bayes.fit_ensemble(rows, vocabulary, EnsembleSpec(outer=2, inner=2))
+    small = 8 * len(vocabulary) * 3
+    assert scoring.tile_models(len(vocabulary), small) == 3 < ensemble.weights.shape[1]
+    assert scoring.tile_models(262_144) * 262_144 * 8 <= scoring.TILE_BYTES
+    whole, tiled = (
+        {r.doc_id: r.tallies for r in score_tallies(rows, ensemble, tile_bytes=b).collect()}
+        for b in (scoring.TILE_BYTES, small)
+    )
+    assert whole == tiled
+
+
+def test_folds_of_one_pass(prepared):
+    """All folds fitted and scored together equal folds of their own."""
+    _, vocabulary, rows = prepared
+    spec = EnsembleSpec(outer=2, inner=2)
+    every = start_state(rows.drop("row_hash", "original_label", "in_train", "neg_topics"), 0)
+    together = naive_bayes.fit_folds(every, vocabulary, spec)
+    coded = {r.doc_id: r.verdict for r in ensemble_verdicts(every, together, keep=["doc_id", "sim"]).collect()}
+    for fold in (1, 2, 3):
+        state = start_state(every.drop("row_hash", "original_label", "in_train", "neg_topics"), fold)
+        alone = naive_bayes.fit_ensemble(state, vocabulary, spec)
+        assert np.array_equal(alone.weights, together[fold].weights)
+        assert np.array_equal(alone.intercepts, together[fold].intercepts)
+        test = ensemble_verdicts(state.where("in_train = 0"), alone)
+        assert {r.doc_id: r.verdict for r in test.collect()}.items() <= coded.items()
+    assert any(coded.values())
+
+
+def test_sums_of_what_has_changed(prepared):
+    """Models from the sums of the round before and the changes equal those of a full pass."""
+    _, vocabulary, rows = prepared
+    spec = EnsembleSpec(outer=2, inner=2)
+    before = naive_bayes.fit_ensemble(rows, vocabulary, spec).sums
+    moved = F.col("doc_id") % 7 == 3
+    changed = rows.select(
+        *[c for c in rows.columns if c not in ("label", "in_train", "neg_topics")],
+        *[F.col(c).alias(flags.BEFORE + c) for c in ("label", "in_train", "neg_topics")],
+        F.when(F.col("doc_id") % 20 == 1, 5).otherwise(F.col("label")).alias("label"),
+        F.when(moved, 1 - F.col("in_train")).otherwise(F.col("in_train")).alias("in_train"),
+        F.when(F.col("doc_id") % 11 == 2, F.array(F.lit(1))).otherwise(F.col("neg_topics")).alias("neg_topics"),
+    )
+    full = naive_bayes.fit_ensemble(changed, vocabulary, spec)
+    step = naive_bayes.fit_ensemble(changed, vocabulary, spec, before=before)
+    assert np.array_equal(full.intercepts[full.model_of], step.intercepts[step.model_of])
+    assert np.array_equal(full.weights[:, full.model_of], step.weights[:, step.model_of])
+    assert 0 < step.sums.touched < full.sums.touched
+    same = changed.drop("label", "in_train", "neg_topics").withColumnsRenamed(
+        {flags.BEFORE + c: c for c in ("label", "in_train", "neg_topics")}
+    )
+    same = same.withColumns({flags.BEFORE + c: F.col(c) for c in ("label", "in_train", "neg_topics")})
+    assert naive_bayes.fit_ensemble(same, vocabulary, spec, before=before).sums.touched == 0
+
+
+def _objective(vectors, weight, intercept, penalty=0.1):
+    """Mean hinge loss of standardised features and the penalty, as the library states it."""
+    rows = [(r.features.toArray(), 2 * r.y - 1) for r in vectors.collect()]
+    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    scaled = weight * x.std(axis=0, ddof=1)
+    return np.maximum(0, 1 - y * (x @ weight + intercept)).mean() + penalty / 2 * (scaled @ scaled)
+
+
+def test_machines_fitted_together_against_the_library(prepared):
+    """No worse an objective than the library's own learner after as many steps."""
+    _, vocabulary, rows = prepared
+    spec = EnsembleSpec(topics=[1, 5, 100], outer=2, inner=1)
+    rows = rows.cache()
+    for steps, worse in ((20, 2e-3), (60, 1e-4)):
+        ensemble = linear_svm.fit_ensemble(rows, vocabulary, spec, max_iter=steps)
+        for n, topic in enumerate((1, 5, 100)):
+            flag = negatives_flag(sampling_thresholds(rows, spec), spec, topic, 1, 1)
+            chosen = F.col("label") == topic
+            if flag.threshold is not None:
+                chosen = chosen | (draw("row_hash", *flag.key) < flag.threshold)
+            train = tfidf_vectors(rows.where("in_train = 1").where(chosen | F.lit(flag.threshold is None)), vocabulary)
+            train = train.withColumn("y", binary_label("label", topic)).cache()
+            model = LinearSVC(labelCol="y", maxIter=steps, regParam=0.1).fit(train)
+            at = ensemble.model_of[2 * n]
+            mine = ensemble.weights[:, at] / np.where(vocabulary.idf > 0, vocabulary.idf, 1)
+            theirs = model.coefficients.toArray()
+            here = _objective(train, mine, ensemble.intercepts[at])
+            assert here <= _objective(train, theirs, model.intercept) + 2e-3
+            close[steps, topic] = np.abs(mine - theirs).max()
+    assert max(v for (steps, _), v in close.items() if steps == 300) < 0.05
+
+
+def test_machines_in_tiles_and_summed_on_executors(prepared, monkeypatch):
+    _, vocabulary, rows = prepared
+    spec = EnsembleSpec(topics=[1, 5, 100], outer=2, inner=2)
+    whole = linear_svm.fit_ensemble(rows, vocabulary, spec, max_iter=6)
+    monkeypatch.setattr(hinge, "DIRECT_BYTES", 0)
+    monkeypatch.setattr(hinge, "CHUNK_TERMS", 5)
+    machines = [hinge.Machine(Flag(1), Flag(1, True)), hinge.Machine(Flag(5), Flag(100))]
+    vectors = linear_svm.training_vectors(rows)
+    one = dict((k, (w, b)) for k, w, b in hinge.fit(vectors, machines, len(vocabulary), vocabulary.idf > 0, 6, state_bytes=1))
+    at = whole.model_of[0]
+    assert np.allclose(one[0][0], whole.weights[:, at]) and np.isclose(one[0][1], whole.intercepts[at])
+    assert sorted(one) == [0, 1]
+
+
+def test_pairwise_votes_and_ties(prepared, monkeypatch):
+    _, vocabulary, rows = prepared
+    rows = rows.where("size(term_ids) > 0")
+    coded = linear_svm.pairwise_verdicts(rows, vocabulary, [1, 5, 100]).collect()
+    assert sum(r.label == r.verdict for r in coded) / len(coded) > 0.9
+    assert {r.verdict for r in linear_svm.pairwise_verdicts(rows, vocabulary, [5]).collect()} == {5}
+    # 1 beats 5, 5 beats 100, 100 beats 1: the first of equal ones; a margin of 0 is a vote for the second
+    margins = {(1, 5): 1.0, (1, 100): -1.0, (5, 100): 1.0}
+
+    def fixed(rows, machines, n_terms, *_):
+        for k, m in enumerate(machines):
+            yield k, np.zeros(n_terms), margins[m.yes.topic, m.no.topic]
+
+    monkeypatch.setattr(linear_svm, "fit", fixed)
+    assert {r.verdict for r in linear_svm.pairwise_verdicts(rows, vocabulary, [1, 5, 100]).collect()} == {1}
+    margins[1, 5] = 0.0
+    assert {r.verdict for r in linear_svm.pairwise_verdicts(rows, vocabulary, [1, 5, 100]).collect()} == {5}

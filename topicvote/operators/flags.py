@@ -4,17 +4,21 @@ A model's rows are told by a flag: the training rows of a topic, or the other on
 those with a small draw. The flags of a row follow from its state by arithmetic, so a task makes
 them for blocks of models while it has the row's term counts at hand, sums what it has buffered
 and gives out a row for each term and block. Spark adds these up; the input is read once, however
-many models there are.
+many models and folds there are.
+
+Where the sums of the round before are known, only what has changed is added to them: rows that
+got another label or now train, and rows whose draw lies between the old and the new end of a
+flag's interval. The sums are integers, so they equal those of a full pass.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Collection, Iterator, Sequence
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicvote.functions.hashing import P, draw_coefficients
@@ -25,18 +29,37 @@ BUFFERED_ENTRIES = 1 << 20
 CHUNK_ENTRIES = 1 << 16
 READ_BYTES = 64 * 1024 * 1024
 ROWS_TERM = -1
+TOUCHED_TERM = -2
+BEFORE = "before_"
 NO_LABEL = -(2**31)
 
 
 @dataclass(frozen=True)
 class Flag:
     """The training rows of ``topic``, or if ``negative`` all others and the known negatives of the
-    topic; of these the ones whose draw for ``key`` is below ``threshold``, if one is set."""
+    topic; of these the ones whose draw for ``key`` is below ``threshold``, if one is set. Rows of
+    the ``fold`` do not train, if one is set."""
 
     topic: int
     negative: bool = False
     key: tuple | None = None
     threshold: int | None = None
+    fold: int | None = None
+
+    @property
+    def identity(self) -> Flag:
+        """What stays the same from round to round."""
+        return replace(self, threshold=None)
+
+
+@dataclass(frozen=True)
+class FlagSums:
+    """The written sums of flags; a place that is no longer used is None. ``touched`` is how many
+    (row, flag) pairs were summed for them in the last pass."""
+
+    flags: tuple[Flag | None, ...]
+    table: DataFrame
+    touched: int
 
 
 def entry_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,27 +69,32 @@ def entry_arrays(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndar
     return ids.flatten().to_numpy(), tfs.flatten().to_numpy(), starts.astype(np.int64)
 
 
-class _Rows:
-    """State columns of buffered rows, and the flags that follow from them."""
+class TrainingRows:
+    """State columns of buffered rows, and the flags that follow from them; with ``prefix`` the state
+    of the round before."""
 
-    def __init__(self, batches: Sequence[pa.RecordBatch]):
+    def __init__(self, batches: Sequence[pa.RecordBatch], prefix: str = ""):
         table = pa.Table.from_batches(batches)
-        self.label = table.column("label").fill_null(NO_LABEL).to_numpy()
-        self.train = table.column("in_train").fill_null(0).to_numpy() == 1
+        self.label = table.column(prefix + "label").fill_null(NO_LABEL).to_numpy()
+        self.train = table.column(prefix + "in_train").fill_null(0).to_numpy() == 1
         self.hash = table.column("row_hash").fill_null(0).to_numpy()
-        known = table.column("neg_topics").combine_chunks()
+        self.sim = table.column("sim").fill_null(NO_LABEL).to_numpy() if "sim" in table.column_names else None
+        known = table.column(prefix + "neg_topics").combine_chunks()
         sizes = known.value_lengths().fill_null(0).to_numpy()
         self.known_row = np.repeat(np.arange(len(sizes)), sizes)
         self.known_topic = known.flatten().to_numpy()
 
-    def flags(self, wanted: Sequence[Flag]) -> np.ndarray:
+    def flags(self, wanted: Sequence[Flag | None]) -> np.ndarray:
         out = np.zeros((len(self.label), len(wanted)), bool)
         for k, flag in enumerate(wanted):
+            if flag is None:
+                continue
             is_topic = self.label == flag.topic
+            trains = self.train if flag.fold is None else self.train & (self.sim != flag.fold)
             if not flag.negative:
-                out[:, k] = self.train & is_topic
+                out[:, k] = trains & is_topic
                 continue
-            chosen = self.train.copy()
+            chosen = trains.copy()
             chosen[self.known_row[self.known_topic == flag.topic]] = True
             chosen &= ~is_topic
             if flag.threshold is not None:
@@ -85,11 +113,12 @@ def _block_rows(block: int, terms: np.ndarray, sums: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays(columns, names)
 
 
-def _partial_sums(flags: Sequence[Flag], with_terms: bool):
+def _partial_sums(flags: Sequence[Flag | None], before: Sequence[Flag | None] | None, with_terms: bool):
     """Sums of buffered rows, a block of flags at a time; entries are sorted by term once."""
 
     def summed(batches: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = _Rows(batches)
+        rows = TrainingRows(batches)
+        former = None if before is None else TrainingRows(batches, BEFORE)
         if with_terms:
             parts = [entry_arrays(b) for b in batches]
             ids = np.concatenate([p[0] for p in parts])
@@ -99,14 +128,19 @@ def _partial_sums(flags: Sequence[Flag], with_terms: bool):
             sizes = np.concatenate([np.diff(p[2]) for p in parts])
             owner = np.repeat(np.arange(len(sizes)), sizes)[order]
         for block in range(-(-len(flags) // BLOCK)):
-            wanted = flags[block * BLOCK : (block + 1) * BLOCK]
+            places = slice(block * BLOCK, (block + 1) * BLOCK)
+            wanted = flags[places]
             here = np.zeros((len(rows.label), BLOCK), np.int64)
             here[:, : len(wanted)] = rows.flags(wanted)
-            yield _block_rows(block, np.array([ROWS_TERM]), here.sum(0, keepdims=True))
+            if former is not None:
+                here[:, : len(wanted)] -= former.flags(before[places])
+            heads = np.array([ROWS_TERM, TOUCHED_TERM])
+            yield _block_rows(block, heads, np.stack([here.sum(0), np.abs(here).sum(0)]))
             if not with_terms:
                 continue
-            for at in range(0, len(ids), CHUNK_ENTRIES):
-                part = slice(at, at + CHUNK_ENTRIES)
+            used = np.flatnonzero(here.any(axis=1)[owner])
+            for at in range(0, len(used), CHUNK_ENTRIES):
+                part = used[at : at + CHUNK_ENTRIES]
                 heads = np.flatnonzero(np.diff(ids[part], prepend=-1))
                 weighted = here[owner[part]] * tfs[part, None]
                 yield _block_rows(block, ids[part][heads], np.add.reduceat(weighted, heads))
@@ -127,45 +161,88 @@ def _partial_sums(flags: Sequence[Flag], with_terms: bool):
     return run
 
 
-def flagged_sums(rows: DataFrame, flags: Sequence[Flag], with_terms: bool = True) -> DataFrame:
-    """(term_id, block, s0..): for flag ``block * BLOCK + k`` the counts of the term summed over its
-    rows as ``s<k>``, and under the term ``ROWS_TERM`` their number. Written, in one pass.
+def flagged_sums(
+    rows: DataFrame, flags: Sequence[Flag], with_terms: bool = True, before: FlagSums | None = None
+) -> FlagSums:
+    """A table (term_id, block, s0..): for flag ``block * BLOCK + k`` the counts of the term summed over
+    its rows as ``s<k>``, and under the term ``ROWS_TERM`` their number. Written, in one pass.
 
-    ``rows`` has label, in_train, row_hash and maybe neg_topics, and term_ids and tfs if
-    ``with_terms``.
+    ``rows`` has label, in_train, row_hash and maybe neg_topics and sim, and term_ids and tfs if
+    ``with_terms``. With ``before``, the sums of the round before, it also has label, in_train and
+    neg_topics of that round under names with ``BEFORE``, and only rows whose flags have changed are
+    summed: flags keep their places, new ones come behind them.
     """
     ship_package(rows.sparkSession)
-    known = F.col("neg_topics") if "neg_topics" in rows.columns else F.array().cast("array<int>")
-    used = (F.col("in_train") == 1) | (F.size(known) > 0)
-    columns = [
-        F.col("label").cast("int").alias("label"),
-        F.col("in_train").cast("int").alias("in_train"),
-        F.col("row_hash").cast("bigint").alias("row_hash"),
-        known.cast("array<int>").alias("neg_topics"),
-    ]
+    if before is not None:
+        old = {f.identity: k for k, f in enumerate(before.flags) if f is not None}
+        placed: list[Flag | None] = [None] * len(before.flags)
+        for flag in flags:
+            if flag.identity in old:
+                placed[old[flag.identity]] = flag
+            else:
+                placed.append(flag)
+        former = [*before.flags, *[None] * (len(placed) - len(before.flags))]
+        former = [f if placed[k] is not None else None for k, f in enumerate(former)]
+        flags = placed
+    else:
+        former = None
+
+    def state(prefix: str) -> list[Column]:
+        known = F.col(f"{prefix}neg_topics") if f"{prefix}neg_topics" in rows.columns else F.array()
+        return [
+            F.col(f"{prefix}label").cast("int").alias(f"{prefix}label"),
+            F.col(f"{prefix}in_train").cast("int").alias(f"{prefix}in_train"),
+            known.cast("array<int>").alias(f"{prefix}neg_topics"),
+        ]
+
+    def used(prefix: str) -> Column:
+        trains = F.coalesce(F.col(f"{prefix}in_train") == 1, F.lit(False))
+        return trains | (F.size(f"{prefix}neg_topics") > 0) if f"{prefix}neg_topics" in rows.columns else trains
+
+    columns = [*state(""), F.col("row_hash").cast("bigint").alias("row_hash")]
+    wanted = used("")
+    if former is not None:
+        columns += state(BEFORE)
+        wanted = wanted | used(BEFORE)
+    if any(f is not None and f.fold is not None for f in flags):
+        columns.append(F.col("sim").cast("int").alias("sim"))
     columns += ["term_ids", "tfs"] if with_terms else []
-    schema = ", ".join(["term_id int", "block int", *[f"s{k} bigint" for k in range(BLOCK)]])
-    partial = rows.where(used).select(*columns).mapInArrow(_partial_sums(flags, with_terms), schema)
-    sums = partial.groupBy("term_id", "block").agg(
-        *[F.sum(f"s{k}").alias(f"s{k}") for k in range(BLOCK)]
+    names = [f"s{k}" for k in range(BLOCK)]
+    schema = ", ".join(["term_id int", "block int", *[f"{n} bigint" for n in names]])
+    partial = rows.where(wanted).select(*columns).mapInArrow(
+        _partial_sums(list(flags), former, with_terms), schema
+    )
+    if before is not None:
+        partial = partial.unionByName(before.table.where(F.col("term_id") != TOUCHED_TERM))
+    sums = materialise(
+        partial.groupBy("term_id", "block").agg(*[F.sum(n).alias(n) for n in names]), "sums"
     )
-    return materialise(sums, "sums")
+    pairs = sums.where(F.col("term_id") == TOUCHED_TERM).agg(F.sum(sum(map(F.col, names[1:]), F.col(names[0])))).first()[0]
+    return FlagSums(tuple(flags), sums, pairs or 0)
 
 
 def flag_vectors(
-    sums: DataFrame, n_flags: int, n_terms: int, read_bytes: int = READ_BYTES
-) -> Iterator[tuple[int, np.ndarray, int]]:
-    """(flag, sums of all terms, number of rows) of every flag, in order. As many blocks are read
-    at a time as take ``read_bytes`` at most, one at least."""
+    sums: FlagSums, n_terms: int, read_bytes: int = READ_BYTES, wanted: Collection[Flag] | None = None
+) -> Iterator[tuple[Flag, np.ndarray, int]]:
+    """(flag, sums of all terms, number of rows) of every flag (or those ``wanted``), in order. As
+    many blocks are read at a time as take ``read_bytes`` at most, one at least."""
+    n_flags = len(sums.flags)
     n_blocks = -(-n_flags // BLOCK)
     step = max(1, read_bytes // (8 * (BLOCK + 1) * (n_terms + 1)))
     for first in range(0, n_blocks, step):
-        table = sums.where(F.col("block").between(first, first + step - 1)).toArrow()
+        here = sums.flags[first * BLOCK : (first + step) * BLOCK]
+        if not any(f is not None and (wanted is None or f in wanted) for f in here):
+            continue
+        chosen = F.col("block").between(first, first + step - 1) & (F.col("term_id") != TOUCHED_TERM)
+        table = sums.table.where(chosen).toArrow()
         blocks, terms = table.column("block").to_numpy(), table.column("term_id").to_numpy()
         columns = [table.column(f"s{k}").to_numpy() for k in range(BLOCK)]
         for block in range(first, min(first + step, n_blocks)):
             at = np.flatnonzero(blocks == block)
             for k in range(min(BLOCK, n_flags - block * BLOCK)):
+                flag = sums.flags[block * BLOCK + k]
+                if flag is None or (wanted is not None and flag not in wanted):
+                    continue
                 vector = np.zeros(n_terms + 1)
                 vector[terms[at]] = columns[k][at]  # ROWS_TERM is the last place
-                yield block * BLOCK + k, vector[:-1], int(vector[-1])
+                yield flag, vector[:-1], int(vector[-1])

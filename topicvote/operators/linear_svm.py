@@ -1,109 +1,105 @@
-"""Linear support vector machines, fitted by Spark's own LinearSVC.
+"""Linear support vector machines: the one-vs-rest ensemble, and one-vs-one for all topics.
 
-Fits have no grouped form, so a pool of driver threads submits them side by side; the cluster
-runs as many of their jobs at once as it has room for. Only coefficients come back.
+All models of an ensemble are fitted together (``hinge.py``).
 """
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Sequence
+from itertools import combinations
 
 import numpy as np
-from pyspark.ml.classification import LinearSVC, OneVsRest
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from topicvote.functions.hashing import draw
-from topicvote.functions.labels import binary_label, index_to_label
-from topicvote.operators.features import Vocabulary, tfidf_vectors
-from topicvote.operators.sampling import EnsembleSpec, in_train, sampling_thresholds
-from topicvote.operators.scoring import LinearEnsemble
+from topicvote.operators.features import Vocabulary
+from topicvote.operators.flags import Flag, FlagSums
+from topicvote.operators.hinge import Machine, fit
+from topicvote.operators.sampling import EnsembleSpec, in_train, negatives_flag, sampling_thresholds
+from topicvote.operators.scoring import LinearEnsemble, score_votes, weights_file
 from topicvote.session import materialise
 
 
+def training_vectors(rows: DataFrame) -> DataFrame:
+    """What the optimiser reads of the rows that train a model, written once."""
+    known = F.col("neg_topics") if "neg_topics" in rows.columns else F.array().cast("array<int>")
+    used = in_train() | (F.size(known) > 0)
+    columns = [
+        F.col("label").cast("int").alias("label"),
+        F.col("in_train").cast("int").alias("in_train"),
+        F.col("row_hash").cast("bigint").alias("row_hash"),
+        known.cast("array<int>").alias("neg_topics"),
+    ]
+    return materialise(rows.where(used).select(*columns, "term_ids", "tfs"), "vectors")
+
+
 def fit_ensemble(
     rows: DataFrame,
     vocabulary: Vocabulary,
     spec: EnsembleSpec,
     state: DataFrame | None = None,
-    max_iter: int = 10,
+    before: FlagSums | None = None,
+    max_iter: int = 20,
     reg_param: float = 0.1,
-    threads: int = 8,
 ) -> LinearEnsemble:
-    """One LinearSVC per topic and replicate on the same draws as the naive Bayes ensemble.
+    """One machine per topic and replicate on the same draws as the naive Bayes ensemble.
 
-    The vectors carry idf-weighted counts; the weights of the result apply to plain counts.
-    """
+    The features are idf-weighted counts; as they are standardised, a term's idf only matters where
+    it is 0. The weights of the result apply to plain counts. Gradients depend on the weights, so nothing
+    of the round ``before`` can be kept."""
     plan = sampling_thresholds(rows if state is None else state, spec)
-    n_terms = len(vocabulary)
-    has_known = "neg_topics" in rows.columns
-    used = in_train() | (F.size("neg_topics") > 0) if has_known else in_train()
-    columns = ["label", "row_hash", "in_train"] + (["neg_topics"] if has_known else [])
-    weighted = tfidf_vectors(rows.where(used).select(*columns, "raw_features"), vocabulary)
-    vectors = materialise(weighted.drop("raw_features"), "vectors")
-
-    def train_rows(topic: int, i: int, j: int) -> DataFrame:
-        known = F.array_contains("neg_topics", F.lit(topic)) if has_known else F.lit(False)
-        is_topic = F.col("label").eqNullSafe(F.lit(topic))
-        chosen = in_train() | known
-        threshold = plan[topic]["threshold"]
-        if threshold is not None:
-            drawn = draw("row_hash", *spec.key(topic, i, j)) < threshold
-            chosen = (in_train() & is_topic) | (chosen & ~is_topic & drawn)
-        return vectors.where(chosen).select("features", binary_label("label", topic).alias("y"))
-
-    svc = LinearSVC(featuresCol="features", labelCol="y", maxIter=max_iter, regParam=reg_param)
-    jobs: dict = {}
-    model_of: list = []
-    for topic in spec.topics:
-        counts = plan[topic]
+    machines: dict[Machine, int] = {}
+    model_of = []
+    for t in spec.topics:
         for i, j in spec.replicates:
-            if counts["label"] == 0 or counts["non_label_all"] == 0:
-                key = ("constant", topic)
-            elif counts["threshold"] is None:
-                key = ("model", topic)
-            else:
-                key = ("model", *spec.key(topic, i, j))
-            jobs.setdefault(key, (topic, i, j))
-            model_of.append(list(jobs).index(key))
-
-    def fit(item) -> tuple[np.ndarray, float]:
-        key, (topic, i, j) = item
-        if key[0] == "constant":
-            return np.zeros(n_terms), np.inf if plan[topic]["label"] else -np.inf
-        model = svc.fit(train_rows(topic, i, j))
-        return model.coefficients.toArray() * vocabulary.idf, model.intercept
+            if plan[t]["label"] == 0 or plan[t]["non_label_all"] == 0:
+                # Without positives nothing is coded, without negatives everything is.
+                model_of.append(0 if plan[t]["label"] else 1)
+                continue
+            machine = Machine(Flag(t), negatives_flag(plan, spec, t, i, j))
+            model_of.append(machines.setdefault(machine, 2 + len(machines)))
+    weights = weights_file(len(vocabulary), 2 + len(machines))
+    intercepts = np.zeros(weights.shape[1])
+    intercepts[:2] = np.inf, -np.inf
+    if machines:
+        vectors = training_vectors(rows)
+        usable = vocabulary.idf > 0
+        for k, weight, intercept in fit(vectors, list(machines), len(vocabulary), usable, max_iter, reg_param):
+            weights[:, 2 + k], intercepts[2 + k] = weight, intercept
+    return LinearEnsemble(spec, weights, intercepts, np.array(model_of))
 
-    with ThreadPoolExecutor(threads) as pool:
-        fitted = list(pool.map(fit, jobs.items()))
-    return LinearEnsemble(
-        spec,
-        np.column_stack([w for w, _ in fitted]),
-        np.array([b for _, b in fitted]),
-        np.array(model_of),
-    )
 
-
-def multiclass_verdicts(
-    vectors: DataFrame,
-    train: Column,
-    label: str = "label",
-    features: str = "features",
-    max_iter: int = 10,
+def pairwise_verdicts(
+    rows: DataFrame,
+    vocabulary: Vocabulary,
+    labels: Sequence[int],
+    keep: Sequence[str] = ("doc_id", "label"),
+    max_iter: int = 20,
     reg_param: float = 0.1,
-    parallelism: int = 4,
 ) -> DataFrame:
-    """One-vs-rest linear SVM on the rows of ``train``; codes the others. Class numbers must be
-    0..k-1 for the reduction, so labels go through their sorted positions."""
-    codes = [
-        r[0] for r in vectors.where(train).select(label).distinct().orderBy(label).collect()
-    ]
-    position = F.array_position(F.array(*[F.lit(c) for c in codes]), F.col(label)) - 1
-    indexed = vectors.where(train).withColumn("index", position.cast("double"))
-    svc = LinearSVC(maxIter=max_iter, regParam=reg_param)
-    model = OneVsRest(
-        classifier=svc, featuresCol=features, labelCol="index", parallelism=parallelism
-    ).fit(indexed)
-    return model.transform(vectors.where(~train)).withColumn(
-        "verdict", index_to_label("prediction", codes)
-    )
+    """One-vs-one: a machine for each pair of labels, fitted on the rows with ``in_train`` 1, codes the
+    others. The label with most votes wins, of equal ones the first of ``labels``; a margin of 0 votes
+    for the second label of a pair.
+
+    ``rows`` has label, in_train, row_hash, term_ids and tfs; ``labels`` are those of the training rows."""
+    pairs = list(combinations(range(len(labels)), 2))
+    test = rows.where(F.col("in_train") == 0)
+    if not pairs:
+        verdict = F.lit(labels[0] if labels else None).cast("int")
+        return test.select(*keep, verdict.alias("verdict"))
+    machines = [Machine(Flag(labels[a]), Flag(labels[b])) for a, b in pairs]
+    weights, intercepts = np.zeros((len(vocabulary), len(pairs))), np.zeros(len(pairs))
+    usable = vocabulary.idf > 0
+    for k, weight, intercept in fit(training_vectors(rows), machines, len(vocabulary), usable, max_iter, reg_param):
+        weights[:, k], intercepts[k] = weight, intercept
+    scored = score_votes(test, LinearEnsemble(EnsembleSpec(), weights, intercepts, np.arange(len(pairs))), keep)
+    votes = [F.get("model_votes", F.lit(k)).cast("int") for k in range(len(pairs))]
+    counts = []
+    for at in range(len(labels)):
+        won = [v for (a, _), v in zip(pairs, votes, strict=True) if a == at]
+        won += [1 - v for (_, b), v in zip(pairs, votes, strict=True) if b == at]
+        counts.append(sum(won[1:], won[0]))
+    ballots = F.array(*counts)
+    winner = F.array_position(ballots, F.array_max(ballots)).cast("int")
+    verdict = F.element_at(F.array(*[F.lit(x) for x in labels]), winner)
+    return scored.select(*keep, verdict.cast("int").alias("verdict"))

@@ -6,6 +6,7 @@ them up; the inverse document frequencies are multiplied in once per term.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 import numpy as np
@@ -15,9 +16,9 @@ from pyspark.sql import functions as F
 
 from topicvote.functions.labels import index_to_label
 from topicvote.operators.features import Vocabulary
-from topicvote.operators.flags import Flag, flag_vectors, flagged_sums
-from topicvote.operators.sampling import EnsembleSpec, negatives_flag, sampling_thresholds
-from topicvote.operators.scoring import LinearEnsemble
+from topicvote.operators.flags import Flag, FlagSums, flag_vectors, flagged_sums
+from topicvote.operators.sampling import EnsembleSpec, fold_thresholds, negatives_flag, sampling_thresholds
+from topicvote.operators.scoring import LinearEnsemble, weights_file
 
 
 def multiclass_verdicts(vectors: DataFrame, fold: int, smoothing: float = 0.1) -> DataFrame:
@@ -43,31 +44,59 @@ def fit_ensemble(
     vocabulary: Vocabulary,
     spec: EnsembleSpec,
     state: DataFrame | None = None,
+    before: FlagSums | None = None,
 ) -> LinearEnsemble:
     """One binary model per topic and replicate, from one pass over ``rows``.
 
     ``rows`` has label, in_train, row_hash, term_ids, tfs and maybe neg_topics; ``state`` may give
-    the same rows without the counts. The driver holds the weights once, one number per model and
-    term; the sums come to it in bounded parts.
-    """
+    the same rows without the counts. With ``before``, the sums of the round before, only what has
+    changed since is summed (``flags.py``); the result's ``sums`` serve the next round."""
     plan = sampling_thresholds(rows if state is None else state, spec)
+    return _fitted(rows, vocabulary, spec, {None: plan}, before)[None]
+
+
+def fit_folds(
+    rows: DataFrame, vocabulary: Vocabulary, spec: EnsembleSpec, folds: Sequence[int] = (1, 2, 3)
+) -> dict[int, LinearEnsemble]:
+    """An ensemble for each fold, fitted on the rows outside of it: one pass over ``rows`` for all.
+
+    ``rows`` has sim, label, in_train (1 throughout), row_hash, term_ids and tfs."""
+    return _fitted(rows, vocabulary, spec, fold_thresholds(rows, spec, folds))
+
+
+def _fitted(
+    rows: DataFrame,
+    vocabulary: Vocabulary,
+    spec: EnsembleSpec,
+    plans: dict[int | None, dict[int, dict]],
+    before: FlagSums | None = None,
+) -> dict[int | None, LinearEnsemble]:
+    """An ensemble for each fold of ``plans``. The weights go to a file as they are made, and the sums
+    come to the driver in bounded parts."""
     idf, n_terms = vocabulary.idf, len(vocabulary)
-    active = [t for t in spec.topics if plan[t]["label"] > 0 and plan[t]["non_label_all"] > 0]
-    flags = [Flag(t) for t in active]
+    flags: list[Flag] = []
     model_at: dict[Flag, int] = {}
-    model_of = []
-    for t in spec.topics:
-        for i, j in spec.replicates:
-            if t not in active:
-                # Without positives nothing is coded, without negatives everything is.
-                model_of.append(0 if plan[t]["label"] else 1)
-                continue
-            flag = negatives_flag(plan, spec, t, i, j)
-            model_of.append(model_at.setdefault(flag, 2 + len(model_at)))
-    flags += list(model_at)
-    weights = np.zeros((n_terms, 2 + len(model_at)))
-    intercepts = np.zeros(weights.shape[1])
-    intercepts[:2] = np.inf, -np.inf
+    model_of: dict[int | None, list[int]] = {}
+    sizes: dict[int | None, int] = {}
+    for fold, plan in plans.items():
+        active = [t for t in spec.topics if plan[t]["label"] > 0 and plan[t]["non_label_all"] > 0]
+        flags += [Flag(t, fold=fold) for t in active]
+        own: dict[Flag, int] = {}
+        slots = model_of[fold] = []
+        for t in spec.topics:
+            for i, j in spec.replicates:
+                if t not in active:
+                    # Without positives nothing is coded, without negatives everything is.
+                    slots.append(0 if plan[t]["label"] else 1)
+                    continue
+                flag = negatives_flag(plan, spec, t, i, j, fold)
+                slots.append(own.setdefault(flag, 2 + len(own)))
+        model_at |= own
+        sizes[fold] = 2 + len(own)
+    weights = {fold: weights_file(n_terms, n) for fold, n in sizes.items()}
+    intercepts = {fold: np.zeros(n) for fold, n in sizes.items()}
+    for values in intercepts.values():
+        values[:2] = np.inf, -np.inf
 
     def log_weights(vector: np.ndarray) -> np.ndarray:
         weighted = vector * idf
@@ -75,18 +104,21 @@ def fit_ensemble(
             weighted.sum() + spec.smoothing * n_terms
         )
 
-    positives: dict[int, tuple[np.ndarray, int]] = {}
-    sums = flagged_sums(rows, flags) if flags else None
-    for k, vector, n in flag_vectors(sums, len(flags), n_terms) if flags else ():
-        flag = flags[k]
-        if not flag.negative:
-            positives[flag.topic] = log_weights(vector), n
-            continue
-        positive, n_pos = positives[flag.topic]
-        at = model_at[flag]
-        if n:
-            weights[:, at] = idf * (positive - log_weights(vector))
-            intercepts[at] = np.log(n_pos + spec.smoothing) - np.log(n + spec.smoothing)
-        else:
-            intercepts[at] = np.inf
-    return LinearEnsemble(spec, weights, intercepts, np.array(model_of))
+    positives: dict[tuple, tuple[np.ndarray, int]] = {}
+    sums = flagged_sums(rows, [*flags, *model_at], before=before) if flags else None
+    if sums:
+        # With the places of the round before, positives may lie behind what they go with.
+        for flag, vector, n in flag_vectors(sums, n_terms, wanted=set(flags)):
+            positives[flag.topic, flag.fold] = log_weights(vector), n
+        for flag, vector, n in flag_vectors(sums, n_terms, wanted=model_at.keys()):
+            at, (logs, n_pos) = model_at[flag], positives[flag.topic, flag.fold]
+            if n:
+                weights[flag.fold][:, at] = idf * (logs - log_weights(vector))
+                intercepts[flag.fold][at] = np.log(n_pos + spec.smoothing) - np.log(n + spec.smoothing)
+            else:
+                intercepts[flag.fold][at] = np.inf
+    return {
+        fold: LinearEnsemble(spec, weights[fold], intercepts[fold], np.array(model_of[fold]), sums)
+        for fold in plans
+    }
+

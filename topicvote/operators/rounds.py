@@ -17,6 +17,7 @@ from topicvote.constants import GATES
 from topicvote.functions.hashing import DEFAULT_SEED, row_hash
 from topicvote.operators import naive_bayes
 from topicvote.operators.features import Vocabulary, with_arrays
+from topicvote.operators.flags import BEFORE, FlagSums
 from topicvote.operators.sampling import EnsembleSpec
 from topicvote.operators.scoring import LinearEnsemble, ensemble_verdicts
 from topicvote.operators.validation import (
@@ -28,7 +29,9 @@ from topicvote.operators.validation import (
 )
 from topicvote.session import materialise, materialise_bucketed
 
-Learner = Callable[[DataFrame, Vocabulary, EnsembleSpec, DataFrame], LinearEnsemble]
+Learner = Callable[
+    [DataFrame, Vocabulary, EnsembleSpec, DataFrame, FlagSums | None], LinearEnsemble
+]
 
 BUCKET_BYTES = 256 * 1024 * 1024
 ENTRY_BYTES = 12
@@ -78,13 +81,23 @@ def start_state(corpus: DataFrame, fold: int, seed: int | str = DEFAULT_SEED) ->
 
 
 def classify(
-    counted: DataFrame, state: DataFrame, vocabulary: Vocabulary, config: WorkflowConfig
-) -> DataFrame:
-    """Fits the ensemble of a round and adds ``full_topics`` and ``verdict`` to the test rows."""
-    rows = state.join(counted.select("doc_id", "raw_features"), "doc_id")
-    rows = with_arrays(rows)
-    ensemble = config.learner(rows, vocabulary, config.spec, state)
-    return classify_with(rows.where(F.col("in_train") == 0), ensemble, config.missing_vote)
+    counted: DataFrame,
+    state: DataFrame,
+    vocabulary: Vocabulary,
+    config: WorkflowConfig,
+    before: tuple[DataFrame, FlagSums | None] | None = None,
+) -> tuple[DataFrame, FlagSums | None]:
+    """Fits the ensemble of a round and adds ``full_topics`` and ``verdict`` to the test rows. With
+    the state and sums of the round ``before``, a learner that sums only sums what has changed."""
+    rows = with_arrays(state.join(counted.select("doc_id", "raw_features"), "doc_id"))
+    fitted, sums = rows, None
+    if before is not None and before[1] is not None:
+        changing = ("label", "in_train", "neg_topics")
+        former = before[0].select("doc_id", *[F.col(c).alias(BEFORE + c) for c in changing])
+        fitted, sums = rows.join(former, "doc_id"), before[1]
+    ensemble = config.learner(fitted, vocabulary, config.spec, state, sums)
+    coded = classify_with(rows.where(F.col("in_train") == 0), ensemble, config.missing_vote)
+    return coded, ensemble.sums
 
 
 def classify_with(test: DataFrame, ensemble: LinearEnsemble, missing_vote: str) -> DataFrame:
@@ -111,10 +124,13 @@ def split_coded(coded: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 @dataclass
 class RoundResult:
+    """``summed``: the (document, model) pairs that were summed to fit the round."""
+
     round_number: int
     state: DataFrame
     coded: DataFrame
     numbers: DataFrame
+    summed: int | None = None
 
 
 def next_state(
@@ -179,17 +195,19 @@ def run(
     state = write(start_state(corpus, config.fold, config.spec.seed).select(*STATE_COLUMNS), "state")
     counted = write(counted, "counts")
     results = []
+    before = None
     for number in range(1, config.rounds + 1):
-        coded = materialise(classify(counted, state, vocabulary, config), "coded")
+        coded, sums = classify(counted, state, vocabulary, config, before)
+        coded = materialise(coded, "coded")
         after, numbers = next_state(state, coded, config, number)
-        state = write(after, "state")
+        before, state = (state, sums), write(after, "state")
         numbers = numbers.select(
             F.lit(config.variant).alias("variant"),
             F.lit(config.fold).alias("fold"),
             F.lit(number).alias("round"),
             *numbers.columns,
         )
-        results.append(RoundResult(number, state, coded, numbers))
+        results.append(RoundResult(number, state, coded, numbers, sums and sums.touched))
     return results
 
 

@@ -111,11 +111,40 @@ def sampling_thresholds(state: DataFrame, spec: EnsembleSpec) -> dict[int, dict]
     }
 
 
-def negatives_flag(plan: dict[int, dict], spec: EnsembleSpec, topic: int, i: int, j: int) -> Flag:
+def fold_thresholds(
+    rows: DataFrame, spec: EnsembleSpec, folds: Sequence[int]
+) -> dict[int, dict[int, dict]]:
+    """``sampling_thresholds`` of every fold, when the rows outside a fold train: from one count of
+    the rows by fold and label."""
+    code = F.when(F.col("label").isin(*spec.topics), F.col("label")).cast("int")
+    cells = rows.groupBy("sim", code.alias("label")).count().collect()
+    train = {f: sum(r["count"] for r in cells if r["sim"] is not None and r["sim"] != f) for f in folds}
+    own = {
+        (f, t): sum(r["count"] for r in cells if r["sim"] is not None and r["sim"] != f and r["label"] == t)
+        for f in folds for t in spec.topics
+    }
+    counts = constant_table(
+        rows,
+        ["fold", "topic", "label", "non_label_all", "train_all"],
+        [(f, t, n, train[f] - n, train[f]) for (f, t), n in own.items()],
+    )
+    plans: dict[int, dict[int, dict]] = {f: {} for f in folds}
+    for r in with_fraction(counts).collect():
+        plans[r["fold"]][r["topic"]] = {
+            "label": r["label"],
+            "non_label_all": r["non_label_all"],
+            "threshold": None if r["fraction"] is None else ceil(r["fraction"] * P),
+        }
+    return plans
+
+
+def negatives_flag(
+    plan: dict[int, dict], spec: EnsembleSpec, topic: int, i: int, j: int, fold: int | None = None
+) -> Flag:
     """The negatives of a model. Replicates of a topic that keeps them all have the same."""
     threshold = plan[topic]["threshold"]
     key = None if threshold is None else spec.key(topic, i, j)
-    return Flag(topic, negative=True, key=key, threshold=threshold)
+    return Flag(topic, negative=True, key=key, threshold=threshold, fold=fold)
 
 
 def negative_draws(state: DataFrame, spec: EnsembleSpec, hashed: str = "row_hash") -> DataFrame:
@@ -159,7 +188,7 @@ def sample_number_log(state: DataFrame, spec: EnsembleSpec) -> DataFrame:
     drawn = {}
     if flags:
         sums = flagged_sums(state, flags, with_terms=False)
-        drawn = {flags[k]: n for k, _, n in flag_vectors(sums, len(flags), 0)}
+        drawn = {flag: n for flag, _, n in flag_vectors(sums, 0)}
     rows = []
     for t, i, j, flag in slots:
         label, others = plan[t]["label"], plan[t]["non_label_all"]

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Collection, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from pathlib import Path
 
@@ -22,27 +22,46 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicvote.functions.literals import constant_array, constant_rows
-from topicvote.operators.flags import entry_arrays
+from topicvote.operators.flags import FlagSums, entry_arrays
 from topicvote.operators.sampling import EnsembleSpec
 from topicvote.session import ship_package
 
 BLOCK_ENTRIES = 1 << 16
+TILE_BYTES = 64 * 1024 * 1024
+TILE_MODELS = 128
 # Sent files must outlive the jobs: an executor that joins late fetches them from the driver.
 _sent: list[tempfile.TemporaryDirectory] = []
 
 
 @dataclass
 class LinearEnsemble:
-    """``weights`` is (vocabulary, models); ``model_of`` maps (topic, replicate), topic-major, to
-    a model. Replicates of a topic that keeps all its negatives share one model."""
+    """``weights`` is (vocabulary, models), in memory or mapped from a file; ``model_of`` maps (topic,
+    replicate), topic-major, to a model. Replicates of a topic that keeps all its negatives share one
+    model. ``sums`` are those the models were made of, if they were made of any."""
 
     spec: EnsembleSpec
     weights: np.ndarray
     intercepts: np.ndarray
     model_of: np.ndarray
+    sums: FlagSums | None = None
 
 
-def _margins(ids: np.ndarray, tfs: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
+def weights_file(n_terms: int, models: int) -> np.ndarray:
+    """Zeros (term, model), mapped from a new file in which a model's weights lie together: they are
+    written model by model, and the driver does not hold more than it writes."""
+    if not n_terms * models:
+        return np.zeros((n_terms, models))
+    path = Path(_folder()) / f"weights-{uuid.uuid4().hex}.npy"
+    return np.lib.format.open_memmap(path, "w+", float, (n_terms, models), fortran_order=True)
+
+
+def _folder() -> str:
+    folder = tempfile.TemporaryDirectory(prefix="topicvote-")
+    _sent.append(folder)
+    return folder.name
+
+
+def margins(ids: np.ndarray, tfs: np.ndarray, starts: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Weighted sums per document; ``starts`` has one more element than there are documents."""
     n = len(starts) - 1
     out = np.zeros((n, weights.shape[1]))
@@ -59,38 +78,70 @@ def _margins(ids: np.ndarray, tfs: np.ndarray, starts: np.ndarray, weights: np.n
     return out
 
 
-def _send(spark: SparkSession, array: np.ndarray) -> str:
-    """Gives every executor the array as a file; returns the file's name."""
-    folder = tempfile.TemporaryDirectory(prefix="topicvote-")
-    _sent.append(folder)
-    name = f"weights-{uuid.uuid4().hex}.npy"
-    path = Path(folder.name) / name
-    np.save(path, array)
+def _send(spark: SparkSession, weights: np.ndarray) -> str:
+    """Gives every executor the weights as a file, model by model; returns the file's name."""
+    if isinstance(weights, np.memmap):
+        weights.flush()
+        path = Path(weights.filename)
+    else:
+        path = Path(_folder()) / f"weights-{uuid.uuid4().hex}.npy"
+        np.save(path, np.asfortranarray(weights))
     spark.sparkContext.addFile(str(path))
-    return name
+    return path.name
+
+
+def tile_models(n_terms: int, tile_bytes: int = TILE_BYTES) -> int:
+    """Models that a task holds the weights of at a time."""
+    return max(1, min(TILE_MODELS, tile_bytes // (8 * max(1, n_terms))))
+
+
+def _voted(batch: pa.RecordBatch, at: np.ndarray | None, weights: np.ndarray, intercepts: np.ndarray, tile: int) -> np.ndarray:
+    """Votes (row, model) of the rows ``at`` of a batch (all if None), a tile of models at a time."""
+    ids, tfs, starts = entry_arrays(batch if at is None else batch.take(pa.array(at)))
+    votes = np.empty((len(starts) - 1, len(intercepts)), np.int8)
+    for first in range(0, len(intercepts), tile):
+        here = slice(first, first + tile)
+        votes[:, here] = margins(ids, tfs, starts, np.ascontiguousarray(weights[:, here])) + intercepts[here] > 0
+    return votes
 
 
 def _scored(
     counted: DataFrame,
-    ensemble: LinearEnsemble,
+    ensembles: Mapping[int | None, LinearEnsemble],
     keep: Collection[str],
     column: str,
     kind: str,
-    finish: Callable[[np.ndarray], np.ndarray],
+    finish: Callable[[np.ndarray, LinearEnsemble], np.ndarray],
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """The kept columns and an array of what ``finish`` makes of the models' votes (0/1, a row per
-    document)."""
+    document). A row is scored by the ensemble of its fold (``sim``), or by the only one under None.
+
+    A task holds ``tile_bytes`` of weights, ``BLOCK_ENTRIES`` products for each model of a tile, and a
+    byte for each model and row of a batch, whatever the vocabulary and the number of models."""
     spark = counted.sparkSession
     ship_package(spark)
     kept = [f for f in counted.schema.fields if f.name in keep]
-    rows = counted.select(*[f.name for f in kept], "term_ids", "tfs")
-    name, intercepts = _send(spark, np.ascontiguousarray(ensemble.weights)), ensemble.intercepts
+    by_fold = None not in ensembles
+    rows = counted.select(*[f.name for f in kept], "term_ids", "tfs", *([F.col("sim").alias("_fold")] if by_fold else []))
+    sent = {}
+    for fold, ensemble in ensembles.items():
+        slots = LinearEnsemble(ensemble.spec, np.empty((0, 0)), ensemble.intercepts, ensemble.model_of)
+        sent[fold] = _send(spark, ensemble.weights), slots, tile_models(len(ensemble.weights), tile_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = np.load(SparkFiles.get(name), mmap_mode="r")
+        opened = {fold: np.load(SparkFiles.get(name), mmap_mode="r") for fold, (name, *_) in sent.items()}
         for batch in batches:
-            votes = (_margins(*entry_arrays(batch), weights) + intercepts > 0).astype(np.int8)
-            values = finish(votes)
+            values = None
+            for fold, (_, slots, tile) in sent.items():
+                at = np.flatnonzero(batch.column("_fold").to_numpy(zero_copy_only=False) == fold) if by_fold else None
+                part = finish(_voted(batch, at, opened[fold], slots.intercepts, tile), slots)
+                if at is None:
+                    values = part
+                    continue
+                if values is None:
+                    values = np.zeros((batch.num_rows, part.shape[1]), part.dtype)
+                values[at] = part
             sizes = np.arange(batch.num_rows + 1, dtype=np.int32) * values.shape[1]
             lists = pa.ListArray.from_arrays(sizes, pa.array(values.ravel()))
             columns = [batch.column(f.name) for f in kept]
@@ -104,30 +155,32 @@ def score_votes(
     counted: DataFrame, ensemble: LinearEnsemble, keep: Collection[str] = ("doc_id",)
 ) -> DataFrame:
     """The kept columns and ``model_votes``, one 0/1 per distinct model."""
-    return _scored(counted, ensemble, keep, "model_votes", "tinyint", lambda votes: votes)
+    return _scored(counted, {None: ensemble}, keep, "model_votes", "tinyint", lambda votes, _: votes)
 
 
 def score_tallies(
     counted: DataFrame,
-    ensemble: LinearEnsemble,
+    ensemble: LinearEnsemble | Mapping[int, LinearEnsemble],
     keep: Collection[str] = ("doc_id",),
     grids: Sequence[int] | None = None,
+    tile_bytes: int = TILE_BYTES,
 ) -> DataFrame:
     """The kept columns and ``tallies``: how many replicates vote for each topic, in the order of
     the ensemble's topics. With ``grids`` one such run for every g in it, over the replicates with
-    i, j <= g."""
-    spec, slots = ensemble.spec, ensemble.model_of
+    i, j <= g. ``ensemble`` may be one for each fold (``sim``), of the same spec."""
+    ensembles = ensemble if isinstance(ensemble, Mapping) else {None: ensemble}
+    spec = next(iter(ensembles.values())).spec
     every = max(spec.outer, spec.inner)
     used = np.array(
         [[i <= g and j <= g for i, j in spec.replicates] for g in grids or [every]], np.int16
     )
 
-    def finish(votes: np.ndarray) -> np.ndarray:
-        by_topic = votes[:, slots].reshape(len(votes), len(spec.topics), spec.votes)
+    def finish(votes: np.ndarray, ensemble: LinearEnsemble) -> np.ndarray:
+        by_topic = votes[:, ensemble.model_of].reshape(len(votes), len(spec.topics), spec.votes)
         tallies = np.einsum("dtr,gr->dgt", by_topic, used)
         return tallies.reshape(len(votes), used.shape[0] * len(spec.topics))
 
-    return _scored(counted, ensemble, keep, "tallies", "smallint", finish)
+    return _scored(counted, ensembles, keep, "tallies", "smallint", finish, tile_bytes)
 
 
 def tally_rows(topics: Sequence[int], tallies: str = "tallies") -> Column:
@@ -189,7 +242,7 @@ def vote_table(counted: DataFrame, ensemble: LinearEnsemble) -> DataFrame:
 
 def ensemble_verdicts(
     counted: DataFrame,
-    ensemble: LinearEnsemble,
+    ensemble: LinearEnsemble | Mapping[int, LinearEnsemble],
     missing_vote: str = "exclude",
     keep: Sequence[str] = ("doc_id",),
 ) -> DataFrame:
@@ -202,7 +255,8 @@ def ensemble_verdicts(
         raise ValueError("missing_vote is 'exclude' or 'abstain'")
     has_negatives = "neg_topics" in counted.columns
     scored = score_tallies(counted, ensemble, {*keep, "neg_topics"})
-    full = full_topics(ensemble.spec.topics, ensemble.spec.votes, F.col("tallies"))
+    spec = (next(iter(ensemble.values())) if isinstance(ensemble, Mapping) else ensemble).spec
+    full = full_topics(spec.topics, spec.votes, F.col("tallies"))
     if has_negatives:
         if missing_vote == "exclude":
             empty = F.array().cast("array<int>")

@@ -517,18 +517,13 @@ def _nb_cells(spark, folder, features=None) -> DataFrame:
 
 
 def _vote_cells(spark, folder, features=None) -> DataFrame:
-    """The same counts of the unanimous votes, over all folds."""
+    """The same counts of the unanimous votes, over all folds: the counts are read once to fit all
+    folds and once to score every row by the ensemble of its fold."""
     rows, vocabulary = features or counted(spark, folder)
-
-    def cells(fold: int) -> DataFrame:
-        state = rounds.start_state(with_arrays(rows), fold)
-        ensemble = naive_bayes.fit_ensemble(state, vocabulary, SPEC)
-        test = state.where(F.col("in_train") == 0)
-        coded = ensemble_verdicts(test, ensemble, keep=["doc_id", "sim", "label"])
-        return metrics.confusion_cells(coded, by=["sim"])
-
-    with ThreadPoolExecutor(3) as pool:
-        return materialise(_union(pool.map(cells, (1, 2, 3))), "cells")
+    state = rounds.start_state(with_arrays(rows), 0)
+    ensembles = naive_bayes.fit_folds(state, vocabulary, SPEC)
+    coded = ensemble_verdicts(state, ensembles, keep=["doc_id", "sim", "label"])
+    return materialise(metrics.confusion_cells(coded, by=["sim"]), "cells")
 
 
 @query
@@ -801,37 +796,41 @@ def event_props(spark, folder):
 @query
 def svm_votes(spark, folder):
     rows, vocabulary = training_rows(spark, folder)
-    ensemble = linear_svm.fit_ensemble(rows, vocabulary, EnsembleSpec(outer=1, inner=1))
+    ensemble = linear_svm.fit_ensemble(rows, vocabulary, SPEC)
     return vote_table(rows.where(F.col("in_train") == 0), ensemble)
 
 
 @query
 def svm_workflow(spark, folder):
+    """Counters of five rounds of the variant with active learning, by support vector machines."""
     rows, vocabulary = counted(spark, folder)
-    config = rounds.WorkflowConfig(
-        variant="v4",
-        rounds=1,
-        fold=FOLD,
-        spec=EnsembleSpec(outer=1, inner=1),
-        learner=linear_svm.fit_ensemble,
-    )
-    return rounds.run(rows, vocabulary, config)[-1].numbers
+    config = rounds.WorkflowConfig(variant="v4", rounds=5, fold=FOLD, learner=linear_svm.fit_ensemble)
+    return _union(r.numbers for r in rounds.run(rows, vocabulary, config))
+
+
+def _pairwise(rows: DataFrame, vocabulary, keep) -> DataFrame:
+    rows = materialise(rows, "split")
+    train = rows.where(F.col("in_train") == 1)
+    labels = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
+    return linear_svm.pairwise_verdicts(rows, vocabulary, labels, keep)
 
 
 @query
 def svm_multiclass(spark, folder):
-    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
-    train = F.col("vec_id") % 3 != 2
-    coded = linear_svm.multiclass_verdicts(vectors, train)
-    return coded.select("vec_id", "label", "verdict")
+    """One-vs-one over all three folds."""
+    rows, vocabulary = counted(spark, folder)
+    rows = with_arrays(rows)
+    folds = [_pairwise(rounds.start_state(rows, f), vocabulary, ["doc_id", "sim", "label"]) for f in (1, 2, 3)]
+    return _union(folds)
 
 
 @query
 def svm_80_20(spark, folder):
-    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
-    train = split_by_share("vec_id", 0.8) == "train"
-    coded = linear_svm.multiclass_verdicts(vectors, train)
-    return coded.select("vec_id", "label", "verdict")
+    """One-vs-one on four fifths of the documents."""
+    rows, vocabulary = counted(spark, folder)
+    state = rounds.start_state(with_arrays(rows), FOLD)
+    split = state.withColumn("in_train", (split_by_share("doc_id", 0.8) == "train").cast("int"))
+    return _pairwise(split, vocabulary, ["doc_id", "label"])
 
 
 @query
