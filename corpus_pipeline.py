@@ -1,10 +1,15 @@
-"""Documents to packed training sequences: five stages, each written before the next."""
+"""Documents to packed training sequences: five stages, each written before the next.
+
+Every stage takes null texts as empty, texts of any length as a whole, and repeated rows and ids row by
+row; all but the last return the columns of documents, and of an empty table an empty one. A row of
+which nothing tells it apart from another is an exact copy of it, and one of them stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from topicvote.llm import exact_dedup, near_text, packing, pii, quality_classifier
+from topicvote.llm import exact_dedup, packing, pii, quality_classifier, simhash
 from topicvote.llm.common import documents
 from topicvote.session import materialise
 
@@ -16,25 +21,30 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each_text(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each text (blanks aside): the longest, then the one with the smallest id."""
     return exact_dedup.drop_copies(docs)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_text.drop_near_copies(docs)
+    """One document of each group of fingerprints of four-word shingles that at most four bits part: the
+    one with the smallest id (null last), of equal ids the first."""
+    return simhash.drop_near_copies(docs, words=4, bits=4)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced by the name of its kind."""
     return pii.mask(docs, pii.fit(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(docs)
+    """Pieces of token ids with their sequence and place in it; every document has at least one."""
+    return packing.pack_documents(docs, keep_ids=True)
 
 
 STAGES = [
     ("quality_classifier", good_quality),
     ("exact_dedup", one_of_each_text),
-    ("near_dedup", one_of_near_copies),
+    ("simhash_near_dedup", one_of_near_copies),
     ("pii", without_personal_data),
     ("best_fit_packing", packed),
 ]
