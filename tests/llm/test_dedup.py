@@ -114,3 +114,17 @@ def test_long_paths_are_connected(spark):
     assert len({r["root"] for r in rows if r["node"] < 1000}) == 1
     assert len({r["root"] for r in rows if r["node"] >= 1000}) == 1
     assert len(rows) == 301 + 400
+
+
+def test_repeated_ids_lose_no_text(spark):
+    """Of each group one row stays, whatever the ids are."""
+    one, other = (" ".join(f"{w}{k}" for k in range(200)) for w in "vw")
+    rows = [(0, one), (1, other), (1, one + " end"), (1, other), (None, one), (None, "alone a b c d"), (7, None), (7, "")]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id bigint, text string, row int, _row int")
+    kept = simhash.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    assert len(got) == 4
+    assert {(0, one), (1, other), (None, "alone a b c d")} <= set(got)
+    assert sum(i == 7 for i, _ in got) == 1
+    assert simhash.drop_near_copies(docs.limit(0)).collect() == []

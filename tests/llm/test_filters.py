@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import zlib
 
 import brute
 import duckdb
@@ -130,6 +131,9 @@ def test_rules_keep_their_language(spark):
 def test_classifier_on_held_out_rows(spark):
     rows = QUERIES["op7_quality_classifier"](spark, "/root/testdata/sf0.01").collect()
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    for r in rows:
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1)
+        assert r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1
     held = [(r["predicted"], labels[r["doc_id"]]) for r in rows if r["held_out"] and r["doc_id"] in labels]
     assert len(rows) == 1000 and len(held) > 80
     assert np.mean([a == b for a, b in held]) > 0.93
@@ -197,10 +201,30 @@ def test_url_intervals(spark):
     assert got == {i * 10 + j: plain(i, d) for i in range(len(urls)) for j, d in enumerate(days)}
 
 
+def test_url_filter_with_clashing_names_and_repeated_captures(spark):
+    names = ["best", "rule", "value", "verdict", "since", "one", "weight", "capture_rule", "a.b", "day_"]
+    schema = "capture_id bigint, url string, day int, " + ", ".join(f"`{n}` string" for n in names)
+    long = "http://b.com/" + "x/" * 3000
+    rows = [(k, u, 20, *(f"{n}{k}" for n in names)) for k, u in enumerate(["http://b.com/", "http://b.com/", long, "", None])]
+    captures = spark.createDataFrame(rows, schema)
+    table = spark.createDataFrame([("host", "b.com", 10, "block")] * 2, "rule string, value string, day int, action string")
+    judged = url_filter.judge(captures, table)
+    assert len(set(judged.columns)) == len(judged.columns) == len(captures.columns) + 4
+    got = {r["capture_id"]: r.asDict() for r in judged.collect()}
+    assert [got[k]["verdict"] for k in range(5)] == ["block"] * 3 + ["allow"] * 2
+    assert got[0]["rule"] == "host" and got[0]["value"] == "b.com" and got[0]["since"] == 10
+    for k in range(5):
+        own = ["best", "capture_rule_", "capture_value", "capture_verdict", "capture_since", "one", "weight", "capture_rule", "a.b", "day_"]
+        assert [got[k][n] for n in own] == [f"{n}{k}" for n in names]
+    none = captures.limit(0)
+    assert url_filter.judge(none, table).collect() == []
+    assert {r["verdict"] for r in url_filter.judge(captures, table.limit(0)).collect()} == {"allow"}
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_queries_match_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     df = QUERIES[name](spark, FOLDER)
     cursor = con.execute(ORACLES[name])

@@ -49,6 +49,7 @@ HELD_NUMBERS = 1 << 21
 SHARD_WORDS = 1 << 20
 MERGED_ENTRIES = 1 << 21
 WORD_BYTES = 24
+RANK_PARTS = 64
 
 
 def tokens(text: bytes) -> Iterator[list[bytes]]:
@@ -362,8 +363,12 @@ def collocations(
     single = materialise(vocabulary.withColumnRenamed("n", "a").join(totals, "lang").select("id", "lang", "a", "n"), "single")
     found = scored(phrases, single).join(inner_phrases(phrases, share), "key", "left_anti")
     rows = with_text(materialise(found, "scored"), vocabulary)
-    order = W.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = rows.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    order = [F.desc("score"), F.desc("a"), "phrase"]
+    if top is not None:  # the first of a part before the first of all, so that no task ranks more than those
+        part = W.partitionBy("lang", "part").orderBy(*order)
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(RANK_PARTS)))
+        rows = rows.withColumn("rank", F.row_number().over(part)).filter(F.col("rank") <= top)
+    ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("bigint"))
     if top is not None:
         ranked = ranked.filter(F.col("rank") <= top)
     return ranked.select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

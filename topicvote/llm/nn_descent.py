@@ -23,7 +23,7 @@ The rows of a node and of a query have a bound, and nodes that occur very often
 Rows with a null id or a null or zero vector, or null or not finite components, take no part; a shorter
 vector is filled up with zeros. Of equal scores the smaller id comes first. Ids may repeat: each row is a
 candidate of its own. Other columns are not read; an empty table gives an empty result. With up to
-``BLOCK`` nodes the graph is exact.
+``BLOCK`` nodes everyone is everyone's neighbour.
 """
 
 from __future__ import annotations
@@ -137,9 +137,10 @@ def _found(node: np.ndarray, other: np.ndarray, score: np.ndarray, most: int) ->
 
 def first_neighbours(codes: DataFrame, size: int, count: int, most: int = NEIGHBOURS) -> DataFrame:
     """FOUND rows: the nearest inside blocks of nodes on the same sides of random planes."""
-    planes = max(1, (-(-count // BLOCK)).bit_length())
-    per_block = most if count <= BLOCK else min(PER_BLOCK, most)
-    trees = 1 if count <= BLOCK else TREES
+    block = BLOCK
+    planes = max(1, (-(-count // block)).bit_length())
+    per_block = most if count <= block else min(PER_BLOCK, most)
+    trees = 1 if count <= block else TREES
     rng = np.random.default_rng(SEED)
     normals = rng.standard_normal((size, trees * (planes + 1))).astype(np.float32)
 
@@ -156,10 +157,11 @@ def first_neighbours(codes: DataFrame, size: int, count: int, most: int = NEIGHB
                 yield pa.RecordBatch.from_arrays([*columns, *batch.columns], ["tree", "cell", "along", *batch.schema.names])
 
     def compare(batches):
-        for table, codes_, _ in sorted_groups(batches, "tree", BLOCK):
-            part = np.concatenate([np.flatnonzero(np.diff(codes_, prepend=-1) | (np.diff(_, prepend=-1) != 0)), [len(codes_)]])
+        for table, tree, part in sorted_groups(batches, "tree", block):
+            first = (np.diff(tree, prepend=-1) != 0) | (np.diff(part, prepend=-1) != 0)
+            edges = np.append(np.flatnonzero(first), len(tree))
             names = table.column("node").to_numpy()
-            for a, b in zip(part[:-1], part[1:], strict=True):
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
                 x = _vectors(table.slice(a, b - a))
                 near = x @ x.T
                 np.fill_diagonal(near, -np.inf)
@@ -293,8 +295,11 @@ def introductions(graph: DataFrame, codes: DataFrame, number: int, most: int, sa
 def neighbour_graph(
     codes: DataFrame, size: int, count: int, most: int = NEIGHBOURS, sample: int = SAMPLE, rounds: int = ROUNDS
 ) -> DataFrame:
-    """GRAPH: the nearest neighbours of every node, best first; written."""
+    """GRAPH: the nearest neighbours of every node, best first; all of them where there are few nodes.
+    Written."""
     ship_package(codes.sparkSession)
+    if count <= BLOCK:
+        most = max(most, count - 1)
     graph = _take_over(None, first_neighbours(codes, size, count, most), most, -1, sample)
     for number in range(rounds if count > BLOCK else 0):
         graph = _take_over(graph, introductions(graph, codes, number, most, sample), most, number, sample)

@@ -1,4 +1,4 @@
-"""Text quality by a factorisation machine over hashed words, structure and metadata.
+"""Text quality by a factorisation machine over hashed words, structure and metadata (lengths).
 
 A document is a sparse vector: its distinct words, hashed to ``WORD_SLOTS`` places and weighted by
 1 + log(count) to unit length, and standardised figures of its structure. The score is
@@ -8,7 +8,8 @@ A document is a sparse vector: its distinct words, hashed to ``WORD_SLOTS`` plac
 and the pairs are summed in linear time, as 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
 The machine is fitted on at most ``SAMPLE`` labelled rows (chosen by a hash of the id, all of them
-if there are fewer); only their vectors reach the driver. Labels are joined by id. Two rows of
+if there are fewer); only their vectors reach the driver, one for an id however often it repeats. Labels
+are joined by id. Two rows of
 labels for an id count as 1 only if all do, null labels do not count. Without labels of both kinds
 every score is 0.5, which is a pass. Ids, labels, language and source are never part of a vector.
 """
@@ -30,7 +31,7 @@ from topicvote.session import ship_package
 
 WORD_SLOTS = 1 << 15
 FACTORS = 8
-SAMPLE = 6_000
+SAMPLE = 20_000
 EPOCHS = 6
 BATCH = 256
 RATE = 0.02
@@ -201,11 +202,12 @@ def fit(
     texts = docs.select(column(docs, id_column).alias("doc_id"), column(docs, text_column).alias("text"))
     joined = texts.join(F.broadcast(chosen), "doc_id")
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = map_rows(joined, run, f"doc_id {kind}, label int, places binary, vals binary").collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], bytes(r["places"]), bytes(r["vals"])))
-    rows = [(np.frombuffer(r["places"], np.int32), np.frombuffer(r["vals"], np.float32)) for r in found]
-    values = np.array([r["label"] for r in found], np.float64)
-    del found
+    rows = map_rows(joined, run, f"doc_id {kind}, label int, places binary, vals binary")
+    one = rows.groupBy("doc_id", "label").agg(F.min(F.struct("places", "vals")).alias("x"))
+    found = one.select("doc_id", "label", "x.places", "x.vals").toArrow().sort_by("doc_id")
+    columns = zip(found.column("places"), found.column("vals"), strict=True)
+    rows = [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in columns]
+    values = found.column("label").to_numpy().astype(np.float64)
     return train(rows, values)
 
 

@@ -16,7 +16,9 @@ That makes about 28 copies of a distinct fingerprint, each of 16 bytes. Fingerpr
 inside a cell; a cell of more than ``CELL_ROWS`` is dealt out again as pairs of slices, so that no
 task holds more than two slices. Equal fingerprints are one row throughout.
 
-A third method would be exact only up to four differences, so ``bits`` may be 0 to 4.
+So links of at most two differing bits, and those of more that leave a block unchanged, are found by
+the value of a block, and all others by anchors: of pairs of three bits about a quarter, of pairs of
+four about half. A third method would be exact only up to four differences, so ``bits`` may be 0 to 4.
 """
 
 from __future__ import annotations
@@ -298,9 +300,18 @@ def near_groups(
 
 
 def drop_near_copies(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 5, bits: int = 4
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = 4, bits: int = 4
 ) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group. Rows with a null id stay."""
-    groups = near_groups(docs, id_column, text_column, words, bits)
-    lost = materialise(groups.filter("doc_id != component_id").select("doc_id").distinct(), "lost")
-    return docs.join(lost, column(docs, id_column) == lost["doc_id"], "left_anti")
+    """The rows of ``docs`` that stay, with all their columns: of each group the one with the smallest id
+    (null last), of equal ids the one that was read first. Rows are told apart by a number they get
+    in a first write, so ids may repeat."""
+    number = "_row"
+    while number in docs.columns:
+        number += "_"
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "numbered")
+    name = column(rows, id_column)
+    order = F.struct(name.isNull().alias("none"), name.alias("id"), F.col(number).alias("row"))
+    texts = rows.select(order.alias("doc_id"), column(rows, text_column).alias("text"))
+    groups = near_groups(texts, words=words, bits=bits)
+    lost = groups.filter("doc_id.row != component_id.row").select(F.col("doc_id.row").alias(number))
+    return rows.join(materialise(lost, "lost"), number, "left_anti").select(*[column(rows, c) for c in docs.columns])

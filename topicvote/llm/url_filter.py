@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from topicvote.llm.common import HOT_SHARE
+from topicvote.llm.common import HOT_SHARE, column
 from topicvote.session import materialise
 
 SPAN_DAYS = 32
@@ -96,13 +96,23 @@ def join_spread(left: DataFrame, right: DataFrame, keys: list[str], by: str) ->
     return dealt.drop("_salts").join(repeated.drop("_salts"), [*keys, "_salt"]).drop("_salt")
 
 
+RESULTS = ("verdict", "rule", "value", "since")
+
+
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` (capture_id, url, day) with verdict, rule, value and since (the day from which
-    the deciding entry holds). capture_id is unique."""
+    the deciding entry holds). capture_id is unique and not null; url and day may repeat.
+
+    A column of ``captures`` with one of these four names comes out as ``capture_<name>``, with more
+    underscores if that is taken too; all others keep their names. A capture without a url or day, or
+    without an entry that holds, is allowed; no captures or no entries give as many rows as there are
+    captures. Urls of any length are read as a whole."""
     span = lambda day: F.floor(F.col(day) / SPAN_DAYS)
-    rows = captures.withColumn("one", F.explode(candidates(bare(F.col("url")))))
+    read = captures.select(
+        column(captures, "capture_id"), column(captures, "day"), F.explode(candidates(bare(column(captures, "url")))).alias("one")
+    )
     asked = materialise(
-        rows.filter("day IS NOT NULL").select("capture_id", "day", "one.*", span("day").alias("span")), "asked"
+        read.filter("day IS NOT NULL").select("capture_id", "day", "one.*", span("day").alias("span")), "asked"
     )
     reach = asked.agg(F.min("span").alias("low"), F.max("span").alias("high")).first()
     low, high = (F.lit(0 if x is None else x) for x in (reach["low"], reach["high"]))
@@ -119,10 +129,22 @@ def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     best = holding.groupBy("capture_id").agg(
         F.max_by(F.struct("action", "rule", "value", "from_day"), "weight").alias("best")
     )
-    return captures.join(best, "capture_id", "left").select(
-        *captures.columns,
-        F.coalesce("best.action", F.lit("allow")).alias("verdict"),
-        F.col("best.rule").alias("rule"),
-        F.col("best.value").alias("value"),
-        F.col("best.from_day").alias("since"),
+    names: list[str] = []
+    for c in captures.columns:
+        name = f"capture_{c}" if c in RESULTS else c
+        while name != c and (name in captures.columns or name in names):
+            name += "_"
+        names.append(name)
+    found = best.select(F.col("capture_id").alias("_capture"), F.struct("best").alias("_found"))
+    mine = captures.select(
+        column(captures, "capture_id").alias("_capture"),
+        F.struct(*[column(captures, c).alias(f"c{k}") for k, c in enumerate(captures.columns)]).alias("_own"),
+    )
+    entry = F.col("_found.best")
+    return mine.join(found, "_capture", "left").select(
+        *[F.col(f"_own.c{k}").alias(name) for k, name in enumerate(names)],
+        F.coalesce(entry.getField("action"), F.lit("allow")).alias("verdict"),
+        entry.getField("rule").alias("rule"),
+        entry.getField("value").alias("value"),
+        entry.getField("from_day").alias("since"),
     )
