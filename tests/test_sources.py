@@ -11,6 +11,7 @@ from topicvote.sources.tables import (
     read_csv,
     read_logs,
     read_votes,
+    replace_votes,
     write_csv,
     write_votes,
 )
@@ -116,3 +117,38 @@ def test_row_numbers(spark):
 def test_null_counts(spark):
     df = spark.createDataFrame([(1, None), (None, None), (3, "x")], "a int, b string")
     assert {r["column"]: r.n_null for r in audit.null_counts(df).collect()} == {"a": 1, "b": 2}
+
+
+def test_votes_of_a_replicate_are_replaced(spark):
+    """One replicate is rewritten, one emptied, others stay; doing it again changes nothing."""
+    schema = "doc_id bigint, topic int, i int, j int, vote int"
+    rows = [(d, t, i, j, 0) for d in range(6) for t in (1, 5) for i in (1, 2) for j in (1, 2)]
+    path = new_path(spark, "votes")
+    write_votes(spark.createDataFrame(rows, schema), path)
+    new = [(d, 1, 2, 1, 1) for d in range(3)]
+    stray = [(9, 5, 2, 2, 1)]
+    replicates = spark.createDataFrame([(1, 2, 1), (5, 1, 1)], "topic int, i int, j int")
+    expected = {r for r in rows if r[1:4] not in ((1, 2, 1), (5, 1, 1))} | set(new)
+    for _ in range(2):
+        replace_votes(spark.createDataFrame(new + stray, schema), path, replicates)
+        got = [(r.doc_id, r.topic, r.i, r.j, r.vote) for r in read_votes(spark, path).collect()]
+        assert sorted(got) == sorted(expected)
+    again = [(7, 5, 1, 1, 1)]
+    replace_votes(spark.createDataFrame(again, schema), path, replicates.where("topic = 5"))
+    assert read_votes(spark, path).where("topic = 5 AND i = 1 AND j = 1").count() == 1
+
+
+def test_logs_of_at_most_so_many_lines(spark, tmp_path):
+    """Files over and under the bound, one of them split between tasks."""
+    for name, n in (("a", 3), ("b", 40), ("c", 0), ("d", 2000)):
+        text = "\n".join(["header"] + [f"{name} {k} " + "x" * 60 for k in range(n)])
+        (tmp_path / f"{name}_log.txt").write_text(text + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        got = sorted(r.api_logs.split(" ")[:2] for r in read_logs(spark, str(tmp_path / "*_log.txt"), 1500).collect())
+        small = read_logs(spark, str(tmp_path / "*_log.txt"), 3)
+        assert sorted(r.api_logs[:3] for r in small.collect()) == [f"{f} {k}" for f in "abd" for k in range(3)]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == sorted([f, str(k)] for f, n in (("a", 3), ("b", 40), ("d", 1500)) for k in range(n))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from topicvote.functions.hashing import draw
 from topicvote.functions.labels import binary_label
-from topicvote.operators import flags, hinge, linear_svm, naive_bayes, scoring, votes
+from topicvote.operators import features, flags, hinge, linear_svm, naive_bayes, scoring, votes
 from topicvote.operators.features import (
     count_vectors,
     fit_vocabulary,
@@ -77,6 +77,35 @@ def test_vocabulary_cut_matches_a_full_sort(spark, size):
     assert {r.term for r in vocabulary_terms(docs, min_df=1, size=size).collect()} == set(expected)
 
 
+@pytest.mark.parametrize("size", [1, 7, 150, 151, 399, 400, 1000])
+def test_vocabulary_cut_with_many_ties(spark, monkeypatch, size):
+    """Counts from 1 to very large ones, narrowed down in few ranges; most terms have the same count."""
+    monkeypatch.setattr(features, "RANGES", 3)
+    counts = {f"t{n:03d}": 7 if n % 8 else n * n + 1 for n in range(400)}
+    stats = spark.createDataFrame([(t, c, c) for t, c in counts.items()], "term string, df bigint, tc bigint")
+    monkeypatch.setattr(features, "term_statistics", lambda docs, words: stats.repartition(5))
+    expected = sorted(counts, key=lambda t: (-counts[t], t))[:size]
+    cut = vocabulary_terms(stats, min_df=1, size=size)
+    assert sorted(r.term for r in cut.collect()) == sorted(expected)
+    plan = cut._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and "TakeOrdered" not in plan
+
+
+def test_trimmed_counts_in_rows(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    docs = [(d, [f"w{int(x)}" for x in rng.geometric(0.12, 25)]) for d in range(80)] + [(80, []), (81, ["w1", "w1"])]
+    frame = spark.createDataFrame(docs, "doc_id bigint, words array<string>")
+    df = {w: sum(w in words for _, words in docs) for w in {w for _, words in docs for w in words}}
+    kept = {w for w, n in df.items() if 5 <= n <= 0.8 * len(docs)}
+    expected = {(d, w, words.count(w)) for d, words in docs for w in set(words) & kept}
+    for block in (1 << 19, 4):
+        monkeypatch.setattr(features, "BLOCK_TERMS", block)
+        counts = features.trimmed_counts(materialise(frame, "words"), min_df=5, max_share=0.8)
+        assert {tuple(r) for r in counts.collect()} == expected
+        assert "Exchange hashpartitioning" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert features.trimmed_counts(frame, min_df=500, max_share=0.8).collect() == []
+
+
 def test_null_rows_are_dropped(spark):
     df = spark.createDataFrame([(1, None), (2, "some text")], "doc_id int, text string")
     assert [r.doc_id for r in with_words(df).collect()] == [2]

@@ -68,3 +68,19 @@ def fit_forest(indexed: DataFrame, trees: int = 100, features_per_split: int = 2
         featureSubsetStrategy=str(features_per_split),
         seed=DEFAULT_SEED,
     ).fit(indexed)
+
+
+def forest_importance(
+    vectors: DataFrame,
+    train: Column,
+    names: list[str],
+    label: str = "label",
+    trees: int = 100,
+    features_per_split: int = 20,
+) -> DataFrame:
+    """(feature, impurity) of every feature that a tree splits at: its share in the decrease of
+    impurity. ``names`` are those of the places of the vectors."""
+    rows, _ = _indexed(vectors, train, label)
+    found = fit_forest(rows, trees, features_per_split).featureImportances
+    pairs = [(names[i], float(v)) for i, v in zip(found.indices, found.values, strict=True) if v > 0]
+    return vectors.sparkSession.createDataFrame(pairs, "feature string, impurity double")

@@ -7,6 +7,7 @@ stay in a vector of the vocabulary's length that linear models fold into their c
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,8 @@ from topicvote.session import materialise
 
 VOCABULARY_SIZE = 262_144
 BROADCAST_BYTES = 64 * 1024 * 1024
-TERM_BYTES = 64
+BLOCK_TERMS = 1 << 19
+RANGES = 1024
 
 
 def with_words(corpus: DataFrame, text: str = "text") -> DataFrame:
@@ -54,43 +56,92 @@ def vocabulary_terms(
     """(term, df, tc) of the ``size`` most frequent terms with at least ``min_df`` (and at most
     ``max_df``) documents; equal counts in the order of the terms.
 
-    The final ranking runs in one task. Where there are more terms than wanted, the numbers of
-    terms per power of two of the count tell which of them cannot be among the first, and only
-    the others are ranked.
+    No task ranks all terms: counts of terms by ever smaller ranges of the count tell the least count
+    that gets in; of the terms with just this count, which are sorted by range over many tasks, the
+    first are taken by their numbers in their tasks.
     """
     stats = term_statistics(docs, words).where(F.col("df") >= min_df)
     if max_df is not None:
         stats = stats.where(F.col("df") <= max_df)
     stats = materialise(stats, "terms")
-    power = F.floor(F.log2("tc")).cast("int")
-    counts = {r["power"]: r["n"] for r in
-              stats.groupBy(power.alias("power")).agg(F.count("*").alias("n")).collect()}
-    if sum(counts.values()) <= size:
+    n, low, high = stats.agg(F.count("*"), F.min("tc"), F.max("tc")).first()
+    if n <= size:
         return stats
-    above = 0
-    for least in sorted(counts, reverse=True):
-        above += counts[least]
-        if above >= size:
+    wanted = size
+    while low < high:  # wanted is what is left to take from the counts low to high
+        width = -(-(high - low + 1) // RANGES)
+        number = F.floor((F.col("tc") - low) / width).cast("int")
+        inside = stats.where(F.col("tc").between(low, high))
+        counts = dict(inside.groupBy(number.alias("r")).count().collect())
+        for r in sorted(counts, reverse=True):
+            if counts[r] >= wanted:
+                low, high = low + r * width, min(high, low + (r + 1) * width - 1)
+                break
+            wanted -= counts[r]
+    columns = stats.columns
+    ties = stats.where(F.col("tc") == low).repartitionByRange("term").sortWithinPartitions("term")
+    ties = materialise(ties.withColumn("place", F.monotonically_increasing_id()), "ties")
+    task = F.shiftright("place", 33)
+    end = None
+    for r in ties.groupBy(task.alias("task")).count().orderBy("task").collect():
+        if r["count"] >= wanted:
+            end = (r["task"] << 33) + wanted
             break
-    return stats.where(F.col("tc") >= 2**least).orderBy(F.desc("tc"), "term").limit(size)
+        wanted -= r["count"]
+    first = ties.where(F.col("place") < end).select(*columns)
+    return stats.where(F.col("tc") > low).unionByName(first)
 
 
-def trimmed_counts(
-    docs: DataFrame, min_df: int, max_share: float, words: str = "words"
-) -> DataFrame:
-    """(doc_id, term, tf) of all terms in at least ``min_df`` documents and at most this share of
-    them, however many terms that are. The kept terms are written and broadcast only if their
-    counted rows are small; a document's own rows lie in one task, so its counts are summed there.
-    """
+def trimmed_terms(docs: DataFrame, min_df: int, max_share: float, words: str = "words") -> DataFrame:
+    """(term, df, block): all terms in at least ``min_df`` documents and at most this share of them, the
+    commonest first, in blocks that are small enough to be sent to all tasks; written."""
     n_docs = docs.count()
     stats = term_statistics(docs, words).where(
         (F.col("df") >= min_df) & (F.col("df") <= max_share * n_docs)
     )
-    kept = materialise(stats.select("term"), "kept_terms")
-    if kept.count() * TERM_BYTES <= BROADCAST_BYTES:
-        kept = F.broadcast(kept)
-    pairs = docs.select("doc_id", F.explode(words).alias("term")).join(kept, "term")
-    return pairs.groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"))
+    ordered = stats.select("term", "df").repartitionByRange(F.desc("df"), "term")
+    placed = materialise(
+        ordered.sortWithinPartitions(F.desc("df"), "term").withColumn("place", F.monotonically_increasing_id()),
+        "kept_terms",
+    )
+    task = F.shiftright("place", 33)
+    before, starts = 0, []
+    for r in placed.groupBy(task.alias("task")).count().orderBy("task").collect():
+        starts += [F.lit(r["task"]), F.lit(before)]
+        before += r["count"]
+    if not starts:
+        return placed.select("term", "df", F.lit(0).alias("block"))
+    number = F.element_at(F.create_map(*starts), task) + F.col("place").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.select("term", "df", F.floor(number / BLOCK_TERMS).cast("int").alias("block"))
+
+
+def trimmed_vectors(docs: DataFrame, terms: DataFrame, words: str = "words") -> list[tuple[list[str], DataFrame]]:
+    """For each block of ``terms``: its terms, and ``docs`` with the vector ``raw_features`` of their counts.
+    A document is counted inside its row; blocks are read from the terms one after the other."""
+    out = []
+    n_blocks = terms.agg(F.max("block")).first()[0]
+    for block in range(0 if n_blocks is None else n_blocks + 1):
+        table = terms.where(F.col("block") == block).orderBy(F.desc("df"), "term").select("term").toArrow()
+        names = table.column("term").to_pylist()
+        model = CountVectorizerModel.from_vocabulary(names, inputCol=words, outputCol="raw_features")
+        out.append((names, model.transform(docs)))
+    return out
+
+
+def trimmed_counts(
+    docs: DataFrame, min_df: int, max_share: float, words: str = "words"
+) -> DataFrame:
+    """(doc_id, term, tf) of all terms in at least ``min_df`` documents and at most this share of
+    them, however many terms that are. Counts are made inside the rows of the documents, a block of
+    terms at a time, and nothing is shuffled by document and term."""
+    parts = []
+    for names, counted in trimmed_vectors(docs.select("doc_id", words), trimmed_terms(docs, min_df, max_share, words), words):
+        table = docs.sparkSession.createDataFrame(pa.table({"term_id": np.arange(len(names), dtype=np.int32), "term": names}))
+        rows = entries(with_arrays(counted), "doc_id").join(F.broadcast(table), "term_id")
+        parts.append(rows.select("doc_id", "term", F.col("tf").cast("int").alias("tf")))
+    if not parts:
+        return docs.select("doc_id", F.lit("").alias("term"), F.lit(0).alias("tf")).where(F.lit(False))
+    return reduce(DataFrame.unionByName, parts)
 
 
 @dataclass

@@ -20,11 +20,12 @@ from topicvote.operators import audit, baselines, linear_svm, metrics, naive_bay
 from topicvote.operators import corpus as start
 from topicvote.operators.features import (
     count_vectors,
-    dense_vectors,
     entries,
     tfidf_terms,
     tfidf_vectors,
     trimmed_counts,
+    trimmed_terms,
+    trimmed_vectors,
     vocabulary_terms,
     with_arrays,
 )
@@ -245,6 +246,15 @@ def trimmed_dfm(spark, folder):
     return counts.withColumnRenamed("term", "feature")
 
 
+@query
+def trimmed_dfm_stemmed(spark, folder):
+    """The matrix that the baselines read."""
+    docs = spread(read_table(spark, folder, "documents"))
+    words = docs.select("doc_id", tx.feature_tokens("text").alias("words"))
+    counts = trimmed_counts(materialise(words, "words"), min_df=50, max_share=0.8)
+    return counts.withColumnRenamed("term", "feature")
+
+
 # --- sampling -------------------------------------------------------------------------------
 
 
@@ -833,15 +843,35 @@ def svm_80_20(spark, folder):
     return _pairwise(split, vocabulary, ["doc_id", "label"])
 
 
+def _trimmed(spark, folder) -> tuple[list[str], DataFrame]:
+    """Terms, and the documents' vectors of stemmed, trimmed counts with their label, written. Topics
+    of a few documents only would leave folds without them and are left out."""
+    docs = spread(corpus(spark, folder))
+    words = materialise(docs.select("doc_id", "label", tx.feature_tokens("text").alias("words")), "words")
+    blocks = trimmed_vectors(words, trimmed_terms(words, min_df=50, max_share=0.8).where("block = 0"))
+    terms, vectors = blocks[0]
+    common = words.groupBy("label").count().where("count >= 10").select("label")
+    rows = vectors.join(F.broadcast(common), "label").select("doc_id", "label", F.col("raw_features").alias("features"))
+    return terms, materialise(rows, "vectors")
+
+
 @query
 def lasso_cv(spark, folder):
-    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
-    train = split_by_share("vec_id", 0.8) == "train"
-    return baselines.lasso_verdicts(vectors, train).select("vec_id", "label", "verdict")
+    _, vectors = _trimmed(spark, folder)
+    train = split_by_share("doc_id", 0.8) == "train"
+    return baselines.lasso_verdicts(vectors, train, max_iter=30).select("doc_id", "label", "verdict")
 
 
 @query
 def forest(spark, folder):
-    vectors = dense_vectors(read_table(spark, folder, "embeddings"), "embedding")
-    train = split_by_share("vec_id", 0.8) == "train"
-    return baselines.forest_verdicts(vectors, train).select("vec_id", "label", "verdict")
+    _, vectors = _trimmed(spark, folder)
+    train = split_by_share("doc_id", 0.8) == "train"
+    return baselines.forest_verdicts(vectors, train).select("doc_id", "label", "verdict")
+
+
+@query
+def forest_importance(spark, folder):
+    """Importance of the terms that any tree of the forest splits at."""
+    terms, vectors = _trimmed(spark, folder)
+    train = split_by_share("doc_id", 0.8) == "train"
+    return baselines.forest_importance(vectors, train, terms)

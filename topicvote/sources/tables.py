@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from topicvote.session import materialise
+
 START_CORPUS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
@@ -53,23 +56,68 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", drop: tuple[str, ...] =
 
 
 def write_votes(votes: DataFrame, path: str) -> None:
-    """All classifiers' votes as one table, laid out by topic and replicate. Rows are first
-    brought together by folder and a document bucket, so that a folder has few files and no
-    task writes a whole one."""
+    """All classifiers' votes as one table, laid out by topic and replicate, and its manifest."""
+    _write_votes(votes, path, "static")
+    _write_manifest(votes.select("topic", "i", "j").distinct(), path, "static")
+
+
+def replace_votes(votes: DataFrame, path: str, replicates: DataFrame) -> None:
+    """Replaces the votes of ``replicates`` (topic, i, j) in a written table and leaves all others as
+    they are. ``votes`` of other replicates are left out; a replicate without votes has none
+    afterwards. Doing it again changes nothing. The manifest is written last."""
+    wanted = replicates.select("topic", "i", "j").distinct()
+    own = votes.join(wanted, ["topic", "i", "j"], "left_semi")
+    _write_votes(own, path, "dynamic")
+    _write_manifest(wanted.join(own.select("topic", "i", "j").distinct().withColumn("filled", F.lit(1)), ["topic", "i", "j"], "left"), path, "dynamic")
+
+
+def _write_votes(votes: DataFrame, path: str, mode: str) -> None:
+    """Rows are first brought together by folder and a document bucket, so that a folder has few
+    files and no task writes a whole one."""
     bucket = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    votes.repartition("topic", "i", "j", bucket).write.partitionBy("topic", "i", "j").parquet(
-        path, mode="overwrite"
-    )
+    dealt = votes.repartition("topic", "i", "j", bucket).write.partitionBy("topic", "i", "j")
+    dealt.option("partitionOverwriteMode", mode).parquet(path, mode="overwrite")
 
 
-def read_votes(spark: SparkSession, path: str) -> DataFrame:
-    """The vote table; filters on topic, i and j choose folders."""
-    schema = "doc_id bigint, vote int, topic int, i int, j int"
-    return spark.read.schema(schema).parquet(path)
+def _write_manifest(replicates: DataFrame, path: str, mode: str) -> None:
+    """(topic, i, j, filled): whether a replicate that was ever written has votes."""
+    filled = F.col("filled").isNotNull() if "filled" in replicates.columns else F.lit(True)
+    rows = replicates.select("topic", "i", "j", filled.alias("filled"))
+    few = rows.repartition("topic").write.partitionBy("topic", "i", "j")
+    few.option("partitionOverwriteMode", mode).parquet(f"{path.rstrip('/')}.manifest", mode="overwrite")
 
 
-def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """One row per log line; the first line of every file is left out."""
-    return spark.read.schema("api_logs string").csv(
+def read_votes(spark: SparkSession, path: str) -> DataFrame:
+    """The vote table; filters on topic, i and j choose folders. Replicates that the manifest calls
+    empty are left out."""
+    place = "topic int, i int, j int"
+    votes = spark.read.schema(f"doc_id bigint, vote int, {place}").parquet(path)
+    manifest = spark.read.schema(f"filled boolean, {place}").parquet(f"{path.rstrip('/')}.manifest")
+    empty = manifest.where(~F.col("filled")).select("topic", "i", "j")
+    return votes.join(empty, ["topic", "i", "j"], "left_anti").select("doc_id", "vote", "topic", "i", "j")
+
+
+def read_logs(spark: SparkSession, path: str, n_max: int | None = None) -> DataFrame:
+    """One row per log line; the first line of every file is left out. With ``n_max`` only so many
+    lines of each file are kept: a line's number is its place in its part of the file and the lines
+    of the parts before, which are counted, so that large files are still read by many tasks."""
+    lines = spark.read.schema("api_logs string").csv(
         path, sep="\u0001", header=True, quote="", ignoreLeadingWhiteSpace=False
     )
+    if n_max is None:
+        return lines
+    part = ["file", "start"]
+    placed = materialise(
+        lines.select(
+            "api_logs",
+            F.col("_metadata.file_path").alias("file"),
+            F.col("_metadata.file_block_start").alias("start"),
+            F.monotonically_increasing_id().alias("place"),
+        ),
+        "log_lines",
+    )
+    sizes = placed.groupBy(*part).agg(F.min("place").alias("first"), F.count("*").alias("n"))
+    before = F.sum("n").over(W.partitionBy("file").orderBy("start")) - F.col("n")
+    kept = sizes.withColumn("before", before).where(F.col("before") < n_max).drop("n")
+    number = F.col("before") + F.col("place") - F.col("first")
+    return placed.join(kept, part).where(number < n_max).select("api_logs")
