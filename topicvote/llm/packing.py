@@ -173,6 +173,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 
 def pack_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 (ids), sequence_id, offset of every piece."""
-    cut = materialise(pieces(docs, id_column, text_column, **options), "pieces")
-    return pack(cut, options.get("capacity", CAPACITY))
+    """doc_id, piece, start, length, ids_crc32 (ids), sequence_id, offset of every piece. The ids stay
+    out of the sort and are joined with the places at the end."""
+    capacity = options.get("capacity", CAPACITY)
+    cut = pieces(docs, id_column, text_column, **options)
+    if not options.get("keep_ids"):
+        return pack(materialise(cut, "pieces"), capacity)
+    cut = materialise(cut.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    placed = pack(cut.drop("ids"), capacity)
+    return placed.join(cut.select("row", "ids"), "row").drop("row")
