@@ -56,9 +56,10 @@ def write_csv(df: DataFrame, path: str, sep: str = ",", drop: tuple[str, ...] =
 
 
 def write_votes(votes: DataFrame, path: str) -> None:
-    """All classifiers' votes as one table, laid out by topic and replicate, and its manifest."""
+    """All classifiers' votes as one table, laid out by topic and replicate, and its manifest, which
+    lists the replicates that were replaced since."""
     _write_votes(votes, path, "static")
-    _write_manifest(votes.select("topic", "i", "j").distinct(), path, "static")
+    _write_manifest(votes.select("topic", "i", "j").limit(0), path, "static")
 
 
 def replace_votes(votes: DataFrame, path: str, replicates: DataFrame) -> None:
@@ -72,15 +73,14 @@ def replace_votes(votes: DataFrame, path: str, replicates: DataFrame) -> None:
 
 
 def _write_votes(votes: DataFrame, path: str, mode: str) -> None:
-    """Rows are first brought together by folder and a document bucket, so that a folder has few
-    files and no task writes a whole one."""
-    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(16))
-    dealt = votes.repartition("topic", "i", "j", bucket).write.partitionBy("topic", "i", "j")
+    """Rows are first brought together by folder; adaptive execution splits the folders that are large
+    and lets a task write many small ones, so that a folder has few files."""
+    dealt = votes.hint("rebalance", "topic", "i", "j").write.partitionBy("topic", "i", "j")
     dealt.option("partitionOverwriteMode", mode).parquet(path, mode="overwrite")
 
 
 def _write_manifest(replicates: DataFrame, path: str, mode: str) -> None:
-    """(topic, i, j, filled): whether a replicate that was ever written has votes."""
+    """(topic, i, j, filled): whether a replicate that was replaced has votes."""
     filled = F.col("filled").isNotNull() if "filled" in replicates.columns else F.lit(True)
     rows = replicates.select("topic", "i", "j", filled.alias("filled"))
     few = rows.repartition("topic").write.partitionBy("topic", "i", "j")
