@@ -8,8 +8,8 @@ A document is a sparse vector: its distinct words, hashed to ``WORD_SLOTS`` plac
 and the pairs are summed in linear time, as 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2).
 
 The machine is fitted on at most ``SAMPLE`` labelled rows (chosen by a hash of the id, all of them
-if there are fewer); only their vectors reach the driver, one for an id however often it repeats. Labels
-are joined by id. Two rows of
+if there are fewer), one vector for an id however often it repeats, in a single task; only the machine
+reaches the driver. Labels are joined by id. Two rows of
 labels for an id count as 1 only if all do, null labels do not count. Without labels of both kinds
 every score is 0.5, which is a pass. Ids, labels, language and source are never part of a vector.
 """
@@ -17,6 +17,7 @@ every score is 0.5, which is a pass. Ids, labels, language and source are never
 from __future__ import annotations
 
 import math
+import pickle
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -204,11 +205,21 @@ def fit(
     kind = texts.schema["doc_id"].dataType.simpleString()
     rows = map_rows(joined, run, f"doc_id {kind}, label int, places binary, vals binary")
     one = rows.groupBy("doc_id", "label").agg(F.min(F.struct("places", "vals")).alias("x"))
-    found = one.select("doc_id", "label", "x.places", "x.vals").toArrow().sort_by("doc_id")
+    chosen = one.select("doc_id", "label", "x.places", "x.vals").repartition(1)
+    found = chosen.mapInArrow(_trained, "machine binary").first()
+    return pickle.loads(bytes(found["machine"])) if found else untrained()
+
+
+def _trained(batches):
+    """One row, the machine of all rows (doc_id, label, places, vals): a task of at most ``SAMPLE`` rows."""
+    held = list(batches)
+    if not sum(b.num_rows for b in held):
+        return
+    found = pa.Table.from_batches(held).sort_by("doc_id")
     columns = zip(found.column("places"), found.column("vals"), strict=True)
     rows = [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in columns]
-    values = found.column("label").to_numpy().astype(np.float64)
-    return train(rows, values)
+    machine = train(rows, found.column("label").to_numpy().astype(np.float64))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
 
 
 def score(docs: DataFrame, machine: Machine, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
