@@ -48,7 +48,7 @@ def same(got, expected):
 
 def test_small_tables_are_exact(spark):
     """Equal vectors, ties, rows that take no part, vectors of different sizes and lengths."""
-    x = vectors(200, 6, 1) * np.linspace(0.2, 3, 200)[:, None]
+    x = (vectors(200, 6, 1) * np.linspace(0.2, 3, 200)[:, None]).astype(np.float32)
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     rows += [(1000 + i, rows[3][1]) for i in range(60)]  # very many equal ones, three of them queries
     rows += [(2000, [1.0, 2.0]), (2001, []), (2020, None), (2040, [0.0] * 6), (2060, [float("nan")] * 6),
