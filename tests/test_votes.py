@@ -341,6 +341,10 @@ def test_pairwise_votes_and_ties(prepared, monkeypatch):
     coded = linear_svm.pairwise_verdicts(rows, vocabulary, [1, 5, 100]).collect()
     assert sum(r.label == r.verdict for r in coded) / len(coded) > 0.9
     assert {r.verdict for r in linear_svm.pairwise_verdicts(rows, vocabulary, [5]).collect()} == {5}
+    every = start_state(rows.drop("row_hash", "original_label", "in_train", "neg_topics"), 0)
+    together = linear_svm.pairwise_verdicts(every, vocabulary, [1, 5, 100], ["doc_id", "sim"], (1, 2, 3)).collect()
+    assert {r.doc_id: r.verdict for r in coded}.items() <= {r.doc_id: r.verdict for r in together}.items()
+    assert len(together) == every.count()
     # 1 beats 5, 5 beats 100, 100 beats 1: the first of equal ones; a margin of 0 is a vote for the second
     margins = {(1, 5): 1.0, (1, 100): -1.0, (5, 100): 1.0}
 

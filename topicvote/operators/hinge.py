@@ -216,7 +216,7 @@ def _scales(rows: DataFrame, machines: Sequence[Machine], n_terms: int, usable:
         variance = np.maximum(squares - sums * sums / max(n, 1), 0) / max(n - 1, 1)
         terms = np.flatnonzero((variance > 0) & usable)
         deviation = np.sqrt(variance[terms])
-        out.append(_Scale(n, terms, deviation, sums[terms] / n / deviation if n else sums[terms]))
+        out.append(_Scale(max(n, 1), terms, deviation, sums[terms] / max(n, 1) / deviation))
     return out
 
 

@@ -30,6 +30,7 @@ def training_vectors(rows: DataFrame) -> DataFrame:
         F.col("row_hash").cast("bigint").alias("row_hash"),
         known.cast("array<int>").alias("neg_topics"),
     ]
+    columns += [F.col("sim").cast("int").alias("sim")] if "sim" in rows.columns else []
     return materialise(rows.where(used).select(*columns, "term_ids", "tfs"), "vectors")
 
 
@@ -39,7 +40,7 @@ def fit_ensemble(
     spec: EnsembleSpec,
     state: DataFrame | None = None,
     before: FlagSums | None = None,
-    max_iter: int = 20,
+    max_iter: int = 10,
     reg_param: float = 0.1,
 ) -> LinearEnsemble:
     """One machine per topic and replicate on the same draws as the naive Bayes ensemble.
@@ -74,25 +75,31 @@ def pairwise_verdicts(
     vocabulary: Vocabulary,
     labels: Sequence[int],
     keep: Sequence[str] = ("doc_id", "label"),
+    folds: Sequence[int] | None = None,
     max_iter: int = 20,
     reg_param: float = 0.1,
 ) -> DataFrame:
     """One-vs-one: a machine for each pair of labels, fitted on the rows with ``in_train`` 1, codes the
-    others. The label with most votes wins, of equal ones the first of ``labels``; a margin of 0 votes
-    for the second label of a pair.
+    others. With ``folds``, where ``in_train`` is 1 throughout, every row (``sim``) is coded by machines
+    fitted on the rows outside its fold; those of all folds are fitted together. The label with most
+    votes wins, of equal ones the first of ``labels``; a margin of 0 votes for the second label of a pair.
 
     ``rows`` has label, in_train, row_hash, term_ids and tfs; ``labels`` are those of the training rows."""
     pairs = list(combinations(range(len(labels)), 2))
-    test = rows.where(F.col("in_train") == 0)
+    test = rows if folds else rows.where(F.col("in_train") == 0)
     if not pairs:
         verdict = F.lit(labels[0] if labels else None).cast("int")
         return test.select(*keep, verdict.alias("verdict"))
-    machines = [Machine(Flag(labels[a]), Flag(labels[b])) for a, b in pairs]
-    weights, intercepts = np.zeros((len(vocabulary), len(pairs))), np.zeros(len(pairs))
+    groups = list(folds or [None])
+    machines = [Machine(Flag(labels[a], fold=f), Flag(labels[b], fold=f)) for f in groups for a, b in pairs]
+    weights = {f: weights_file(len(vocabulary), len(pairs)) for f in groups}
+    intercepts = {f: np.zeros(len(pairs)) for f in groups}
     usable = vocabulary.idf > 0
     for k, weight, intercept in fit(training_vectors(rows), machines, len(vocabulary), usable, max_iter, reg_param):
-        weights[:, k], intercepts[k] = weight, intercept
-    scored = score_votes(test, LinearEnsemble(EnsembleSpec(), weights, intercepts, np.arange(len(pairs))), keep)
+        group, place = groups[k // len(pairs)], k % len(pairs)
+        weights[group][:, place], intercepts[group][place] = weight, intercept
+    spec, own = EnsembleSpec(), np.arange(len(pairs))
+    scored = score_votes(test, {f: LinearEnsemble(spec, weights[f], intercepts[f], own) for f in groups}, keep)
     votes = [F.get("model_votes", F.lit(k)).cast("int") for k in range(len(pairs))]
     counts = []
     for at in range(len(labels)):

@@ -152,10 +152,14 @@ def _scored(
 
 
 def score_votes(
-    counted: DataFrame, ensemble: LinearEnsemble, keep: Collection[str] = ("doc_id",)
+    counted: DataFrame,
+    ensemble: LinearEnsemble | Mapping[int | None, LinearEnsemble],
+    keep: Collection[str] = ("doc_id",),
 ) -> DataFrame:
-    """The kept columns and ``model_votes``, one 0/1 per distinct model."""
-    return _scored(counted, {None: ensemble}, keep, "model_votes", "tinyint", lambda votes, _: votes)
+    """The kept columns and ``model_votes``, one 0/1 per distinct model; ``ensemble`` may be one for each
+    fold (``sim``)."""
+    ensembles = ensemble if isinstance(ensemble, Mapping) else {None: ensemble}
+    return _scored(counted, ensembles, keep, "model_votes", "tinyint", lambda votes, _: votes)
 
 
 def score_tallies(

@@ -818,20 +818,19 @@ def svm_workflow(spark, folder):
     return _union(r.numbers for r in rounds.run(rows, vocabulary, config))
 
 
-def _pairwise(rows: DataFrame, vocabulary, keep) -> DataFrame:
+def _pairwise(rows: DataFrame, vocabulary, keep, folds=None) -> DataFrame:
     rows = materialise(rows, "split")
     train = rows.where(F.col("in_train") == 1)
     labels = [r[0] for r in train.select("label").distinct().orderBy("label").collect()]
-    return linear_svm.pairwise_verdicts(rows, vocabulary, labels, keep)
+    return linear_svm.pairwise_verdicts(rows, vocabulary, labels, keep, folds)
 
 
 @query
 def svm_multiclass(spark, folder):
-    """One-vs-one over all three folds."""
+    """One-vs-one over all three folds, fitted together."""
     rows, vocabulary = counted(spark, folder)
-    rows = with_arrays(rows)
-    folds = [_pairwise(rounds.start_state(rows, f), vocabulary, ["doc_id", "sim", "label"]) for f in (1, 2, 3)]
-    return _union(folds)
+    state = rounds.start_state(with_arrays(rows), 0)
+    return _pairwise(state, vocabulary, ["doc_id", "sim", "label"], (1, 2, 3))
 
 
 @query
