@@ -10,9 +10,9 @@ import pytest
 import __spark_entry__ as entry_points
 
 FOLDER = "/root/testdata/sf0.001"
-SLOW = {"variant_summary", "variant_summary_v1", "variant_summary_v2", "variant_summary_v4",
+SLOW = {"variant_summary", "variant_summary_v2", "variant_summary_v4",
         "convergence", "convergence_gated", "workflow_v0", "workflow_v1", "workflow_v3", "model_wins",
-        "pr_comparison", "metrics_long", "pr_highlights", "pr_total", "votes_wide", "vote_tally",
+        "pr_comparison", "metrics_long", "pr_highlights", "votes_wide", "vote_tally",
         "gate_route_basic", "gate_route_gated", "tied_docs", "validation_sample_size"}
 ORACLES = entry_points.oracle_sql()
 
