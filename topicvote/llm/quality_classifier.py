@@ -123,7 +123,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
         return machine
     figures = np.array([v[-FIGURES:] for _, v in rows])
     machine.centre, machine.spread = figures.mean(0), np.maximum(figures.std(0), 1e-6)
-    rows = [(p, machine.scaled(v)) for p, v in rows]
+    rows = [(p, machine.scaled(v).astype(np.float32)) for p, v in rows]
     draw = np.random.default_rng(seed)
     size = WORD_SLOTS + FIGURES
     theta = np.concatenate([np.zeros((size, 1)), draw.normal(0, 0.02, (size, FACTORS))], axis=1)
@@ -206,19 +206,21 @@ def fit(
     rows = map_rows(joined, run, f"doc_id {kind}, label int, places binary, vals binary")
     one = rows.groupBy("doc_id", "label").agg(F.min(F.struct("places", "vals")).alias("x"))
     chosen = one.select("doc_id", "label", "x.places", "x.vals").repartition(1)
-    found = chosen.mapInArrow(_trained, "machine binary").first()
+    found = chosen.sortWithinPartitions("doc_id").mapInArrow(_trained, "machine binary").first()
     return pickle.loads(bytes(found["machine"])) if found else untrained()
 
 
 def _trained(batches):
-    """One row, the machine of all rows (doc_id, label, places, vals): a task of at most ``SAMPLE`` rows."""
-    held = list(batches)
-    if not sum(b.num_rows for b in held):
+    """One row, the machine of all sorted rows (doc_id, label, places, vals): a task of at most ``SAMPLE``
+    rows, whose vectors are read where the batches hold them."""
+    rows, labels = [], []
+    for batch in batches:
+        columns = zip(batch.column("places"), batch.column("vals"), strict=True)
+        rows += [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in columns]
+        labels += batch.column("label").to_pylist()
+    if not rows:
         return
-    found = pa.Table.from_batches(held).sort_by("doc_id")
-    columns = zip(found.column("places"), found.column("vals"), strict=True)
-    rows = [(np.frombuffer(p.as_buffer(), np.int32), np.frombuffer(v.as_buffer(), np.float32)) for p, v in columns]
-    machine = train(rows, found.column("label").to_numpy().astype(np.float64))
+    machine = train(rows, np.array(labels, np.float64))
     yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(machine)], pa.binary())], ["machine"])
 
 
