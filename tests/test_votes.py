@@ -356,3 +356,18 @@ def test_pairwise_votes_and_ties(prepared, monkeypatch):
     assert {r.verdict for r in linear_svm.pairwise_verdicts(rows, vocabulary, [1, 5, 100]).collect()} == {1}
     margins[1, 5] = 0.0
     assert {r.verdict for r in linear_svm.pairwise_verdicts(rows, vocabulary, [1, 5, 100]).collect()} == {5}
+
+
+def test_weights_are_made_by_tasks(prepared, monkeypatch):
+    """No vector of the vocabulary's length comes to the driver, and small chunks give the same models."""
+    _, vocabulary, rows = prepared
+    spec = EnsembleSpec(outer=2, inner=2)
+    whole = naive_bayes.fit_ensemble(rows, vocabulary, spec)
+    for module in (flags, naive_bayes):
+        monkeypatch.setattr(module, "CHUNK_TERMS", 7)
+        monkeypatch.setattr(module, "flag_vectors", None, raising=False)
+    chunked = naive_bayes.fit_ensemble(rows, vocabulary, spec)
+    assert isinstance(chunked.weights, scoring.StoredWeights)
+    assert np.allclose(np.asarray(whole.weights), np.asarray(chunked.weights), rtol=1e-12)
+    tallies = [{r.doc_id: r.tallies for r in score_tallies(rows, e).collect()} for e in (whole, chunked)]
+    assert tallies[0] == tallies[1]
