@@ -371,3 +371,38 @@ def test_weights_are_made_by_tasks(prepared, monkeypatch):
     assert np.allclose(np.asarray(whole.weights), np.asarray(chunked.weights), rtol=1e-12)
     tallies = [{r.doc_id: r.tallies for r in score_tallies(rows, e).collect()} for e in (whole, chunked)]
     assert tallies[0] == tallies[1]
+
+
+def test_directions_from_inner_products():
+    """The driver's recursion over inner products equals the one over the vectors, and no step brings vectors."""
+    rng = np.random.default_rng(4)
+    g = rng.normal(size=30)
+    pairs = {i: (s, s + 0.1 * rng.normal(size=30)) for i, s in enumerate(rng.normal(size=(4, 30)))}
+    history = [3, 2, 1, 0]
+    out, shares = g.copy(), []
+    for i in history:
+        s, y = pairs[i]
+        shares.append((s @ out) / (s @ y))
+        out -= shares[-1] * y
+    s, y = pairs[3]
+    out *= (s @ y) / (y @ y)
+    for i, share in zip(reversed(history), reversed(shares), strict=True):
+        s, y = pairs[i]
+        out += (share - (y @ out) / (s @ y)) * s
+    known = hinge._Products(
+        g @ g,
+        {i: g @ s for i, (s, _) in pairs.items()},
+        {i: g @ y for i, (_, y) in pairs.items()},
+        {(i, j): pairs[i][0] @ pairs[j][1] for i in pairs for j in pairs},
+        {(i, j): pairs[i][1] @ pairs[j][1] for i in pairs for j in pairs},
+    )
+    of_gradient, of_step, of_change = hinge._direction(known, history)
+    mine = of_gradient * g + sum(of_step[i] * pairs[i][0] + of_change[i] * pairs[i][1] for i in history)
+    assert np.allclose(mine, out)
+
+
+def test_machines_stay_in_the_shared_folder(prepared):
+    _, vocabulary, rows = prepared
+    ensemble = linear_svm.fit_ensemble(rows, vocabulary, EnsembleSpec(topics=[1, 5], outer=1, inner=1), max_iter=2)
+    assert isinstance(ensemble.weights, scoring.StoredWeights)
+    assert ensemble.weights.shape == (len(vocabulary), 4) and np.asarray(ensemble.weights)[:, 2:].any()

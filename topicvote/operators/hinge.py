@@ -4,35 +4,39 @@ A model is told by two flags (``flags.py``): the rows it shall say yes to and th
 to. Every pass over the rows gives the hinge losses and gradients of all models that still run, at
 the point that each of them asks for: a task makes the flags of its rows, sums the gradients of its
 rows in one matrix and gives it out in chunks of terms, which are added chunk by chunk in a second
-stage. On the driver each model takes its own quasi-Newton steps (limited memory BFGS with a
-backtracking line search) towards the minimum of what the library's own learner minimises for one
-model in many jobs: the mean hinge loss of standardised features with a quadratic penalty.
-
-The driver holds about ``VECTORS`` vectors for each running model, and models are fitted in tiles
-that keep below ``STATE_BYTES`` with them, whatever the vocabulary. A task's matrix has a number for
-each term and model of a tile, so it is smaller by the same factor.
+stage. Each model takes its own quasi-Newton steps (limited memory BFGS with a backtracking line search)
+towards the minimum of what the library's own learner minimises for one model in many jobs: the mean
+hinge loss of standardised features with a quadratic penalty.
+
+Points, gradients, directions and the last ``MEMORY`` steps stay in the shared folder, in files of a chunk
+of terms each, and tasks read and write them chunk by chunk. The driver gets the inner products that a
+step needs, a few numbers for each chunk and model, and decides by them. A task's matrix of sums has a
+number for each term and model of a tile; models are fitted in tiles that keep it below ``STATE_BYTES``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Generator, Iterator, Sequence
-from dataclasses import dataclass
+import uuid
+from collections.abc import Callable, Generator, Iterator, Sequence
+from dataclasses import dataclass, field
+from math import sqrt
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicvote.operators.flags import Flag, TrainingRows, entry_arrays, flag_vectors, flagged_sums
-from topicvote.operators.scoring import margins
-from topicvote.session import ship_package
+from topicvote.operators.flags import Flag, TrainingRows, chunk_batch, chunked_sums, entry_arrays, flag_rows, flagged_sums
+from topicvote.operators.scoring import StoredWeights, margins, store_weights
+from topicvote.session import new_path, ship_package
 
 MEMORY = 10
-VECTORS = 2 * MEMORY + 6
-STATE_BYTES = 512 * 1024 * 1024
+STATE_BYTES = 128 * 1024 * 1024
 CHUNK_TERMS = 4096
-DIRECT_BYTES = 256 * 1024 * 1024
+DIRECT_BYTES = 64 * 1024 * 1024
 TOTALS = -1
 ARMIJO, WOLFE, GROW = 1e-4, 0.9, 2.1
 LINE_STEPS = 8
@@ -47,45 +51,61 @@ class Machine:
     no: Flag
 
 
-Evaluated = tuple[float, np.ndarray]
-
-
 class _LineSearchFailed(Exception):
     pass
 
 
-def _direction(gradient: np.ndarray, steps: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """Two-loop recursion over (step, change of the gradient), the newest first; only downhill."""
-    out, shares = gradient.copy(), []
-    for step, change in steps:
-        shares.append((step @ out) / (step @ change))
-        out -= shares[-1] * change
-    if steps:
-        step, change = steps[0]
-        out *= (step @ change) / (change @ change)
-    for (step, change), share in zip(reversed(steps), reversed(shares), strict=True):
-        out += (share - (change @ out) / (step @ change)) * step
-    return np.where(-out * gradient < 0, -out, 0.0)
-
-
-def descend(size: int, max_iter: int, tolerance: float) -> Generator[np.ndarray, Evaluated, np.ndarray]:
-    """Asks for the value and gradient at points, and returns the last point."""
-    point = np.zeros(size)
-    value, gradient = yield point
-    first, values, steps, failed = value, [value], [], False
+@dataclass
+class _Products:
+    """Inner products of a model's gradient and its steps and changes of the gradient, by their numbers."""
+
+    gradient: float
+    steps: dict[int, float] = field(default_factory=dict)
+    changes: dict[int, float] = field(default_factory=dict)
+    step_change: dict[tuple[int, int], float] = field(default_factory=dict)
+    change_change: dict[tuple[int, int], float] = field(default_factory=dict)
+
+
+def _direction(known: _Products, history: Sequence[int]) -> tuple[float, dict[int, float], dict[int, float]]:
+    """Shares of the gradient, of the steps and of the changes in the direction (uphill), by a two-loop recursion
+    over ``history``, the newest first."""
+    of_gradient, of_step, of_change = 1.0, dict.fromkeys(history, 0.0), dict.fromkeys(history, 0.0)
+    shares = {}
+    for i in history:
+        along = of_gradient * known.steps[i] + sum(of_change[j] * known.step_change[i, j] for j in history)
+        shares[i] = along / known.step_change[i, i]
+        of_change[i] -= shares[i]
+    if history:
+        newest = history[0]
+        scale = known.step_change[newest, newest] / known.change_change[newest, newest]
+        of_gradient *= scale
+        of_change = {i: scale * v for i, v in of_change.items()}
+    for i in reversed(history):
+        along = of_gradient * known.changes[i]
+        along += sum(of_change[j] * known.change_change[i, j] + of_step[j] * known.step_change[j, i] for j in history)
+        of_step[i] += shares[i] - along / known.step_change[i, i]
+    return of_gradient, of_step, of_change
+
+
+def descend(max_iter: int, tolerance: float) -> Generator[tuple, object, None]:
+    """Steps of a model. It asks ``("evaluate", alpha, _)`` for (value, slope) at its point and so much of its
+    direction, ``("commit", history, _)`` to go there, for the products of the new gradient, step and change with
+    those of ``history``, and ``("direct", shares, alpha)`` for a new direction's slope at its point."""
+    value, _ = yield "evaluate", 0.0, None
+    number, known = yield "commit", [], None
+    first, values, history, failed = value, [value], [], False
     iteration = 0
     while iteration < max_iter:
         try:
-            direction = _direction(gradient, steps)
-            slope = direction @ gradient
-            length = np.linalg.norm(gradient)
-            if not length or not slope < 0:
+            length = sqrt(known.gradient)
+            if not length:
                 raise _LineSearchFailed
             alpha, shrink = (0.5 / length, 0.1) if iteration == 0 else (1.0, 0.5)
+            slope = yield "direct", _direction(known, history), alpha
+            if not slope < 0:
+                raise _LineSearchFailed
             for _ in range(LINE_STEPS):
-                there = point + alpha * direction
-                new_value, new_gradient = yield there
-                new_slope = new_gradient @ direction
+                new_value, new_slope = yield "evaluate", alpha, None
                 if new_value > value + alpha * slope * ARMIJO:
                     alpha *= shrink
                 elif new_slope < WOLFE * slope:
@@ -99,30 +119,113 @@ def descend(size: int, max_iter: int, tolerance: float) -> Generator[np.ndarray,
         except _LineSearchFailed:
             if failed:
                 break
-            failed, steps = True, []
+            failed, history = True, []
             continue
-        change = new_gradient - gradient
-        step = there - point
-        if step @ change > 0:
-            steps = [(step, change), *steps][:MEMORY]
-        point, value, gradient = there, new_value, new_gradient
+        number, new = yield "commit", history, None
+        new.step_change = {**known.step_change, **new.step_change}
+        new.change_change = {**known.change_change, **new.change_change}
+        known, value = new, new_value
+        if known.step_change[number, number] > 0:
+            history = [number, *history][:MEMORY]
         iteration += 1
         still = abs(value - max(values)) <= tolerance * abs(first)
-        flat = np.linalg.norm(gradient) <= max(tolerance * value, 1e-8)
+        flat = sqrt(known.gradient) <= max(tolerance * value, 1e-8)
         values = [*values, value][-VALUES:]
         if still or flat:
             break
-    return point
 
 
-def _partial_sums(machines: Sequence[Machine], weights, intercepts: np.ndarray, n_terms: int):
+@dataclass(frozen=True)
+class _Files:
+    """Named matrices (term, model) of doubles in the shared folder, a file for each chunk of terms."""
+
+    folder: str
+    n_terms: int
+    chunk_terms: int
+
+    @property
+    def n_chunks(self) -> int:
+        return -(-self.n_terms // self.chunk_terms)
+
+    def write(self, name: str, chunk: int, matrix: np.ndarray) -> None:
+        system, path = fs.FileSystem.from_uri(self.folder)
+        system.create_dir(f"{path}/{name}", recursive=True)
+        made = f"{path}/{name}/{uuid.uuid4().hex}.part"
+        with system.open_output_stream(made) as out:
+            out.write(np.ascontiguousarray(matrix, float).tobytes())
+        system.move(made, f"{path}/{name}/{chunk}")
+
+    def read(self, name: str, chunk: int) -> np.ndarray:
+        system, path = fs.FileSystem.from_uri(self.folder)
+        with system.open_input_stream(f"{path}/{name}/{chunk}") as data:
+            values = np.frombuffer(data.read())
+        return values.reshape(min(self.chunk_terms, self.n_terms - chunk * self.chunk_terms), -1)
+
+    def drop(self, *names: str) -> None:
+        system, path = fs.FileSystem.from_uri(self.folder)
+        for name in names:
+            if system.get_file_info(f"{path}/{name}").type == fs.FileType.Directory:
+                system.delete_dir(f"{path}/{name}")
+
+
+@dataclass(frozen=True)
+class _TrialWeights(StoredWeights):
+    """Weights of a step. An executor keeps only those of the last one of a fit."""
+
+    files: _Files | None = None
+
+    @property
+    def name(self) -> str:
+        return f"trial-{Path(self.files.folder).parent.name}-{self.path}"
+
+    def fill(self, out: np.ndarray) -> None:
+        for chunk in range(self.files.n_chunks):
+            at = chunk * self.chunk_terms
+            out[at : at + self.chunk_terms] = self.files.read(self.path, chunk)
+
+    def opened(self) -> np.ndarray:
+        out = super().opened()
+        if self.n_terms:
+            here = Path(out.base.filename if out.base is not None and hasattr(out.base, "filename") else out.filename)
+            for old in here.parent.glob(f"trial-{Path(self.files.folder).parent.name}-*.npy"):
+                if old.name != here.name:
+                    old.unlink(missing_ok=True)
+        return out
+
+
+def _by_chunk(spark: SparkSession, files: _Files, work: Callable[[int], np.ndarray], shape: tuple[int, int]) -> np.ndarray:
+    """Does ``work`` for every chunk in tasks, and adds what it returns in the order of the chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in batch.column("id").to_pylist():
+                yield chunk_batch(chunk, work(chunk))
+
+    if not files.n_chunks:
+        return np.zeros(shape)
+    parts = min(files.n_chunks, 2 * spark.sparkContext.defaultParallelism)
+    return _in_order(spark.range(0, files.n_chunks, 1, parts).mapInArrow(run, "chunk int, data binary"), shape)
+
+
+def _in_order(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
+    table = rows.toArrow().sort_by("chunk")
+    out = np.zeros(shape)
+    for data in table.column("data"):
+        out += np.frombuffer(data.as_buffer()).reshape(shape)
+    return out
+
+
+def _partial_sums(
+    machines: Sequence[Machine], weights: StoredWeights, columns: Sequence[int], intercepts: np.ndarray, chunk_terms: int
+):
     """(chunk, part, data): gradients by chunk of terms, and under ``TOTALS`` the sums of the rows'
     shares and losses."""
     yes = list(dict.fromkeys(m.yes for m in machines))
     which = np.array([yes.index(m.yes) for m in machines])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used = weights.value
+        used, n_terms = weights.opened(), len(weights)
+        used = used if len(columns) == used.shape[1] else used[:, columns]
         sums = np.zeros((n_terms, len(machines)))
         totals = np.zeros((2, len(machines)))
         for batch in batches:
@@ -143,7 +246,7 @@ def _partial_sums(machines: Sequence[Machine], weights, intercepts: np.ndarray,
                 sums[ids[part][heads]] += np.add.reduceat(shares[owner[part]] * tfs[part][:, None], heads)
         number = TaskContext.get().partitionId()
         chunks = [(TOTALS, totals)] if totals.any() else []
-        chunks += [(k, sums[k : k + CHUNK_TERMS]) for k in range(0, n_terms, CHUNK_TERMS)]
+        chunks += [(k // chunk_terms, sums[k : k + chunk_terms]) for k in range(0, n_terms, chunk_terms)]
         for chunk, part in chunks:
             if part.any():
                 yield pa.RecordBatch.from_pydict({"chunk": [chunk], "part": [number], "data": [part.tobytes()]}, SUMS)
@@ -154,70 +257,304 @@ def _partial_sums(machines: Sequence[Machine], weights, intercepts: np.ndarray,
 SUMS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sums of sorted rows (chunk, part, data) for each chunk, in the order of the parts."""
-    here, total = None, None
-    for batch in batches:
-        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-            values = np.frombuffer(data.as_py())
-            if chunk == here:
-                total = total + values
-                continue
-            if here is not None:
-                yield pa.RecordBatch.from_pydict({"chunk": [here], "part": [0], "data": [total.tobytes()]}, SUMS)
-            here, total = chunk, values
-    if here is not None:
-        yield pa.RecordBatch.from_pydict({"chunk": [here], "part": [0], "data": [total.tobytes()]}, SUMS)
+def _added(files: _Files, name: str, order: Sequence[int], finish: Callable[[int, np.ndarray], np.ndarray]):
+    """Adds sorted rows (chunk, part, data) for each chunk, in the order of the parts; writes the sum and gives
+    out what ``finish`` makes of it. The totals are given out as they are."""
+
+    def done(chunk: int, total: np.ndarray) -> pa.RecordBatch:
+        if chunk == TOTALS:
+            return chunk_batch(chunk, total)
+        height = min(files.chunk_terms, files.n_terms - chunk * files.chunk_terms)
+        matrix = total.reshape(height, len(order)) if len(total) else np.zeros((height, len(order)))
+        files.write(name, chunk, matrix)
+        return chunk_batch(chunk, finish(chunk, matrix))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, total = None, np.zeros(0)
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                values = np.frombuffer(data.as_buffer())
+                if chunk == here:
+                    total = total + values if len(total) else values
+                    continue
+                if here is not None:
+                    yield done(here, total)
+                here, total = chunk, values
+        if here is not None:
+            yield done(here, total)
+
+    return run
+
+
+class _Fit:
+    """A tile of models. Files: ``dev`` and ``mean`` (deviations, 0 where a term is not used, and standardised
+    means), ``p``, ``g`` and ``d`` with a number (points, gradients, directions), ``s`` and ``y`` (steps, changes
+    of the gradient), ``w`` (weights of plain counts at the points asked for) and ``raw`` (sums of a pass)."""
+
+    def __init__(self, rows: DataFrame, machines: Sequence[Machine], n_terms: int, usable: np.ndarray, penalty: float):
+        self.rows, self.machines, self.penalty, self.spark = rows, machines, penalty, rows.sparkSession
+        self.files = _Files(new_path(self.spark, "fit"), n_terms, CHUNK_TERMS)
+        k = len(machines)
+        self.alpha, self.slope, self.share = np.zeros(k), np.zeros(k), np.zeros(k)
+        # the intercepts' parts of the vectors
+        self.point, self.gradient, self.direction = np.zeros(k), np.zeros(k), np.zeros(k)
+        self.steps: dict[int, np.ndarray] = {}
+        self.changes: dict[int, np.ndarray] = {}
+        self.mean_point, self.mean_direction = np.zeros(k), np.zeros(k)
+        self.at, self.to, self.tried, self.raw = 0, 0, 0, None
+        self.w = None
+        self._scale(usable)
+        files, zero = self.files, ("p0", "g0", "d0")
+
+        def start(chunk: int) -> np.ndarray:
+            shape = files.read("dev", chunk).shape
+            for name in zero:
+                files.write(name, chunk, np.zeros(shape))
+            return np.zeros((0, 0))
+
+        _by_chunk(self.spark, files, start, (0, 0))
+
+    def _scale(self, usable: np.ndarray) -> None:
+        """From the sums of counts and of their squares: two passes for all models."""
+        files, machines = self.files, self.machines
+        flags = list(dict.fromkeys([f for m in machines for f in (m.yes, m.no)]))
+        squared = self.rows.withColumn("tfs", F.transform("tfs", lambda x: x.cast("bigint") * x))
+        sums, squares = (flagged_sums(r, flags) for r in (self.rows, squared))
+        counts, place = flag_rows(sums), {f: k for k, f in enumerate(sums.flags)}
+        yes, no = [place[m.yes] for m in machines], [place[m.no] for m in machines]
+        n = np.array([counts[a] + counts[b] for a, b in zip(yes, no, strict=True)])
+        self.n = np.maximum(n, 1)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for at, chunk in enumerate(batch.column("chunk").to_pylist()):
+                    used = usable[chunk * files.chunk_terms : (chunk + 1) * files.chunk_terms]
+                    both = [
+                        np.frombuffer(batch.column(name)[at].as_buffer()).reshape(len(used), -1)
+                        for name in ("data", "squares")
+                    ]
+                    total, square = (m[:, yes] + m[:, no] for m in both)
+                    variance = np.maximum(square - total * total / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)
+                    deviation = np.sqrt(np.where(used[:, None], variance, 0))
+                    mean = np.divide(total / np.maximum(n, 1), deviation, out=np.zeros_like(total), where=deviation > 0)
+                    files.write("dev", chunk, deviation)
+                    files.write("mean", chunk, mean)
+                    yield chunk_batch(chunk, np.zeros(0))
+
+        first, second = (chunked_sums(x, files.n_terms, files.chunk_terms) for x in (sums, squares))
+        first.join(second.withColumnRenamed("data", "squares"), "chunk").mapInArrow(run, "chunk int, data binary").toArrow()
+
+    def direct(self, asked: dict[int, tuple]) -> None:
+        """New directions of the models asked for, and the weights of their first trial."""
+        files, k, to = self.files, len(self.machines), self.to
+        numbers = sorted({i for (_, steps, _), _ in asked.values() for i in steps})
+        shares = np.zeros((1 + 2 * len(numbers), k))
+        for model, ((gradient, steps, changes), alpha) in asked.items():
+            shares[0, model], self.alpha[model] = gradient, alpha
+            for at, i in enumerate(numbers):
+                shares[1 + 2 * at : 3 + 2 * at, model] = steps.get(i, 0), changes.get(i, 0)
+        chosen = np.zeros(k, bool)
+        chosen[list(asked)] = True
+        point, old, alpha = self.at, self.to, self.alpha.copy()
+        self.to, self.tried = to + 1, self.tried + 1
+        new, trial = f"d{self.to}", f"w{self.tried}"
+
+        def work(chunk: int) -> np.ndarray:
+            gradient = files.read(f"g{point}", chunk)
+            out = shares[0] * gradient
+            for at, i in enumerate(numbers):
+                out += shares[1 + 2 * at] * files.read(f"s{i}", chunk) + shares[2 + 2 * at] * files.read(f"y{i}", chunk)
+            out = np.where(chosen, np.where(-out * gradient < 0, -out, 0.0), files.read(f"d{old}", chunk))
+            files.write(new, chunk, out)
+            _trial(files, trial, chunk, files.read(f"p{point}", chunk) + alpha * out)
+            return np.stack([(out * gradient).sum(axis=0), (out * files.read("mean", chunk)).sum(axis=0)])
+
+        slope, self.mean_direction = _by_chunk(self.spark, files, work, (2, k))
+        out = shares[0] * self.gradient
+        for at, i in enumerate(numbers):
+            out += shares[1 + 2 * at] * self.steps[i] + shares[2 + 2 * at] * self.changes[i]
+        self.direction = np.where(chosen, np.where(-out * self.gradient < 0, -out, 0.0), self.direction)
+        self.slope = slope + self.direction * self.gradient
+        files.drop(f"d{old}", f"w{self.tried - 1}")
+        self.w = trial, alpha
+
+    def evaluate(self, asked: dict[int, float]) -> dict[int, tuple[float, float]]:
+        """(value, slope along the direction) of the models asked for: one pass over the rows."""
+        files, k, penalty = self.files, len(self.machines), self.penalty
+        order = sorted(asked)
+        self.alpha[order] = [asked[m] for m in order]
+        alpha, point, to = self.alpha.copy(), self.at, self.to
+        if self.w is None or not np.array_equal(self.w[1][order], alpha[order]):
+            self.tried += 1
+            trial = f"w{self.tried}"
+
+            def work(chunk: int) -> np.ndarray:
+                _trial(files, trial, chunk, files.read(f"p{point}", chunk) + alpha * files.read(f"d{to}", chunk))
+                return np.zeros((0, 0))
+
+            _by_chunk(self.spark, files, work, (0, 0))
+            files.drop(f"w{self.tried - 1}")
+            self.w = trial, alpha
+        raw = f"raw{uuid.uuid4().hex}"
+
+        def finish(chunk: int, sums: np.ndarray) -> np.ndarray:
+            deviation = files.read("dev", chunk)[:, order]
+            scaled = np.divide(sums, deviation, out=np.zeros_like(sums), where=deviation > 0)
+            direction = files.read(f"d{to}", chunk)[:, order]
+            here = files.read(f"p{point}", chunk)[:, order] + alpha[order] * direction
+            return np.stack([(a * b).sum(axis=0) for a, b in ((scaled, direction), (here, here), (here, direction))])
+
+        weights = _TrialWeights(self.w[0], files.n_terms, k, files.chunk_terms, 0, k, files)
+        intercepts = self.point + alpha * self.direction - self.mean_point - alpha * self.mean_direction
+        found = hinge_sums(self.rows, self.machines, order, weights, intercepts, raw, finish)
+        shares, losses, along, square, here = found
+        if self.raw:
+            files.drop(self.raw[0])
+        self.raw = raw, order
+        self.share[order] = shares
+        n = self.n[order]
+        values = losses / n + 0.5 * penalty * square
+        slopes = (along - shares * self.mean_direction[order]) / n + penalty * here
+        slopes += shares / n * self.direction[order]
+        return {m: (float(v), float(x)) for m, v, x in zip(order, values, slopes, strict=True)}
+
+    def commit(self, asked: dict[int, Sequence[int]]) -> dict[int, tuple[int, _Products]]:
+        """Moves the models asked for to the points they were last evaluated at."""
+        files, k, penalty, n = self.files, len(self.machines), self.penalty, self.n
+        numbers = sorted({i for history in asked.values() for i in history})
+        moved = np.zeros(k, bool)
+        moved[list(asked)] = True
+        raw, order = self.raw
+        alpha, share, old, to, number = self.alpha.copy(), self.share.copy(), self.at, self.to, self.at + 1
+
+        def work(chunk: int) -> np.ndarray:
+            deviation, mean = files.read("dev", chunk), files.read("mean", chunk)
+            sums = np.zeros(deviation.shape)
+            sums[:, order] = files.read(raw, chunk)
+            scaled = np.divide(sums, deviation, out=np.zeros_like(sums), where=deviation > 0)
+            step = np.where(moved, alpha * files.read(f"d{to}", chunk), 0.0)
+            point = files.read(f"p{old}", chunk) + step
+            before = files.read(f"g{old}", chunk)
+            gradient = np.where(moved, (scaled - share * mean) / n + penalty * point, before)
+            change = gradient - before
+            for name, matrix in (("p", point), ("g", gradient), ("s", step), ("y", change)):
+                files.write(f"{name}{number}", chunk, matrix)
+            pairs = [(gradient, gradient), (gradient, step), (gradient, change), (step, change), (change, change), (mean, point)]
+            out = [(a * b).sum(axis=0) for a, b in pairs]
+            for i in numbers:
+                s, y = files.read(f"s{i}", chunk), files.read(f"y{i}", chunk)
+                pairs = [(gradient, s), (gradient, y), (step, y), (s, change), (y, change)]
+                out += [(a * b).sum(axis=0) for a, b in pairs]
+            return np.stack(out)
+
+        found = _by_chunk(self.spark, files, work, (6 + 5 * len(numbers), k))
+        step = np.where(moved, alpha * self.direction, 0.0)
+        gradient = np.where(moved, share / n, self.gradient)
+        change = gradient - self.gradient
+        self.point, self.gradient = self.point + step, gradient
+        self.steps[number], self.changes[number] = step, change
+        self.mean_point = found[5]
+        own = [gradient * gradient, gradient * step, gradient * change, step * change, change * change]
+        for at, part in enumerate(own):
+            found[at] += part
+        for at, i in enumerate(numbers):
+            s, y = self.steps[i], self.changes[i]
+            for place, part in enumerate((gradient * s, gradient * y, step * y, s * change, y * change)):
+                found[6 + 5 * at + place] += part
+        files.drop(f"p{old}", f"g{old}")
+        self.at, self.w = number, None
+        out = {}
+        for m, history in asked.items():
+            products = _Products(found[0, m], {number: found[1, m]}, {number: found[2, m]})
+            products.step_change[number, number] = found[3, m]
+            products.change_change[number, number] = found[4, m]
+            for at, i in enumerate(numbers):
+                if i in history:
+                    products.steps[i], products.changes[i], step_y, s_change, y_change = found[6 + 5 * at : 11 + 5 * at, m]
+                    products.step_change[number, i], products.step_change[i, number] = step_y, s_change
+                    products.change_change[number, i] = products.change_change[i, number] = y_change
+            out[m] = number, products
+        return out
+
+    def run(self, max_iter: int, tolerance: float) -> None:
+        running = {m: descend(max_iter, tolerance) for m in range(len(self.machines))}
+        asked = {m: next(steps) for m, steps in running.items()}
+        history: dict[int, Sequence[int]] = {}
+        while asked:
+            kind = next(k for k in ("commit", "direct", "evaluate") if any(a[0] == k for a in asked.values()))
+            here = {m: a[1:] for m, a in asked.items() if a[0] == kind}
+            if kind == "direct":
+                self.direct(here)
+                answers = {m: float(self.slope[m]) for m in here}
+            elif kind == "commit":
+                answers = self.commit({m: a[0] for m, a in here.items()})
+                history |= {m: [answers[m][0], *a[0]][: MEMORY + 1] for m, a in here.items()}
+            else:
+                answers = self.evaluate({m: a[0] for m, a in here.items()})
+            for m, answer in answers.items():
+                try:
+                    asked[m] = running[m].send(answer)
+                except StopIteration:
+                    del asked[m]
+                    history.pop(m, None)
+            needed = {i for numbers in history.values() for i in numbers}
+            for i in [i for i in self.steps if i not in needed]:
+                self.files.drop(f"s{i}", f"y{i}")
+                del self.steps[i], self.changes[i]
+
+    def weights(self) -> tuple[StoredWeights, np.ndarray]:
+        """Weights of plain counts and intercepts at the points; the files of the fit are dropped."""
+        files, at = self.files, self.at
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for chunk in batch.column("id").to_pylist():
+                    yield chunk_batch(chunk, _plain(files, chunk, files.read(f"p{at}", chunk)))
+
+        parts = min(max(1, files.n_chunks), 2 * self.spark.sparkContext.defaultParallelism)
+        chunks = self.spark.range(0, files.n_chunks, 1, parts).mapInArrow(run, "chunk int, data binary")
+        out = store_weights(chunks, files.n_terms, len(self.machines), files.chunk_terms)
+        files.drop("")
+        return out, self.point - self.mean_point
+
+
+def _plain(files: _Files, chunk: int, point: np.ndarray) -> np.ndarray:
+    deviation = files.read("dev", chunk)
+    return np.divide(point, deviation, out=np.zeros_like(point), where=deviation > 0)
+
+
+def _trial(files: _Files, name: str, chunk: int, point: np.ndarray) -> None:
+    files.write(name, chunk, _plain(files, chunk, point))
 
 
 def hinge_sums(
-    rows: DataFrame, machines: Sequence[Machine], weights: np.ndarray, intercepts: np.ndarray, parts: int
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(gradients, shares, losses) of ``weights`` (term, model), summed over the rows in ``parts``
-    partitions: one job. Where the matrices of all tasks are more than ``DIRECT_BYTES``, they are added
-    on the executors, else on the driver."""
-    n_terms = len(weights)
-    sent = rows.sparkSession.sparkContext.broadcast(weights)
+    rows: DataFrame,
+    machines: Sequence[Machine],
+    order: Sequence[int],
+    weights: _TrialWeights,
+    intercepts: np.ndarray,
+    name: str,
+    finish: Callable[[int, np.ndarray], np.ndarray],
+) -> np.ndarray:
+    """Rows' shares and losses of the models ``order``, and the sums of what ``finish`` makes of the chunks of the
+    gradients at ``weights`` (term, model), which are written as ``name``: one job. The tasks' matrices are
+    added on the executors, about ``DIRECT_BYTES`` in a task."""
+    spark, files = rows.sparkSession, weights.files
     kind = "chunk bigint, part bigint, data binary"
-    partial = rows.mapInArrow(_partial_sums(machines, sent, intercepts, n_terms), kind)
-    if parts * weights.nbytes > DIRECT_BYTES:
-        partial = partial.repartition("chunk").sortWithinPartitions("chunk", "part").mapInArrow(_added, kind)
-    table = partial.toArrow().sort_by([("chunk", "ascending"), ("part", "ascending")])
-    sent.destroy()
-    sums, totals = np.zeros((n_terms, len(machines))), np.zeros((2, len(machines)))
+    size = rows.rdd.getNumPartitions() * 8 * files.n_terms * len(order)
+    parts = min(files.n_chunks + 1, size // max(1, DIRECT_BYTES) + spark.sparkContext.defaultParallelism)
+    here = [machines[m] for m in order]
+    partial = rows.mapInArrow(_partial_sums(here, weights, order, intercepts[list(order)], files.chunk_terms), kind)
+    every = spark.range(files.n_chunks).select(
+        F.col("id").alias("chunk"), F.lit(-1).cast("bigint").alias("part"), F.lit(b"").alias("data")
+    )
+    added = partial.unionByName(every).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
+    table = added.mapInArrow(_added(files, name, order, finish), "chunk int, data binary").toArrow().sort_by("chunk")
+    totals, found = np.zeros((2, len(order))), np.zeros((3, len(order)))
     for chunk, data in zip(table.column("chunk").to_pylist(), table.column("data"), strict=True):
-        part = np.frombuffer(data.as_py()).reshape(-1, len(machines))
-        if chunk == TOTALS:
-            totals += part
-        else:
-            sums[chunk : chunk + len(part)] += part
-    return sums, totals[0], totals[1]
-
-
-@dataclass
-class _Scale:
-    """Size, used terms, their deviations and standardised means of a model's rows."""
-
-    n: int
-    terms: np.ndarray
-    deviation: np.ndarray
-    mean: np.ndarray
-
-
-def _scales(rows: DataFrame, machines: Sequence[Machine], n_terms: int, usable: np.ndarray) -> list[_Scale]:
-    """From the sums of counts and of their squares: two passes for all models."""
-    flags = list(dict.fromkeys([f for m in machines for f in (m.yes, m.no)]))
-    squared = rows.withColumn("tfs", F.transform("tfs", lambda x: x.cast("bigint") * x))
-    pairs = zip(*(flag_vectors(flagged_sums(r, flags), n_terms) for r in (rows, squared)), strict=True)
-    found = {flag: (sums, squares, n) for (flag, sums, n), (_, squares, _) in pairs}
-    out = []
-    for m in machines:
-        sums, squares, n = (a + b for a, b in zip(found[m.yes], found[m.no], strict=True))
-        variance = np.maximum(squares - sums * sums / max(n, 1), 0) / max(n - 1, 1)
-        terms = np.flatnonzero((variance > 0) & usable)
-        deviation = np.sqrt(variance[terms])
-        out.append(_Scale(max(n, 1), terms, deviation, sums[terms] / max(n, 1) / deviation))
-    return out
+        into = totals if chunk == TOTALS else found
+        into += np.frombuffer(data.as_buffer()).reshape(into.shape)
+    return np.concatenate([totals, found])
 
 
 def fit(
@@ -229,36 +566,55 @@ def fit(
     penalty: float = 0.1,
     tolerance: float = 1e-4,
     state_bytes: int = STATE_BYTES,
-) -> Iterator[tuple[int, np.ndarray, float]]:
+) -> Iterator[tuple[int, StoredVector, float]]:
     """(model, weights of plain counts, intercept) of every machine.
 
     ``rows`` (written before) has label, in_train, row_hash, neg_topics, term_ids and tfs; terms that
     are not ``usable`` get no weight. Sums of gradients are added in the order of the partitions."""
     ship_package(rows.sparkSession)
     usable = np.ones(n_terms, bool) if usable is None else usable
-    parts = rows.rdd.getNumPartitions()
-    tile = max(1, state_bytes // (8 * VECTORS * max(1, n_terms)))
+    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    tile = max(1, state_bytes // (8 * max(1, n_terms)))
     for first in range(0, len(machines), tile):
-        here = list(machines[first : first + tile])
-        scales = _scales(rows, here, n_terms, usable)
-        running = {k: descend(len(s.terms) + 1, max_iter, tolerance) for k, s in enumerate(scales)}
-        asked = {k: next(steps) for k, steps in running.items()}
-        while asked:
-            order = list(asked)
-            weights, intercepts = np.zeros((n_terms, len(order))), np.zeros(len(order))
-            for at, k in enumerate(order):
-                s, point = scales[k], asked[k]
-                weights[s.terms, at] = point[:-1] / s.deviation
-                intercepts[at] = point[-1] - point[:-1] @ s.mean
-            sums, shares, losses = hinge_sums(rows, [here[k] for k in order], weights, intercepts, parts)
-            for at, k in enumerate(order):
-                s, w = scales[k], asked[k][:-1]
-                value = losses[at] / s.n + 0.5 * penalty * (w @ w)
-                slope = (sums[s.terms, at] / s.deviation - shares[at] * s.mean) / s.n + penalty * w
-                try:
-                    asked[k] = running[k].send((value, np.append(slope, shares[at] / s.n)))
-                except StopIteration as done:
-                    del asked[k]
-                    weight = np.zeros(n_terms)
-                    weight[s.terms] = done.value[:-1] / s.deviation
-                    yield first + k, weight, float(done.value[-1] - done.value[:-1] @ s.mean)
+        models = _Fit(rows, machines[first : first + tile], n_terms, usable, penalty)
+        models.run(max_iter, tolerance)
+        weights, intercepts = models.weights()
+        for k, intercept in enumerate(intercepts):
+            yield first + k, StoredVector(weights, k), float(intercept)
+
+
+@dataclass(frozen=True)
+class StoredVector:
+    """Weights of a model in the shared folder."""
+
+    table: StoredWeights
+    model: int
+
+    def __array__(self, dtype=None, copy=None) -> np.ndarray:
+        return self.table[:, self.model].astype(dtype or float)
+
+
+def together(spark: SparkSession, vectors: dict[int, StoredVector], n_terms: int, width: int) -> StoredWeights:
+    """One table of ``width`` models of the vectors at their places, made by tasks."""
+    by_table: dict[StoredWeights, list[tuple[int, int]]] = {}
+    for place, vector in vectors.items():
+        by_table.setdefault(vector.table, []).append((place, vector.model))
+    parts = []
+    for table, pairs in by_table.items():
+        found = spark.read.schema("chunk int, data binary").parquet(table.path)
+
+        def run(batches: Iterator[pa.RecordBatch], table=table, pairs=tuple(pairs)) -> Iterator[pa.RecordBatch]:
+            places, models = map(list, zip(*pairs, strict=True))
+            for batch in batches:
+                for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                    values = np.frombuffer(data.as_buffer()).reshape(-1, table.width)
+                    out = np.zeros((len(values), width))
+                    out[:, places] = values[:, models]
+                    yield chunk_batch(chunk, out)
+
+        parts.append(found.mapInArrow(run, "chunk int, data binary"))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    chunk_terms = next(iter(by_table)).chunk_terms
+    return store_weights(out, n_terms, width, chunk_terms)

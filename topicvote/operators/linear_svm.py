@@ -9,14 +9,14 @@ from collections.abc import Sequence
 from itertools import combinations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from topicvote.operators.features import Vocabulary
 from topicvote.operators.flags import Flag, FlagSums
-from topicvote.operators.hinge import Machine, fit
+from topicvote.operators.hinge import Machine, StoredVector, fit, together
 from topicvote.operators.sampling import EnsembleSpec, in_train, negatives_flag, sampling_thresholds
-from topicvote.operators.scoring import LinearEnsemble, score_votes, weights_file
+from topicvote.operators.scoring import LinearEnsemble, StoredWeights, score_votes, weights_file
 from topicvote.session import materialise
 
 
@@ -59,17 +59,27 @@ def fit_ensemble(
                 continue
             machine = Machine(Flag(t), negatives_flag(plan, spec, t, i, j))
             model_of.append(machines.setdefault(machine, 2 + len(machines)))
-    weights = weights_file(len(vocabulary), 2 + len(machines))
-    intercepts = np.zeros(weights.shape[1])
+    n_terms, intercepts = len(vocabulary), np.zeros(2 + len(machines))
     intercepts[:2] = np.inf, -np.inf
+    found = {}
     if machines:
         vectors = training_vectors(rows)
-        usable = vocabulary.idf > 0
-        for k, weight, intercept in fit(vectors, list(machines), len(vocabulary), usable, max_iter, reg_param):
-            weights[:, 2 + k], intercepts[2 + k] = weight, intercept
+        for k, weight, intercept in fit(vectors, list(machines), n_terms, vocabulary.idf > 0, max_iter, reg_param):
+            found[2 + k], intercepts[2 + k] = weight, intercept
+    weights = _together(rows.sparkSession, found, n_terms, len(intercepts))
     return LinearEnsemble(spec, weights, intercepts, np.array(model_of))
 
 
+def _together(spark: SparkSession, found: dict, n_terms: int, width: int) -> StoredWeights | np.ndarray:
+    """Weights of models at their places; vectors in memory go to a file."""
+    if found and all(isinstance(weight, StoredVector) for weight in found.values()):
+        return together(spark, found, n_terms, width)
+    weights = weights_file(n_terms, width)
+    for place, weight in found.items():
+        weights[:, place] = weight
+    return weights
+
+
 def pairwise_verdicts(
     rows: DataFrame,
     vocabulary: Vocabulary,
@@ -92,12 +102,13 @@ def pairwise_verdicts(
         return test.select(*keep, verdict.alias("verdict"))
     groups = list(folds or [None])
     machines = [Machine(Flag(labels[a], fold=f), Flag(labels[b], fold=f)) for f in groups for a, b in pairs]
-    weights = {f: weights_file(len(vocabulary), len(pairs)) for f in groups}
     intercepts = {f: np.zeros(len(pairs)) for f in groups}
     usable = vocabulary.idf > 0
+    found = {f: {} for f in groups}
     for k, weight, intercept in fit(training_vectors(rows), machines, len(vocabulary), usable, max_iter, reg_param):
         group, place = groups[k // len(pairs)], k % len(pairs)
-        weights[group][:, place], intercepts[group][place] = weight, intercept
+        found[group][place], intercepts[group][place] = weight, intercept
+    weights = {f: _together(rows.sparkSession, found[f], len(vocabulary), len(pairs)) for f in groups}
     spec, own = EnsembleSpec(), np.arange(len(pairs))
     scored = score_votes(test, {f: LinearEnsemble(spec, weights[f], intercepts[f], own) for f in groups}, keep)
     votes = [F.get("model_votes", F.lit(k)).cast("int") for k in range(len(pairs))]
