@@ -29,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicvote.operators.flags import Flag, TrainingRows, chunk_batch, chunked_sums, entry_arrays, flag_rows, flagged_sums
-from topicvote.operators.scoring import StoredWeights, margins, store_weights
+from topicvote.operators.flags import Flag, TrainingRows, chunk_batch, entry_arrays, packed, term_sums, unpacked, weighted_sums
+from topicvote.operators.scoring import StoredWeights, store_weights
 from topicvote.session import new_path, ship_package
 
 MEMORY = 10
@@ -215,45 +215,71 @@ def _in_order(rows: DataFrame, shape: tuple[int, int]) -> np.ndarray:
     return out
 
 
-def _partial_sums(
-    machines: Sequence[Machine], weights: StoredWeights, columns: Sequence[int], intercepts: np.ndarray, chunk_terms: int
-):
-    """(chunk, part, data): gradients by chunk of terms, and under ``TOTALS`` the sums of the rows'
-    shares and losses."""
+def _chosen(rows: TrainingRows, machines: Sequence[Machine]) -> np.ndarray:
+    """1 where a model shall say yes to a row, -1 where it shall say no, else 0."""
     yes = list(dict.fromkeys(m.yes for m in machines))
-    which = np.array([yes.index(m.yes) for m in machines])
+    which = [yes.index(m.yes) for m in machines]
+    return rows.flags(yes)[:, which].astype(np.int8) - rows.flags([m.no for m in machines])
+
+
+def _chunk_sums(
+    n_terms: int,
+    width: int,
+    chunk_terms: int,
+    work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]],
+):
+    """(chunk, part, data): ``work`` gives the counts of a batch's entries, the rows' shares in each model and two
+    rows of totals. Sums of counts times shares by chunk of terms, whole numbers; under ``TOTALS`` the totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        used, n_terms = weights.opened(), len(weights)
-        used = used if len(columns) == used.shape[1] else used[:, columns]
-        sums = np.zeros((n_terms, len(machines)))
-        totals = np.zeros((2, len(machines)))
+        sums, totals = np.zeros((n_terms, width)), np.zeros((2, width))
         for batch in batches:
-            rows = TrainingRows([batch])
-            wanted = rows.flags(yes)[:, which].astype(np.int8) - rows.flags([m.no for m in machines])
-            ids, tfs, starts = entry_arrays(batch)
-            slack = 1 - wanted * (margins(ids, tfs, starts, used) + intercepts)
-            shares = np.where((wanted != 0) & (slack > 0), -wanted, 0)
-            totals[0] += shares.sum(axis=0)
-            totals[1] += np.where(shares != 0, slack, 0).sum(axis=0)
+            tfs, shares, own = work(batch)
+            totals += own
+            ids, _, starts = entry_arrays(batch)
             owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
             held = shares.any(axis=1)[owner]
-            ids, tfs, owner = ids[held], tfs[held], owner[held]
-            order = np.argsort(ids, kind="stable")
-            for at in range(0, len(order), 1 << 16):
-                part = order[at : at + (1 << 16)]
-                heads = np.flatnonzero(np.diff(ids[part], prepend=-1))
-                sums[ids[part][heads]] += np.add.reduceat(shares[owner[part]] * tfs[part][:, None], heads)
+            for terms, added in term_sums(ids[held], tfs[held], owner[held], shares):
+                sums[terms] += added
         number = TaskContext.get().partitionId()
-        chunks = [(TOTALS, totals)] if totals.any() else []
-        chunks += [(k // chunk_terms, sums[k : k + chunk_terms]) for k in range(0, n_terms, chunk_terms)]
-        for chunk, part in chunks:
+        if totals.any():
+            yield pa.RecordBatch.from_pydict({"chunk": [TOTALS], "part": [number], "data": [totals.tobytes()]}, SUMS)
+        for at in range(0, n_terms, chunk_terms):
+            part = sums[at : at + chunk_terms]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": [chunk], "part": [number], "data": [part.tobytes()]}, SUMS)
+                yield pa.RecordBatch.from_pydict({"chunk": [at // chunk_terms], "part": [number], "data": [packed(part)]}, SUMS)
 
     return run
 
 
+def _gradients(machines: Sequence[Machine], weights: StoredWeights, columns: Sequence[int], intercepts: np.ndarray):
+    """What a row adds to the gradients of the models, and the sums of the rows' shares and losses."""
+    opened = []
+
+    def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if not opened:
+            used = weights.opened()
+            opened.append(used if len(columns) == used.shape[1] else used[:, columns])
+        wanted = _chosen(TrainingRows([batch]), machines)
+        ids, tfs, starts = entry_arrays(batch)
+        slack = 1 - wanted * (weighted_sums(ids, tfs, starts, opened[0]) + intercepts)
+        shares = np.where((wanted != 0) & (slack > 0), -wanted, 0)
+        return tfs, shares, np.stack([shares.sum(axis=0), np.where(shares != 0, slack, 0).sum(axis=0)])
+
+    return work
+
+
+def _counts(machines: Sequence[Machine], power: int):
+    """Counts to a power in the rows of the models, and the number of these rows."""
+
+    def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        used = np.abs(_chosen(TrainingRows([batch]), machines))
+        n = used.sum(axis=0, dtype=float)
+        return entry_arrays(batch)[1].astype(float) ** power, used, np.stack([n, np.zeros(len(n))])
+
+    return work
+
+
 SUMS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 
 
@@ -261,25 +287,25 @@ def _added(files: _Files, name: str, order: Sequence[int], finish: Callable[[int
     """Adds sorted rows (chunk, part, data) for each chunk, in the order of the parts; writes the sum and gives
     out what ``finish`` makes of it. The totals are given out as they are."""
 
+    width = len(order)
+
     def done(chunk: int, total: np.ndarray) -> pa.RecordBatch:
         if chunk == TOTALS:
             return chunk_batch(chunk, total)
-        height = min(files.chunk_terms, files.n_terms - chunk * files.chunk_terms)
-        matrix = total.reshape(height, len(order)) if len(total) else np.zeros((height, len(order)))
-        files.write(name, chunk, matrix)
-        return chunk_batch(chunk, finish(chunk, matrix))
+        files.write(name, chunk, total)
+        return chunk_batch(chunk, finish(chunk, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        here, total = None, np.zeros(0)
+        here, total = None, None
         for batch in batches:
             for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
-                values = np.frombuffer(data.as_buffer())
-                if chunk == here:
-                    total = total + values if len(total) else values
-                    continue
-                if here is not None:
-                    yield done(here, total)
-                here, total = chunk, values
+                if chunk != here:
+                    if here is not None:
+                        yield done(here, total)
+                    height = 2 if chunk == TOTALS else min(files.chunk_terms, files.n_terms - chunk * files.chunk_terms)
+                    here, total = chunk, np.zeros((height, width))
+                if len(data.as_buffer()):
+                    total += unpacked(data, total.size).reshape(total.shape)
         if here is not None:
             yield done(here, total)
 
@@ -315,34 +341,25 @@ class _Fit:
         _by_chunk(self.spark, files, start, (0, 0))
 
     def _scale(self, usable: np.ndarray) -> None:
-        """From the sums of counts and of their squares: two passes for all models."""
+        """From the sums of counts and of their squares: two passes for all models of the tile."""
         files, machines = self.files, self.machines
-        flags = list(dict.fromkeys([f for m in machines for f in (m.yes, m.no)]))
-        squared = self.rows.withColumn("tfs", F.transform("tfs", lambda x: x.cast("bigint") * x))
-        sums, squares = (flagged_sums(r, flags) for r in (self.rows, squared))
-        counts, place = flag_rows(sums), {f: k for k, f in enumerate(sums.flags)}
-        yes, no = [place[m.yes] for m in machines], [place[m.no] for m in machines]
-        n = np.array([counts[a] + counts[b] for a, b in zip(yes, no, strict=True)])
+        every = range(len(machines))
+        counted = _tile_sums(self.rows, files, every, _counts(machines, 1), "total", lambda chunk, sums: np.zeros((3, len(machines))))
+        n = counted[0]
         self.n = np.maximum(n, 1)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at, chunk in enumerate(batch.column("chunk").to_pylist()):
-                    used = usable[chunk * files.chunk_terms : (chunk + 1) * files.chunk_terms]
-                    both = [
-                        np.frombuffer(batch.column(name)[at].as_buffer()).reshape(len(used), -1)
-                        for name in ("data", "squares")
-                    ]
-                    total, square = (m[:, yes] + m[:, no] for m in both)
-                    variance = np.maximum(square - total * total / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)
-                    deviation = np.sqrt(np.where(used[:, None], variance, 0))
-                    mean = np.divide(total / np.maximum(n, 1), deviation, out=np.zeros_like(total), where=deviation > 0)
-                    files.write("dev", chunk, deviation)
-                    files.write("mean", chunk, mean)
-                    yield chunk_batch(chunk, np.zeros(0))
-
-        first, second = (chunked_sums(x, files.n_terms, files.chunk_terms) for x in (sums, squares))
-        first.join(second.withColumnRenamed("data", "squares"), "chunk").mapInArrow(run, "chunk int, data binary").toArrow()
+        def finish(chunk: int, square: np.ndarray) -> np.ndarray:
+            used = usable[chunk * files.chunk_terms : (chunk + 1) * files.chunk_terms]
+            total = files.read("total", chunk)
+            variance = np.maximum(square - total * total / np.maximum(n, 1), 0) / np.maximum(n - 1, 1)
+            deviation = np.sqrt(np.where(used[:, None], variance, 0))
+            mean = np.divide(total / np.maximum(n, 1), deviation, out=np.zeros_like(total), where=deviation > 0)
+            files.write("dev", chunk, deviation)
+            files.write("mean", chunk, mean)
+            return np.zeros((3, len(machines)))
+
+        _tile_sums(self.rows, files, every, _counts(machines, 2), "square", finish)
+        files.drop("total", "square")
 
     def direct(self, asked: dict[int, tuple]) -> None:
         """New directions of the models asked for, and the weights of their first trial."""
@@ -537,14 +554,26 @@ def hinge_sums(
     finish: Callable[[int, np.ndarray], np.ndarray],
 ) -> np.ndarray:
     """Rows' shares and losses of the models ``order``, and the sums of what ``finish`` makes of the chunks of the
-    gradients at ``weights`` (term, model), which are written as ``name``: one job. The tasks' matrices are
-    added on the executors, about ``DIRECT_BYTES`` in a task."""
-    spark, files = rows.sparkSession, weights.files
+    gradients at ``weights`` (term, model), which are written as ``name``: one job."""
+    work = _gradients([machines[m] for m in order], weights, order, intercepts[list(order)])
+    return _tile_sums(rows, weights.files, order, work, name, finish)
+
+
+def _tile_sums(
+    rows: DataFrame,
+    files: _Files,
+    order: Sequence[int],
+    work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    name: str,
+    finish: Callable[[int, np.ndarray], np.ndarray],
+) -> np.ndarray:
+    """The totals and the sums of what ``finish`` makes of the chunks of ``_chunk_sums``, which are written as
+    ``name``. The tasks' matrices are added on the executors, about ``DIRECT_BYTES`` in a task."""
+    spark = rows.sparkSession
     kind = "chunk bigint, part bigint, data binary"
     size = rows.rdd.getNumPartitions() * 8 * files.n_terms * len(order)
     parts = min(files.n_chunks + 1, size // max(1, DIRECT_BYTES) + spark.sparkContext.defaultParallelism)
-    here = [machines[m] for m in order]
-    partial = rows.mapInArrow(_partial_sums(here, weights, order, intercepts[list(order)], files.chunk_terms), kind)
+    partial = rows.mapInArrow(_chunk_sums(files.n_terms, len(order), files.chunk_terms, work), kind)
     every = spark.range(files.n_chunks).select(
         F.col("id").alias("chunk"), F.lit(-1).cast("bigint").alias("part"), F.lit(b"").alias("data")
     )
