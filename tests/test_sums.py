@@ -16,7 +16,8 @@ def test_weighted_sums_of_short_long_and_empty_rows(monkeypatch):
     ids, tfs = rng.integers(0, 50, starts[-1]), rng.integers(1, 9, starts[-1])
     weights = np.concatenate([rng.normal(size=(50, 3)), [[np.inf, np.nan, -np.inf]]])  # no row has the last term
     wanted = [tfs[a:b] @ weights[ids[a:b]] for a, b in zip(starts, starts[1:])]
-    assert np.allclose(weighted_sums(ids, tfs, starts, weights), wanted)
+    for order in ("C", "F"):
+        assert np.allclose(weighted_sums(ids, tfs, starts, np.asarray(weights, order=order)), wanted)
 
 
 def test_term_sums_are_exact_and_come_once(monkeypatch):

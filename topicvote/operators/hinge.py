@@ -259,7 +259,7 @@ def _gradients(machines: Sequence[Machine], weights: StoredWeights, columns: Seq
     def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not opened:
             used = weights.opened()
-            opened.append(used if len(columns) == used.shape[1] else used[:, columns])
+            opened.append(used if len(columns) == used.shape[1] else np.ascontiguousarray(used[:, columns]))
         wanted = _chosen(TrainingRows([batch]), machines)
         ids, tfs, starts = entry_arrays(batch)
         slack = 1 - wanted * (weighted_sums(ids, tfs, starts, opened[0]) + intercepts)
