@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from collections.abc import Sequence
+
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from topicvote.functions.hashing import DEFAULT_SEED
+from topicvote.functions.hashing import DEFAULT_SEED, row_hash
 from topicvote.functions.labels import index_to_label
+from topicvote.operators import forest
+from topicvote.operators.forest import Forest, predict
 
 
 def _indexed(vectors: DataFrame, train: Column, label: str) -> tuple[DataFrame, list]:
@@ -46,32 +50,32 @@ def lasso_verdicts(
 
 
 def forest_verdicts(
-    vectors: DataFrame,
+    rows: DataFrame,
+    n_terms: int,
     train: Column,
     label: str = "label",
+    keep: Sequence[str] = ("doc_id", "label"),
     trees: int = 100,
     features_per_split: int = 20,
 ) -> DataFrame:
-    """Random forest. ``verdict`` codes the rows outside ``train``."""
-    rows, codes = _indexed(vectors, train, label)
-    model = fit_forest(rows, trees, features_per_split)
-    return model.transform(vectors.where(~train)).withColumn(
-        "verdict", index_to_label("prediction", codes)
-    )
+    """Random forest (``forest.py``). ``verdict`` codes the rows outside ``train``. ``rows`` (written before) has
+    doc_id, the label, term_ids and tfs, ``n_terms`` terms in all."""
+    fitted, codes = fit_forest(rows, n_terms, train, label, trees, features_per_split)
+    coded = predict(rows.where(~train), fitted, *keep)
+    return coded.select(*keep, index_to_label("prediction", codes).alias("verdict"))
 
 
-def fit_forest(indexed: DataFrame, trees: int = 100, features_per_split: int = 20):
-    """The fitted forest, with its ``featureImportances``."""
-    return RandomForestClassifier(
-        labelCol="index",
-        numTrees=trees,
-        featureSubsetStrategy=str(features_per_split),
-        seed=DEFAULT_SEED,
-    ).fit(indexed)
+def fit_forest(
+    rows: DataFrame, n_terms: int, train: Column, label: str = "label", trees: int = 100, features_per_split: int = 20
+) -> tuple[Forest, list]:
+    """The fitted forest, and the labels of its classes."""
+    indexed, codes = _indexed(rows, train, label)
+    indexed = indexed.withColumns({"index": F.col("index").cast("int"), "row_hash": row_hash("doc_id")})
+    return forest.fit(indexed, n_terms, len(codes), trees, features_per_split), codes
 
 
 def forest_importance(
-    vectors: DataFrame,
+    rows: DataFrame,
     train: Column,
     names: list[str],
     label: str = "label",
@@ -79,8 +83,7 @@ def forest_importance(
     features_per_split: int = 20,
 ) -> DataFrame:
     """(feature, impurity) of every feature that a tree splits at: its share in the decrease of
-    impurity. ``names`` are those of the places of the vectors."""
-    rows, _ = _indexed(vectors, train, label)
-    found = fit_forest(rows, trees, features_per_split).featureImportances
-    pairs = [(names[i], float(v)) for i, v in zip(found.indices, found.values, strict=True) if v > 0]
-    return vectors.sparkSession.createDataFrame(pairs, "feature string, impurity double")
+    impurity. ``names`` are those of the term numbers."""
+    fitted, _ = fit_forest(rows, len(names), train, label, trees, features_per_split)
+    pairs = [(names[i], v) for i, v in fitted.importances().items() if v > 0]
+    return rows.sparkSession.createDataFrame(pairs, "feature string, impurity double")
