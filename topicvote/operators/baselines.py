@@ -4,16 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from topicvote.functions.hashing import DEFAULT_SEED, row_hash
 from topicvote.functions.labels import index_to_label
-from topicvote.operators import forest
+from topicvote.operators import forest, lasso
 from topicvote.operators.forest import Forest, predict
+from topicvote.operators.lasso import Regression
 
 
 def _indexed(vectors: DataFrame, train: Column, label: str) -> tuple[DataFrame, list]:
@@ -23,30 +21,32 @@ def _indexed(vectors: DataFrame, train: Column, label: str) -> tuple[DataFrame,
 
 
 def lasso_verdicts(
-    vectors: DataFrame,
+    rows: DataFrame,
+    n_terms: int,
     train: Column,
     label: str = "label",
+    keep: Sequence[str] = ("doc_id", "label"),
     penalties: tuple[float, ...] = (0.1, 0.01, 0.001),
     folds: int = 3,
     max_iter: int = 100,
-    parallelism: int = 4,
 ) -> DataFrame:
-    """Multinomial regression with an L1 penalty chosen by cross-validation on the deviance."""
-    rows, codes = _indexed(vectors, train, label)
-    regression = LogisticRegression(
-        labelCol="index", family="multinomial", elasticNetParam=1.0, maxIter=max_iter
-    )
-    model = CrossValidator(
-        estimator=regression,
-        estimatorParamMaps=ParamGridBuilder().addGrid(regression.regParam, penalties).build(),
-        evaluator=MulticlassClassificationEvaluator(labelCol="index", metricName="logLoss"),
-        numFolds=folds,
-        parallelism=parallelism,
-        seed=DEFAULT_SEED,
-    ).fit(rows)
-    return model.transform(vectors.where(~train)).withColumn(
-        "verdict", index_to_label("prediction", codes)
-    )
+    """Multinomial regression with an L1 penalty chosen by cross-validation on the deviance (``lasso.py``).
+    ``verdict`` codes the rows outside ``train``. ``rows`` (written before) has doc_id, the label, term_ids and tfs,
+    ``n_terms`` terms in all. The regressions of all rows are fitted along with those of the folds."""
+    indexed, codes = _indexed(rows, train, label)
+    fold = (row_hash("doc_id", f"fold {DEFAULT_SEED}") % folds).cast("int")
+    indexed = indexed.withColumns({"index": F.col("index").cast("int"), "fold": fold})
+    models = [Regression(p, f) for f in [None, *range(folds)] for p in penalties]
+    deviance, places = dict.fromkeys(penalties, 0.0), {}
+    for own, fitted in lasso.fit(indexed, models, n_terms, len(codes), max_iter):
+        for k, (model, loss) in enumerate(zip(own, lasso.held_out_losses(indexed, own, fitted), strict=True)):
+            if model.fold is None:
+                places[model.penalty] = fitted, k
+            else:
+                deviance[model.penalty] += loss
+    best = min(penalties, key=deviance.get)
+    coded = lasso.predict(rows.where(~train), *places[best], *keep)
+    return coded.select(*keep, index_to_label("prediction", codes).alias("verdict"))
 
 
 def forest_verdicts(

@@ -227,9 +227,10 @@ def _chunk_sums(
     width: int,
     chunk_terms: int,
     work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    whole: bool,
 ):
     """(chunk, part, data): ``work`` gives the counts of a batch's entries, the rows' shares in each model and two
-    rows of totals. Sums of counts times shares by chunk of terms, whole numbers; under ``TOTALS`` the totals."""
+    rows of totals. Sums of counts times shares by chunk of terms, ``whole`` numbers or not; under ``TOTALS`` the totals."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, totals = np.zeros((n_terms, width)), np.zeros((2, width))
@@ -247,7 +248,7 @@ def _chunk_sums(
         for at in range(0, n_terms, chunk_terms):
             part = sums[at : at + chunk_terms]
             if part.any():
-                yield pa.RecordBatch.from_pydict({"chunk": [at // chunk_terms], "part": [number], "data": [packed(part)]}, SUMS)
+                yield pa.RecordBatch.from_pydict({"chunk": [at // chunk_terms], "part": [number], "data": [packed(part) if whole else part.tobytes()]}, SUMS)
 
     return run
 
@@ -566,6 +567,7 @@ def _tile_sums(
     work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]],
     name: str,
     finish: Callable[[int, np.ndarray], np.ndarray],
+    whole: bool = True,
 ) -> np.ndarray:
     """The totals and the sums of what ``finish`` makes of the chunks of ``_chunk_sums``, which are written as
     ``name``. The tasks' matrices are added on the executors, about ``DIRECT_BYTES`` in a task."""
@@ -573,7 +575,7 @@ def _tile_sums(
     kind = "chunk bigint, part bigint, data binary"
     size = rows.rdd.getNumPartitions() * 8 * files.n_terms * len(order)
     parts = min(files.n_chunks + 1, size // max(1, DIRECT_BYTES) + spark.sparkContext.defaultParallelism)
-    partial = rows.mapInArrow(_chunk_sums(files.n_terms, len(order), files.chunk_terms, work), kind)
+    partial = rows.mapInArrow(_chunk_sums(files.n_terms, len(order), files.chunk_terms, work, whole), kind)
     every = spark.range(files.n_chunks).select(
         F.col("id").alias("chunk"), F.lit(-1).cast("bigint").alias("part"), F.lit(b"").alias("data")
     )
