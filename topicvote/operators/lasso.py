@@ -65,6 +65,14 @@ def _kinds(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return batch.column("index").to_numpy(), batch.column("fold").to_numpy()
 
 
+def _margins(batch: pa.RecordBatch, weights: np.ndarray, used: np.ndarray, intercepts: np.ndarray) -> np.ndarray:
+    """Margins (row, column). Most terms have no weight in any regression: only those ``used`` are gathered."""
+    ids, tfs, starts = entry_arrays(batch)
+    held = used[ids]
+    starts = np.concatenate([[0], np.cumsum(held)])[starts]
+    return weighted_sums(ids[held], tfs[held], starts, weights) + intercepts
+
+
 def _pseudo(gradient: np.ndarray, point: np.ndarray, penalty: np.ndarray) -> np.ndarray:
     """The slope of loss and penalty; where a weight is 0 the one towards smaller values, if there is any."""
     low, high = gradient - penalty, gradient + penalty
@@ -211,16 +219,16 @@ class _Fit:
             if not opened:
                 whole = weights.opened()
                 opened.append(whole if len(columns) == whole.shape[1] else np.ascontiguousarray(whole[:, columns]))
+                opened.append(opened[0].any(axis=1))
             kind, fold = _kinds(batch)
-            ids, tfs, starts = entry_arrays(batch)
-            margins = weighted_sums(ids, tfs, starts, opened[0]) + intercepts
+            margins = _margins(batch, *opened, intercepts)
             losses, shares = _losses(margins.reshape(len(kind), len(folds), classes), kind)
             shares[np.arange(len(kind)), :, kind] -= 1
             used = np.stack([np.ones(len(fold), bool) if f is None else fold != f for f in folds], axis=1)
             shares = (shares * used[..., None]).reshape(len(kind), -1)
             totals = np.zeros((2, len(columns)))
             totals[0], totals[1, ::classes] = shares.sum(axis=0), np.where(used, losses, 0).sum(axis=0)
-            return tfs, shares, totals
+            return entry_arrays(batch)[1], shares, totals
 
         zeros = np.zeros((3, len(columns)))
         found = _tile_sums(self.rows, files, columns, work, raw, lambda chunk, sums: zeros, whole=False)
@@ -377,9 +385,11 @@ def fit(
     return out
 
 
-def _margins(batch: pa.RecordBatch, fitted: Fitted, weights: np.ndarray) -> np.ndarray:
-    ids, tfs, starts = entry_arrays(batch)
-    return weighted_sums(ids, tfs, starts, weights).reshape(-1, *fitted.intercepts.shape) + fitted.intercepts
+def _fitted_margins(batch: pa.RecordBatch, fitted: Fitted, opened: list) -> np.ndarray:
+    if not opened:
+        weights = fitted.weights.opened()
+        opened += [weights, weights.any(axis=1)]
+    return _margins(batch, *opened, fitted.intercepts.ravel()).reshape(-1, *fitted.intercepts.shape)
 
 
 def held_out_losses(rows: DataFrame, models: Sequence[Regression], fitted: Fitted) -> np.ndarray:
@@ -387,11 +397,10 @@ def held_out_losses(rows: DataFrame, models: Sequence[Regression], fitted: Fitte
     folds = np.array([-1 if m.fold is None else m.fold for m in models])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, weights = np.zeros((2, len(folds))), None
+        out, opened = np.zeros((2, len(folds))), []
         for batch in batches:
-            weights = fitted.weights.opened() if weights is None else weights
             kind, fold = _kinds(batch)
-            losses, _ = _losses(_margins(batch, fitted, weights), kind)
+            losses, _ = _losses(_fitted_margins(batch, fitted, opened), kind)
             held = fold[:, None] == folds
             out += [np.where(held, np.minimum(losses, -np.log(TINY)), 0).sum(axis=0), held.sum(axis=0)]
         yield pa.RecordBatch.from_pydict({"model": pa.array(range(len(folds)), pa.int32()), "loss": out[0], "n": out[1]})
@@ -406,10 +415,9 @@ def predict(rows: DataFrame, fitted: Fitted, model: int, *keep: str) -> DataFram
     ship_package(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weights = None
+        opened = []
         for batch in batches:
-            weights = fitted.weights.opened() if weights is None else weights
-            best = _margins(batch, fitted, weights)[:, model].argmax(axis=1)
+            best = _fitted_margins(batch, fitted, opened)[:, model].argmax(axis=1)
             columns = [*(batch.column(c) for c in keep), pa.array(best.astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, [*keep, "prediction"])
 
