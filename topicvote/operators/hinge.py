@@ -1,16 +1,18 @@
-"""Many linear support vector machines fitted together, a Spark job for a step of all of them.
+"""Many linear support vector machines fitted together, three Spark jobs for a step of all of them.
 
 A model is told by two flags (``flags.py``): the rows it shall say yes to and those it shall say no
-to. Every pass over the rows gives the hinge losses and gradients of all models that still run, at
-the point that each of them asks for: a task makes the flags of its rows, sums the gradients of its
-rows in one matrix and gives it out in chunks of terms, which are added chunk by chunk in a second
-stage. Each model takes its own quasi-Newton steps (limited memory BFGS with a backtracking line search)
+to. Each model takes its own quasi-Newton steps (limited memory BFGS with a backtracking line search)
 towards the minimum of what the library's own learner minimises for one model in many jobs: the mean
 hinge loss of standardised features with a quadratic penalty.
 
+The rows are read in blocks (``blocks.py``). Margins grow linearly along a direction, so one pass over the rows
+gives what the directions add to the margins, and from these numbers of a row and model all losses and slopes that a
+line search may ask for. A second pass gives the gradients where the searches ended: a task sums those of its rows in one
+matrix and gives it out in chunks of terms, which are added chunk by chunk in a second stage.
+
 Points, gradients, directions and the last ``MEMORY`` steps stay in the shared folder, in files of a chunk
-of terms each, and tasks read and write them chunk by chunk. The driver gets the inner products that a
-step needs, a few numbers for each chunk and model, and decides by them. A task's matrix of sums has a
+of terms each, and margins in files of a block of rows each; tasks read and write them. The driver gets the inner
+products that a step needs, a few numbers for each chunk and model, and decides by them. A task's matrix of sums has a
 number for each term and model of a tile; models are fitted in tiles that keep it below ``STATE_BYTES``.
 """
 
@@ -29,7 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from topicvote.operators.flags import Flag, TrainingRows, chunk_batch, entry_arrays, packed, term_sums, unpacked, weighted_sums
+from topicvote.operators.blocks import Blocks, write_blocks
+from topicvote.operators.flags import Flag, TrainingRows, chunk_batch, entry_arrays, packed, unpacked, weighted_sums
 from topicvote.operators.scoring import StoredWeights, store_weights
 from topicvote.session import new_path, ship_package
 
@@ -40,6 +43,7 @@ DIRECT_BYTES = 64 * 1024 * 1024
 TOTALS = -1
 ARMIJO, WOLFE, GROW = 1e-4, 0.9, 2.1
 LINE_STEPS = 8
+LINE_CELLS = 1 << 15
 VALUES = 20
 
 
@@ -90,7 +94,8 @@ def _direction(known: _Products, history: Sequence[int]) -> tuple[float, dict[in
 def descend(max_iter: int, tolerance: float) -> Generator[tuple, object, None]:
     """Steps of a model. It asks ``("evaluate", alpha, _)`` for (value, slope) at its point and so much of its
     direction, ``("commit", history, _)`` to go there, for the products of the new gradient, step and change with
-    those of ``history``, and ``("direct", shares, alpha)`` for a new direction's slope at its point."""
+    those of ``history``, and ``("direct", shares, (alpha, shrink))`` for a new direction's slope at its point: alpha is
+    the first part of it that will be asked for, later ones are shrunk or grown."""
     value, _ = yield "evaluate", 0.0, None
     number, known = yield "commit", [], None
     first, values, history, failed = value, [value], [], False
@@ -101,7 +106,7 @@ def descend(max_iter: int, tolerance: float) -> Generator[tuple, object, None]:
             if not length:
                 raise _LineSearchFailed
             alpha, shrink = (0.5 / length, 0.1) if iteration == 0 else (1.0, 0.5)
-            slope = yield "direct", _direction(known, history), alpha
+            slope = yield "direct", _direction(known, history), (alpha, shrink)
             if not slope < 0:
                 raise _LineSearchFailed
             for _ in range(LINE_STEPS):
@@ -170,7 +175,7 @@ class _Files:
 
 @dataclass(frozen=True)
 class _TrialWeights(StoredWeights):
-    """Weights of a step. An executor keeps only those of the last one of a fit."""
+    """Weights of a step, or of a direction. An executor keeps only those of the last one of a fit."""
 
     files: _Files | None = None
 
@@ -223,26 +228,23 @@ def _chosen(rows: TrainingRows, machines: Sequence[Machine]) -> np.ndarray:
 
 
 def _chunk_sums(
+    blocks: Blocks,
     n_terms: int,
     width: int,
     chunk_terms: int,
-    work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]],
+    work: Callable[[str], tuple[np.ndarray, np.ndarray]],
     whole: bool,
+    power: int,
 ):
-    """(chunk, part, data): ``work`` gives the counts of a batch's entries, the rows' shares in each model and two
-    rows of totals. Sums of counts times shares by chunk of terms, ``whole`` numbers or not; under ``TOTALS`` the totals."""
+    """(chunk, part, data): ``work`` gives the shares of a block's rows in each model and two rows of totals. Sums of
+    counts (to a ``power``) times shares by chunk of terms, ``whole`` numbers or not; under ``TOTALS`` the totals."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(number: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         sums, totals = np.zeros((n_terms, width)), np.zeros((2, width))
-        for batch in batches:
-            tfs, shares, own = work(batch)
+        for name in names:
+            shares, own = work(name)
             totals += own
-            ids, _, starts = entry_arrays(batch)
-            owner = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
-            held = shares.any(axis=1)[owner]
-            for terms, added in term_sums(ids[held], tfs[held], owner[held], shares):
-                sums[terms] += added
-        number = TaskContext.get().partitionId()
+            blocks.terms(name).add(shares, sums, power)
         if totals.any():
             yield pa.RecordBatch.from_pydict({"chunk": [TOTALS], "part": [number], "data": [totals.tobytes()]}, SUMS)
         for at in range(0, n_terms, chunk_terms):
@@ -253,23 +255,6 @@ def _chunk_sums(
     return run
 
 
-def _gradients(machines: Sequence[Machine], weights: StoredWeights, columns: Sequence[int], intercepts: np.ndarray):
-    """What a row adds to the gradients of the models, and the sums of the rows' shares and losses."""
-    opened = []
-
-    def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if not opened:
-            used = weights.opened()
-            opened.append(used if len(columns) == used.shape[1] else np.ascontiguousarray(used[:, columns]))
-        wanted = _chosen(TrainingRows([batch]), machines)
-        ids, tfs, starts = entry_arrays(batch)
-        slack = 1 - wanted * (weighted_sums(ids, tfs, starts, opened[0]) + intercepts)
-        shares = np.where((wanted != 0) & (slack > 0), -wanted, 0)
-        return tfs, shares, np.stack([shares.sum(axis=0), np.where(shares != 0, slack, 0).sum(axis=0)])
-
-    return work
-
-
 def _counts(machines: Sequence[Machine], power: int):
     """Counts to a power in the rows of the models, and the number of these rows."""
 
@@ -284,16 +269,17 @@ def _counts(machines: Sequence[Machine], power: int):
 SUMS = pa.schema([("chunk", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
 
 
-def _added(files: _Files, name: str, order: Sequence[int], finish: Callable[[int, np.ndarray], np.ndarray]):
-    """Adds sorted rows (chunk, part, data) for each chunk, in the order of the parts; writes the sum and gives
-    out what ``finish`` makes of it. The totals are given out as they are."""
+def _added(files: _Files, name: str | None, order: Sequence[int], finish: Callable[[int, np.ndarray], np.ndarray]):
+    """Adds sorted rows (chunk, part, data) for each chunk, in the order of the parts; writes the sum (if it has a
+    name) and gives out what ``finish`` makes of it. The totals are given out as they are."""
 
     width = len(order)
 
     def done(chunk: int, total: np.ndarray) -> pa.RecordBatch:
         if chunk == TOTALS:
             return chunk_batch(chunk, total)
-        files.write(name, chunk, total)
+        if name:
+            files.write(name, chunk, total)
         return chunk_batch(chunk, finish(chunk, total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,14 +299,43 @@ def _added(files: _Files, name: str, order: Sequence[int], finish: Callable[[int
     return run
 
 
-class _Fit:
-    """A tile of models. Files: ``dev`` and ``mean`` (deviations, 0 where a term is not used, and standardised
-    means), ``p``, ``g`` and ``d`` with a number (points, gradients, directions), ``s`` and ``y`` (steps, changes
-    of the gradient), ``w`` (weights of plain counts at the points asked for) and ``raw`` (sums of a pass)."""
+def _reached(first: np.ndarray, shrink: np.ndarray) -> np.ndarray:
+    """The parts of a direction (trial, model) that a line search may come to from the ``first`` ones."""
+    steps = [(i, j) for i in range(LINE_STEPS) for j in range(LINE_STEPS - i)]
+    return np.stack([first * shrink**i * GROW**j for i, j in steps])
+
+
+def _on_line(signs: np.ndarray, margins: np.ndarray, changes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What rows (row, model) lack to a margin of 1, and what of it a whole direction makes up; 0 for rows that a
+    model does not read."""
+    return np.where(signs != 0, 1 - signs * margins, 0.0), signs * changes
 
-    def __init__(self, rows: DataFrame, machines: Sequence[Machine], n_terms: int, usable: np.ndarray, penalty: float):
-        self.rows, self.machines, self.penalty, self.spark = rows, machines, penalty, rows.sparkSession
-        self.files = _Files(new_path(self.spark, "fit"), n_terms, CHUNK_TERMS)
+
+def _line_sums(signs: np.ndarray, slack: np.ndarray, gain: np.ndarray, alphas: np.ndarray) -> np.ndarray:
+    """Losses, their slopes and the rows' shares in the gradient (trial, 3, model) at parts of a direction."""
+    out = np.zeros((len(alphas), 3, signs.shape[1]))
+    step = max(1, LINE_CELLS // max(1, signs.shape[1]))
+    for at in range(0, len(signs), step):
+        here, more, sign = slack[at : at + step], gain[at : at + step], signs[at : at + step]
+        for k, alpha in enumerate(alphas):
+            left = here - alpha * more
+            lacks = left > 0
+            out[k, 0] += np.maximum(left, 0, out=left).sum(axis=0)
+            out[k, 1] -= np.multiply(more, lacks, out=left).sum(axis=0)
+            out[k, 2] -= np.multiply(sign, lacks, out=left).sum(axis=0)
+    return out
+
+
+class _Fit:
+    """A tile of models. Files by chunk of terms: ``dev`` and ``mean`` (deviations, 0 where a term is not used, and
+    standardised means), ``p``, ``g`` and ``d`` with a number (points, gradients, directions), ``s`` and ``y`` (steps,
+    changes of the gradient) and ``w`` (directions for plain counts). By block of rows: ``sign``, ``m`` with a number
+    (margins at the points) and ``v`` (what a direction adds to them)."""
+
+    def __init__(self, spark: SparkSession, blocks: Blocks, machines: Sequence[Machine], n_terms: int, usable: np.ndarray, penalty: float):
+        self.spark, self.blocks, self.machines, self.penalty = spark, blocks, machines, penalty
+        self.files = _Files(new_path(spark, "fit"), n_terms, CHUNK_TERMS)
+        self.own = uuid.uuid4().hex  # of the tile's files by block
         k = len(machines)
         self.alpha, self.slope, self.share = np.zeros(k), np.zeros(k), np.zeros(k)
         # the intercepts' parts of the vectors
@@ -328,10 +343,15 @@ class _Fit:
         self.steps: dict[int, np.ndarray] = {}
         self.changes: dict[int, np.ndarray] = {}
         self.mean_point, self.mean_direction = np.zeros(k), np.zeros(k)
-        self.at, self.to, self.tried, self.raw = 0, 0, 0, None
-        self.w = None
+        # squares of points and directions, and their products
+        self.square, self.long, self.both = np.zeros(k), np.zeros(k), np.zeros(k)
+        self.shrink = np.zeros(k)
+        self.at, self.to = 0, 0
+        self.traced: list[int] = []
+        self.line: np.ndarray | None = None
+        self.sums: np.ndarray | None = None
         self._scale(usable)
-        files, zero = self.files, ("p0", "g0", "d0")
+        files, zero = self.files, ("p0", "g0")
 
         def start(chunk: int) -> np.ndarray:
             shape = files.read("dev", chunk).shape
@@ -343,11 +363,26 @@ class _Fit:
 
     def _scale(self, usable: np.ndarray) -> None:
         """From the sums of counts and of their squares: two passes for all models of the tile."""
-        files, machines = self.files, self.machines
-        every = range(len(machines))
-        counted = _tile_sums(self.rows, files, every, _counts(machines, 1), "total", lambda chunk, sums: np.zeros((3, len(machines))))
-        n = counted[0]
+        files, blocks, machines, own = self.files, self.blocks, self.machines, self.own
+        every, k = range(len(machines)), len(machines)
+
+        def counts(power: int):
+            count = _counts(machines, power)
+            return lambda name: count(blocks.rows(name))[1:]
+
+        def mark(number: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(k)
+            for name in names:
+                signs = _chosen(TrainingRows([blocks.rows(name)]), machines)
+                total += signs.sum(axis=0)
+                blocks.write(f"sign{own}", name, signs)
+            yield chunk_batch(number, total)
+
+        signs = _in_order(blocks.over(self.spark, mark, "chunk int, data binary"), (k,))
+        zeros = np.zeros((3, k))
+        (n, _), _ = _tile_sums(self.spark, blocks, files, every, counts(1), "total", lambda chunk, sums: zeros)
         self.n = np.maximum(n, 1)
+        self.loss, self.share = n.copy(), -signs  # where all weights are 0
 
         def finish(chunk: int, square: np.ndarray) -> np.ndarray:
             used = usable[chunk * files.chunk_terms : (chunk + 1) * files.chunk_terms]
@@ -357,107 +392,120 @@ class _Fit:
             mean = np.divide(total / np.maximum(n, 1), deviation, out=np.zeros_like(total), where=deviation > 0)
             files.write("dev", chunk, deviation)
             files.write("mean", chunk, mean)
-            return np.zeros((3, len(machines)))
+            return zeros
 
-        _tile_sums(self.rows, files, every, _counts(machines, 2), "square", finish)
-        files.drop("total", "square")
+        _tile_sums(self.spark, blocks, files, every, counts(2), None, finish, power=2)
+        files.drop("total")
 
     def direct(self, asked: dict[int, tuple]) -> None:
-        """New directions of the models asked for, and the weights of their first trial."""
-        files, k, to = self.files, len(self.machines), self.to
+        """New directions of the models asked for, those of the others are 0."""
+        files, k, to = self.files, len(self.machines), self.to + 1
+        order = sorted(asked)
         numbers = sorted({i for (_, steps, _), _ in asked.values() for i in steps})
         shares = np.zeros((1 + 2 * len(numbers), k))
-        for model, ((gradient, steps, changes), alpha) in asked.items():
-            shares[0, model], self.alpha[model] = gradient, alpha
+        for model, ((gradient, steps, changes), (alpha, shrink)) in asked.items():
+            shares[0, model], self.alpha[model], self.shrink[model] = gradient, alpha, shrink
             for at, i in enumerate(numbers):
                 shares[1 + 2 * at : 3 + 2 * at, model] = steps.get(i, 0), changes.get(i, 0)
-        chosen = np.zeros(k, bool)
-        chosen[list(asked)] = True
-        point, old, alpha = self.at, self.to, self.alpha.copy()
-        self.to, self.tried = to + 1, self.tried + 1
-        new, trial = f"d{self.to}", f"w{self.tried}"
+        point = self.at
 
         def work(chunk: int) -> np.ndarray:
             gradient = files.read(f"g{point}", chunk)
             out = shares[0] * gradient
             for at, i in enumerate(numbers):
                 out += shares[1 + 2 * at] * files.read(f"s{i}", chunk) + shares[2 + 2 * at] * files.read(f"y{i}", chunk)
-            out = np.where(chosen, np.where(-out * gradient < 0, -out, 0.0), files.read(f"d{old}", chunk))
-            files.write(new, chunk, out)
-            _trial(files, trial, chunk, files.read(f"p{point}", chunk) + alpha * out)
-            return np.stack([(out * gradient).sum(axis=0), (out * files.read("mean", chunk)).sum(axis=0)])
+            out = np.where(-out * gradient < 0, -out, 0.0)
+            files.write(f"d{to}", chunk, out)
+            files.write(f"w{to}", chunk, _plain(files, chunk, out)[:, order])
+            pairs = [(out, gradient), (out, files.read("mean", chunk)), (out, out), (out, files.read(f"p{point}", chunk))]
+            return np.stack([(a * b).sum(axis=0) for a, b in pairs])
 
-        slope, self.mean_direction = _by_chunk(self.spark, files, work, (2, k))
+        slope, self.mean_direction, self.long, self.both = _by_chunk(self.spark, files, work, (4, k))
         out = shares[0] * self.gradient
         for at, i in enumerate(numbers):
             out += shares[1 + 2 * at] * self.steps[i] + shares[2 + 2 * at] * self.changes[i]
-        self.direction = np.where(chosen, np.where(-out * self.gradient < 0, -out, 0.0), self.direction)
+        self.direction = np.where(-out * self.gradient < 0, -out, 0.0)
         self.slope = slope + self.direction * self.gradient
-        files.drop(f"d{old}", f"w{self.tried - 1}")
-        self.w = trial, alpha
+        files.drop(f"d{self.to}", f"w{self.to}")
+        self.to, self.line = to, None
+
+    def _trace(self, order: Sequence[int]) -> None:
+        """What the directions add to the margins of the rows, and the losses, slopes and shares at every part of
+        them that a line search may ask for: one pass over the rows."""
+        blocks, own, files, k, at, to = self.blocks, self.own, self.files, len(self.machines), self.at, self.to
+        weights = _TrialWeights(f"w{to}", files.n_terms, len(order), files.chunk_terms, 0, len(order), files)
+        intercepts = (self.direction - self.mean_direction)[order]
+        alphas = _reached(self.alpha[order], self.shrink[order])
+
+        def run(number: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+            opened = weights.opened()
+            out = np.zeros((len(alphas), 3, len(order)))
+            for name in names:
+                changes = weighted_sums(*entry_arrays(blocks.rows(name)), opened) + intercepts
+                blocks.write(f"v{own}-{to}", name, changes)
+                signs = blocks.read(f"sign{own}", name, np.int8, k)[:, order]
+                margins = blocks.read(f"m{own}-{at}", name, float, k)[:, order]
+                out += _line_sums(signs, *_on_line(signs, margins, changes), alphas)
+            yield chunk_batch(number, out)
+
+        self.sums = _in_order(blocks.over(self.spark, run, "chunk int, data binary"), (len(alphas), 3, len(order)))
+        blocks.drop(f"v{own}-{to - 1}")
+        self.traced, self.line = list(order), alphas
 
     def evaluate(self, asked: dict[int, float]) -> dict[int, tuple[float, float]]:
-        """(value, slope along the direction) of the models asked for: one pass over the rows."""
-        files, k, penalty = self.files, len(self.machines), self.penalty
-        order = sorted(asked)
-        self.alpha[order] = [asked[m] for m in order]
-        alpha, point, to = self.alpha.copy(), self.at, self.to
-        if self.w is None or not np.array_equal(self.w[1][order], alpha[order]):
-            self.tried += 1
-            trial = f"w{self.tried}"
-
-            def work(chunk: int) -> np.ndarray:
-                _trial(files, trial, chunk, files.read(f"p{point}", chunk) + alpha * files.read(f"d{to}", chunk))
-                return np.zeros((0, 0))
-
-            _by_chunk(self.spark, files, work, (0, 0))
-            files.drop(f"w{self.tried - 1}")
-            self.w = trial, alpha
-        raw = f"raw{uuid.uuid4().hex}"
-
-        def finish(chunk: int, sums: np.ndarray) -> np.ndarray:
-            deviation = files.read("dev", chunk)[:, order]
-            scaled = np.divide(sums, deviation, out=np.zeros_like(sums), where=deviation > 0)
-            direction = files.read(f"d{to}", chunk)[:, order]
-            here = files.read(f"p{point}", chunk)[:, order] + alpha[order] * direction
-            return np.stack([(a * b).sum(axis=0) for a, b in ((scaled, direction), (here, here), (here, direction))])
-
-        weights = _TrialWeights(self.w[0], files.n_terms, k, files.chunk_terms, 0, k, files)
-        intercepts = self.point + alpha * self.direction - self.mean_point - alpha * self.mean_direction
-        found = hinge_sums(self.rows, self.machines, order, weights, intercepts, raw, finish)
-        shares, losses, along, square, here = found
-        if self.raw:
-            files.drop(self.raw[0])
-        self.raw = raw, order
-        self.share[order] = shares
-        n = self.n[order]
-        values = losses / n + 0.5 * penalty * square
-        slopes = (along - shares * self.mean_direction[order]) / n + penalty * here
-        slopes += shares / n * self.direction[order]
-        return {m: (float(v), float(x)) for m, v, x in zip(order, values, slopes, strict=True)}
+        """(value, slope along the direction) of the models asked for, so much of their direction away."""
+        out = {}
+        if not self.at:  # all weights are 0
+            return {m: (float(self.loss[m] / self.n[m]), 0.0) for m in asked}
+        if self.line is None:
+            self._trace(sorted(asked))
+        for m, alpha in asked.items():
+            model = self.traced.index(m)
+            trial = int(np.abs(np.log(self.line[:, model] / alpha)).argmin())
+            alpha = self.alpha[m] = self.line[trial, model]
+            loss, slope, self.share[m] = self.sums[trial, :, model]
+            square = self.square[m] + 2 * alpha * self.both[m] + alpha * alpha * self.long[m]
+            value = loss / self.n[m] + 0.5 * self.penalty * square
+            out[m] = float(value), float(slope / self.n[m] + self.penalty * (self.both[m] + alpha * self.long[m]))
+        return out
 
     def commit(self, asked: dict[int, Sequence[int]]) -> dict[int, tuple[int, _Products]]:
-        """Moves the models asked for to the points they were last evaluated at."""
-        files, k, penalty, n = self.files, len(self.machines), self.penalty, self.n
+        """Moves the models asked for to the points they were last evaluated at: one pass over the rows gives their
+        gradients there."""
+        files, blocks, own, k, penalty, n = self.files, self.blocks, self.own, len(self.machines), self.penalty, self.n
+        order = sorted(asked)
         numbers = sorted({i for history in asked.values() for i in history})
         moved = np.zeros(k, bool)
-        moved[list(asked)] = True
-        raw, order = self.raw
+        moved[order] = True
         alpha, share, old, to, number = self.alpha.copy(), self.share.copy(), self.at, self.to, self.at + 1
+        width, places = len(self.traced), [self.traced.index(m) for m in order] if old else []
+
+        def work(name: str) -> tuple[np.ndarray, np.ndarray]:
+            signs = blocks.read(f"sign{own}", name, np.int8, k)
+            if old:
+                margins, signs = blocks.read(f"m{own}-{old}", name, float, k).copy(), signs[:, order]
+                changes = blocks.read(f"v{own}-{to}", name, float, width)[:, places]
+                slack, gain = _on_line(signs, margins[:, order], changes)
+                shares = np.where(slack - alpha[order] * gain > 0, -signs, 0)
+                margins[:, order] += alpha[order] * changes
+            else:
+                margins, shares = np.zeros(signs.shape), -signs[:, order]
+            blocks.write(f"m{own}-{number}", name, margins)
+            return shares, np.zeros((2, len(order)))
 
-        def work(chunk: int) -> np.ndarray:
+        def finish(chunk: int, raw: np.ndarray) -> np.ndarray:
             deviation, mean = files.read("dev", chunk), files.read("mean", chunk)
             sums = np.zeros(deviation.shape)
-            sums[:, order] = files.read(raw, chunk)
+            sums[:, order] = raw
             scaled = np.divide(sums, deviation, out=np.zeros_like(sums), where=deviation > 0)
-            step = np.where(moved, alpha * files.read(f"d{to}", chunk), 0.0)
-            point = files.read(f"p{old}", chunk) + step
-            before = files.read(f"g{old}", chunk)
+            point, before = files.read(f"p{old}", chunk), files.read(f"g{old}", chunk)
+            step = np.where(moved, alpha * files.read(f"d{to}", chunk), 0.0) if old else np.zeros(point.shape)
+            point = point + step
             gradient = np.where(moved, (scaled - share * mean) / n + penalty * point, before)
             change = gradient - before
             for name, matrix in (("p", point), ("g", gradient), ("s", step), ("y", change)):
                 files.write(f"{name}{number}", chunk, matrix)
-            pairs = [(gradient, gradient), (gradient, step), (gradient, change), (step, change), (change, change), (mean, point)]
+            pairs = [(gradient, gradient), (gradient, step), (gradient, change), (step, change), (change, change), (mean, point), (point, point)]
             out = [(a * b).sum(axis=0) for a, b in pairs]
             for i in numbers:
                 s, y = files.read(f"s{i}", chunk), files.read(f"y{i}", chunk)
@@ -465,22 +513,23 @@ class _Fit:
                 out += [(a * b).sum(axis=0) for a, b in pairs]
             return np.stack(out)
 
-        found = _by_chunk(self.spark, files, work, (6 + 5 * len(numbers), k))
+        found = _tile_sums(self.spark, blocks, files, order, work, None, finish, (7 + 5 * len(numbers), k))[1]
         step = np.where(moved, alpha * self.direction, 0.0)
         gradient = np.where(moved, share / n, self.gradient)
         change = gradient - self.gradient
         self.point, self.gradient = self.point + step, gradient
         self.steps[number], self.changes[number] = step, change
-        self.mean_point = found[5]
-        own = [gradient * gradient, gradient * step, gradient * change, step * change, change * change]
-        for at, part in enumerate(own):
+        self.mean_point, self.square = found[5], found[6]
+        own_parts = [gradient * gradient, gradient * step, gradient * change, step * change, change * change]
+        for at, part in enumerate(own_parts):
             found[at] += part
         for at, i in enumerate(numbers):
             s, y = self.steps[i], self.changes[i]
             for place, part in enumerate((gradient * s, gradient * y, step * y, s * change, y * change)):
-                found[6 + 5 * at + place] += part
+                found[7 + 5 * at + place] += part
         files.drop(f"p{old}", f"g{old}")
-        self.at, self.w = number, None
+        blocks.drop(f"m{own}-{old}")
+        self.at, self.line = number, None
         out = {}
         for m, history in asked.items():
             products = _Products(found[0, m], {number: found[1, m]}, {number: found[2, m]})
@@ -488,18 +537,20 @@ class _Fit:
             products.change_change[number, number] = found[4, m]
             for at, i in enumerate(numbers):
                 if i in history:
-                    products.steps[i], products.changes[i], step_y, s_change, y_change = found[6 + 5 * at : 11 + 5 * at, m]
+                    products.steps[i], products.changes[i], step_y, s_change, y_change = found[7 + 5 * at : 12 + 5 * at, m]
                     products.step_change[number, i], products.step_change[i, number] = step_y, s_change
                     products.change_change[number, i] = products.change_change[i, number] = y_change
             out[m] = number, products
         return out
 
     def run(self, max_iter: int, tolerance: float) -> None:
+        """Models search along their directions until none asks, then move together, then turn together: a step of
+        all of them is two passes over the rows, whatever the searches ask for."""
         running = {m: descend(max_iter, tolerance) for m in range(len(self.machines))}
         asked = {m: next(steps) for m, steps in running.items()}
         history: dict[int, Sequence[int]] = {}
         while asked:
-            kind = next(k for k in ("commit", "direct", "evaluate") if any(a[0] == k for a in asked.values()))
+            kind = next(k for k in ("evaluate", "commit", "direct") if any(a[0] == k for a in asked.values()))
             here = {m: a[1:] for m, a in asked.items() if a[0] == kind}
             if kind == "direct":
                 self.direct(here)
@@ -533,6 +584,7 @@ class _Fit:
         chunks = self.spark.range(0, files.n_chunks, 1, parts).mapInArrow(run, "chunk int, data binary")
         out = store_weights(chunks, files.n_terms, len(self.machines), files.chunk_terms)
         files.drop("")
+        self.blocks.drop(f"sign{self.own}", f"m{self.own}-{at}", f"v{self.own}-{self.to}")
         return out, self.point - self.mean_point
 
 
@@ -541,51 +593,35 @@ def _plain(files: _Files, chunk: int, point: np.ndarray) -> np.ndarray:
     return np.divide(point, deviation, out=np.zeros_like(point), where=deviation > 0)
 
 
-def _trial(files: _Files, name: str, chunk: int, point: np.ndarray) -> None:
-    files.write(name, chunk, _plain(files, chunk, point))
-
-
-def hinge_sums(
-    rows: DataFrame,
-    machines: Sequence[Machine],
-    order: Sequence[int],
-    weights: _TrialWeights,
-    intercepts: np.ndarray,
-    name: str,
-    finish: Callable[[int, np.ndarray], np.ndarray],
-) -> np.ndarray:
-    """Rows' shares and losses of the models ``order``, and the sums of what ``finish`` makes of the chunks of the
-    gradients at ``weights`` (term, model), which are written as ``name``: one job."""
-    work = _gradients([machines[m] for m in order], weights, order, intercepts[list(order)])
-    return _tile_sums(rows, weights.files, order, work, name, finish)
-
-
 def _tile_sums(
-    rows: DataFrame,
+    spark: SparkSession,
+    blocks: Blocks,
     files: _Files,
     order: Sequence[int],
-    work: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]],
-    name: str,
+    work: Callable[[str], tuple[np.ndarray, np.ndarray]],
+    name: str | None,
     finish: Callable[[int, np.ndarray], np.ndarray],
+    shape: tuple[int, int] | None = None,
     whole: bool = True,
-) -> np.ndarray:
-    """The totals and the sums of what ``finish`` makes of the chunks of ``_chunk_sums``, which are written as
-    ``name``. The tasks' matrices are added on the executors, about ``DIRECT_BYTES`` in a task."""
-    spark = rows.sparkSession
+    power: int = 1,
+) -> tuple[np.ndarray, np.ndarray]:
+    """The totals, and the sums (of this ``shape``) of what ``finish`` makes of the chunks of ``_chunk_sums``, which are
+    written as ``name``, if there is one. The tasks' matrices are added on the executors, about ``DIRECT_BYTES`` in a task."""
+    shape = shape or (3, len(order))
     kind = "chunk bigint, part bigint, data binary"
-    size = rows.rdd.getNumPartitions() * 8 * files.n_terms * len(order)
+    partial = blocks.over(spark, _chunk_sums(blocks, files.n_terms, len(order), files.chunk_terms, work, whole, power), kind)
+    size = min(len(blocks.entries), spark.sparkContext.defaultParallelism) * 8 * files.n_terms * len(order)
     parts = min(files.n_chunks + 1, size // max(1, DIRECT_BYTES) + spark.sparkContext.defaultParallelism)
-    partial = rows.mapInArrow(_chunk_sums(files.n_terms, len(order), files.chunk_terms, work, whole), kind)
     every = spark.range(files.n_chunks).select(
         F.col("id").alias("chunk"), F.lit(-1).cast("bigint").alias("part"), F.lit(b"").alias("data")
     )
     added = partial.unionByName(every).repartition(parts, "chunk").sortWithinPartitions("chunk", "part")
     table = added.mapInArrow(_added(files, name, order, finish), "chunk int, data binary").toArrow().sort_by("chunk")
-    totals, found = np.zeros((2, len(order))), np.zeros((3, len(order)))
+    totals, found = np.zeros((2, len(order))), np.zeros(shape)
     for chunk, data in zip(table.column("chunk").to_pylist(), table.column("data"), strict=True):
         into = totals if chunk == TOTALS else found
         into += np.frombuffer(data.as_buffer()).reshape(into.shape)
-    return np.concatenate([totals, found])
+    return totals, found
 
 
 def fit(
@@ -600,18 +636,20 @@ def fit(
 ) -> Iterator[tuple[int, StoredVector, float]]:
     """(model, weights of plain counts, intercept) of every machine.
 
-    ``rows`` (written before) has label, in_train, row_hash, neg_topics, term_ids and tfs; terms that
-    are not ``usable`` get no weight. Sums of gradients are added in the order of the partitions."""
-    ship_package(rows.sparkSession)
+    ``rows`` has label, in_train, row_hash, neg_topics, term_ids and tfs and is read once, to write its blocks; terms
+    that are not ``usable`` get no weight. Sums of gradients are whole numbers, they do not depend on the tasks."""
+    spark = rows.sparkSession
+    ship_package(spark)
     usable = np.ones(n_terms, bool) if usable is None else usable
-    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    blocks = write_blocks(rows.coalesce(spark.sparkContext.defaultParallelism))
     tile = max(1, state_bytes // (8 * max(1, n_terms)))
     for first in range(0, len(machines), tile):
-        models = _Fit(rows, machines[first : first + tile], n_terms, usable, penalty)
+        models = _Fit(spark, blocks, machines[first : first + tile], n_terms, usable, penalty)
         models.run(max_iter, tolerance)
         weights, intercepts = models.weights()
         for k, intercept in enumerate(intercepts):
             yield first + k, StoredVector(weights, k), float(intercept)
+    blocks.drop("")
 
 
 @dataclass(frozen=True)

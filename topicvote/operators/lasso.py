@@ -14,9 +14,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from topicvote.operators.blocks import Blocks, write_blocks
 from topicvote.operators.flags import chunk_batch, entry_arrays, weighted_sums
 from topicvote.operators.hinge import (
     CHUNK_TERMS,
@@ -91,8 +92,8 @@ class _Fit:
     (points, gradients, pseudo-gradients, directions), ``s`` and ``y`` (steps, changes of the gradient), ``w`` (weights
     of plain counts at the points asked for), ``raw`` (sums of a pass)."""
 
-    def __init__(self, rows: DataFrame, models: Sequence[Regression], n_terms: int, cells: np.ndarray):
-        self.rows, self.models, self.spark = rows, models, rows.sparkSession
+    def __init__(self, spark: SparkSession, blocks: Blocks, models: Sequence[Regression], n_terms: int, cells: np.ndarray):
+        self.spark, self.blocks, self.models = spark, blocks, models
         self.classes = cells.shape[1]
         self.files = _Files(new_path(self.spark, "lasso"), n_terms, CHUNK_TERMS)
         self.width = len(models) * self.classes
@@ -123,16 +124,13 @@ class _Fit:
         _by_chunk(self.spark, files, start, (0, 0))
 
     def _scale(self, folds: Sequence[int | None]) -> None:
-        files, every = self.files, range(len(folds))
+        files, blocks, every = self.files, self.blocks, range(len(folds))
         n = self.n[[int(np.flatnonzero(self.group == g)[0]) for g in every]]
 
-        def counts(power: int):
-            def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-                fold = _kinds(batch)[1]
-                used = np.stack([np.ones(len(fold), int) if f is None else (fold != f).astype(int) for f in folds], axis=1)
-                return entry_arrays(batch)[1].astype(float) ** power, used, np.zeros((2, len(folds)))
-
-            return work
+        def work(name: str) -> tuple[np.ndarray, np.ndarray]:
+            fold = _kinds(blocks.rows(name))[1]
+            used = np.stack([np.ones(len(fold), int) if f is None else (fold != f).astype(int) for f in folds], axis=1)
+            return used, np.zeros((2, len(folds)))
 
         def finish(chunk: int, square: np.ndarray) -> np.ndarray:
             total = files.read("total", chunk)
@@ -141,9 +139,9 @@ class _Fit:
             files.write("mean", chunk, np.divide(total / n, deviation, out=np.zeros_like(total), where=deviation > 0))
             return np.zeros((3, len(folds)))
 
-        _tile_sums(self.rows, files, every, counts(1), "total", lambda chunk, sums: np.zeros((3, len(folds))))
-        _tile_sums(self.rows, files, every, counts(2), "square", finish)
-        files.drop("total", "square")
+        _tile_sums(self.spark, blocks, files, every, work, "total", lambda chunk, sums: np.zeros((3, len(folds))))
+        _tile_sums(self.spark, blocks, files, every, work, None, finish, power=2)
+        files.drop("total")
 
     def _try(self, direct=None) -> np.ndarray:
         """Writes the weights at the points asked for, after new directions of ``direct`` (chunk)."""
@@ -171,7 +169,7 @@ class _Fit:
         files, own, old = self.files, self.own, self.to
         numbers = sorted({i for (_, steps, _), _ in asked.values() for i in steps})
         shares = np.zeros((1 + 2 * len(numbers), len(self.models)))
-        for model, ((gradient, steps, changes), alpha) in asked.items():
+        for model, ((gradient, steps, changes), (alpha, _)) in asked.items():
             shares[0, model] = gradient
             self.alpha[own == model] = alpha
             for k, i in enumerate(numbers):
@@ -200,7 +198,7 @@ class _Fit:
 
     def evaluate(self, asked: dict[int, float]) -> dict[int, tuple[float, float]]:
         """(value, slope along the direction) of the regressions asked for: one pass over the rows."""
-        files, own, classes, to = self.files, self.own, self.classes, self.to
+        files, blocks, own, classes, to = self.files, self.blocks, self.own, self.classes, self.to
         for model, alpha in asked.items():
             self.alpha[own == model] = alpha
         columns = np.flatnonzero(np.isin(own, list(asked)))
@@ -215,7 +213,8 @@ class _Fit:
         folds = [self.models[m].fold for m in sorted(asked)]
         opened = []
 
-        def work(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def work(name: str) -> tuple[np.ndarray, np.ndarray]:
+            batch = blocks.rows(name)
             if not opened:
                 whole = weights.opened()
                 opened.append(whole if len(columns) == whole.shape[1] else np.ascontiguousarray(whole[:, columns]))
@@ -228,10 +227,10 @@ class _Fit:
             shares = (shares * used[..., None]).reshape(len(kind), -1)
             totals = np.zeros((2, len(columns)))
             totals[0], totals[1, ::classes] = shares.sum(axis=0), np.where(used, losses, 0).sum(axis=0)
-            return entry_arrays(batch)[1], shares, totals
+            return shares, totals
 
         zeros = np.zeros((3, len(columns)))
-        found = _tile_sums(self.rows, files, columns, work, raw, lambda chunk, sums: zeros, whole=False)
+        found, _ = _tile_sums(self.spark, blocks, files, columns, work, raw, lambda chunk, sums: zeros, whole=False)
         self.raw = raw, columns
         self.share[columns] = found[0]
         gradient, point, penalty = self._gradient(), self._moved(), self.penalty
@@ -374,14 +373,16 @@ def fit(
     cells = np.zeros((max((r["fold"] for r in found), default=0) + 1, classes))
     for r in found:
         cells[r["fold"], r["index"]] = r["count"]
-    rows = rows.coalesce(rows.sparkSession.sparkContext.defaultParallelism)
+    spark = rows.sparkSession
+    blocks = write_blocks(rows.coalesce(spark.sparkContext.defaultParallelism))
     tile = max(1, state_bytes // (8 * max(1, n_terms) * classes))
     out = []
     for first in range(0, len(models), tile):
         own = models[first : first + tile]
-        fitting = _Fit(rows, own, n_terms, cells)
+        fitting = _Fit(spark, blocks, own, n_terms, cells)
         fitting.run(max_iter, tolerance)
         out.append((own, fitting.fitted()))
+    blocks.drop("")
     return out
 
 

@@ -17,11 +17,10 @@ from topicvote.operators.flags import Flag, FlagSums
 from topicvote.operators.hinge import Machine, StoredVector, fit, together
 from topicvote.operators.sampling import EnsembleSpec, in_train, negatives_flag, sampling_thresholds
 from topicvote.operators.scoring import LinearEnsemble, StoredWeights, score_votes, weights_file
-from topicvote.session import materialise
 
 
 def training_vectors(rows: DataFrame) -> DataFrame:
-    """What the optimiser reads of the rows that train a model, written once."""
+    """What the optimiser reads of the rows that train a model."""
     known = F.col("neg_topics") if "neg_topics" in rows.columns else F.array().cast("array<int>")
     used = in_train() | (F.size(known) > 0)
     columns = [
@@ -31,7 +30,7 @@ def training_vectors(rows: DataFrame) -> DataFrame:
         known.cast("array<int>").alias("neg_topics"),
     ]
     columns += [F.col("sim").cast("int").alias("sim")] if "sim" in rows.columns else []
-    return materialise(rows.where(used).select(*columns, "term_ids", "tfs"), "vectors")
+    return rows.where(used).select(*columns, "term_ids", "tfs")
 
 
 def fit_ensemble(
