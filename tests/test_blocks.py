@@ -96,3 +96,41 @@ def test_a_step_is_two_passes_over_the_rows(spark, monkeypatch):
     points = len(set(asked))
     assert len(asked) > points + 8
     assert len(passes) <= 3 + 2 * points + 2 * len(machines)  # a machine may fail to find a part twice
+
+
+def test_blocks_of_like_rows(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ENTRIES", 50)
+    rows = [(*r[:1], k % 2, *r[2:]) for k, r in enumerate(_rows(90, 20, 4))]
+    rows[5] = (None, *rows[5][1:])
+    made = write_blocks(spark.createDataFrame(rows, SCHEMA).repartition(2), ("label", "in_train"))
+    found = []
+    for name in made.entries:
+        part = [tuple(r.values()) for r in made.rows(name).to_pylist()]
+        assert len({r[:2] for r in part}) == 1
+        found += part
+    assert sorted(found, key=str) == sorted(rows, key=str)
+
+
+def test_sums_of_some_columns():
+    rng = np.random.default_rng(8)
+    starts = np.arange(0, 81, 8)
+    ids, tfs = rng.integers(0, 9, 80).astype(np.int32), np.ones(80, np.int32)
+    shares, out, wanted = rng.integers(-1, 2, (10, 2)), np.zeros((9, 4)), np.zeros((9, 2))
+    by_term(ids, tfs, starts).add(shares, out, 1, np.array([1, 3]))
+    np.add.at(wanted, ids, shares[np.repeat(np.arange(10), 8)])
+    assert (out[:, [1, 3]] == wanted).all() and not out[:, [0, 2]].any()
+
+
+def test_machines_of_two_topics_read_their_rows_only(spark, monkeypatch):
+    """Of each block only the models that read its rows are summed, and the models are those of mixed blocks."""
+    rows = [(1 + k % 3, *r[1:]) for k, r in enumerate(_rows(90, 12, 5))]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(2)
+    machines = [hinge.Machine(Flag(a), Flag(b)) for a, b in ((1, 2), (1, 3), (2, 3))]
+    monkeypatch.setattr(blocks, "HELD", 1)
+    apart = [(np.asarray(w), b) for _, w, b in hinge.fit(frame, machines, 12, max_iter=5)]
+    write, asked = hinge.write_blocks, []
+    monkeypatch.setattr(hinge, "write_blocks", lambda df, by: (asked.append(list(by)), write(df))[1])
+    mixed = [(np.asarray(w), b) for _, w, b in hinge.fit(frame, machines, 12, max_iter=5)]
+    assert asked == [["label"]]
+    for (one, here), (two, there) in zip(apart, mixed, strict=True):
+        assert np.allclose(one, two, atol=1e-9) and np.isclose(here, there, atol=1e-9) and one.any()

@@ -22,13 +22,14 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from topicvote.operators.flags import SINGLE, entry_arrays
+from topicvote.operators.flags import NO_LABEL, SINGLE, entry_arrays
 from topicvote.session import new_path
 
 BLOCK_ENTRIES = 1 << 21
 BLOCK_ROWS = 1 << 16
 PIECE = 32
 PIECES = 2048
+HELD = 4
 
 
 @dataclass(frozen=True)
@@ -43,9 +44,13 @@ class Terms:
     owner: np.ndarray
     tfs: np.ndarray
 
-    def add(self, shares: np.ndarray, out: np.ndarray, power: int = 1) -> None:
-        """Adds the entries' counts to a ``power``, times the shares of their rows, to their terms' rows of ``out``.
-        Where shares (-1, 0, 1) are whole numbers and no sum can pass 2**24, single precision is exact too."""
+    def add(self, shares: np.ndarray, out: np.ndarray, power: int = 1, columns: np.ndarray | None = None) -> None:
+        """Adds the entries' counts to a ``power``, times the shares of their rows, to their terms' rows of ``out`` (to
+        its ``columns``). Where shares (-1, 0, 1) are whole numbers and no sum can pass 2**24, single precision is exact too."""
+        if not shares.shape[1]:
+            return
+        if columns is not None and len(columns) == out.shape[1]:
+            columns = None
         single = shares.dtype.kind != "f" and self.bounds[power - 1] < SINGLE
         kind = np.float32 if single else np.float64
         shares = np.ascontiguousarray(shares, kind)
@@ -67,7 +72,10 @@ class Terms:
                 if size == PIECE:  # a term may have many
                     heads = np.flatnonzero(np.diff(terms, prepend=-1))
                     terms, total = terms[heads], np.add.reduceat(total, heads, axis=0)
-                out[terms] += total
+                if columns is None:
+                    out[terms] += total
+                else:
+                    out[terms[:, None], columns] += total
                 piece += n
 
     def dump(self) -> bytes:
@@ -115,20 +123,21 @@ def by_term(ids: np.ndarray, tfs: np.ndarray, starts: np.ndarray) -> Terms:
 
 @dataclass(frozen=True)
 class Blocks:
-    """``entries`` has the number of entries of every block by its name, in the order of the rows."""
+    """``entries`` has the number of entries of every block by its name, blocks of like rows after each other."""
 
     folder: str
     entries: dict[str, int]
 
     def spread(self, parts: int) -> list[list[str]]:
-        """The blocks in at most ``parts`` groups of about as many entries."""
+        """The blocks in at most ``parts`` groups of about as many entries, each in the order of the blocks."""
         groups: list[list[str]] = [[] for _ in range(max(1, min(parts, len(self.entries))))]
         filled = [0] * len(groups)
         for name in sorted(self.entries, key=self.entries.get, reverse=True):
             at = filled.index(min(filled))
             groups[at].append(name)
             filled[at] += self.entries[name] + 1
-        return groups
+        place = {name: k for k, name in enumerate(self.entries)}
+        return [sorted(group, key=place.get) for group in groups]
 
     def over(self, spark: SparkSession, work: Callable[[int, list[str]], Iterator[pa.RecordBatch]], kind: str) -> DataFrame:
         """What ``work`` gives for the number and the blocks of every group, a task each."""
@@ -187,12 +196,24 @@ def _cut(batch: pa.RecordBatch, entries: int, rows: int) -> Iterator[tuple[pa.Re
         first = end
 
 
-def write_blocks(rows: DataFrame) -> Blocks:
-    """Writes ``rows``, which have term_ids, tfs and other columns, in one job."""
+def _alike(batch: pa.RecordBatch, by: Sequence[str]) -> Iterator[tuple[tuple, pa.RecordBatch]]:
+    """The rows of a batch by the values of the columns ``by``."""
+    if not by:
+        yield (), batch
+        return
+    values = np.stack([batch.column(c).fill_null(NO_LABEL).to_numpy(zero_copy_only=False) for c in by], axis=1)
+    found, which = np.unique(values, axis=0, return_inverse=True)
+    for k, key in enumerate(found.tolist()):
+        yield tuple(key), batch.take(pa.array(np.flatnonzero(which.ravel() == k)))
+
+
+def write_blocks(rows: DataFrame, by: Sequence[str] = ()) -> Blocks:
+    """Writes ``rows``, which have term_ids, tfs and other columns, in one job. Rows of a block are alike in the columns
+    ``by`` (whole numbers); a task holds ``HELD`` blocks' entries at most for that."""
     spark = rows.sparkSession
-    folder, most_entries, most_rows = new_path(spark, "blocks"), BLOCK_ENTRIES, BLOCK_ROWS
+    folder, most_entries, most_rows, most_held = new_path(spark, "blocks"), BLOCK_ENTRIES, BLOCK_ROWS, HELD * BLOCK_ENTRIES
 
-    def write(held: list[pa.RecordBatch], entries: int, place: int) -> pa.RecordBatch:
+    def write(key: tuple, held: list[pa.RecordBatch], entries: int, place: int) -> pa.RecordBatch:
         batch = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
         name, out = uuid.uuid4().hex, pa.BufferOutputStream()
         with pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="lz4")) as stream:
@@ -200,19 +221,31 @@ def write_blocks(rows: DataFrame) -> Blocks:
         _write(f"{folder}/rows/{name}", out.getvalue())
         _write(f"{folder}/terms/{name}", by_term(*entry_arrays(batch)).dump())
         part = TaskContext.get().partitionId()
-        return pa.RecordBatch.from_pydict({"part": [part], "place": [place], "name": [name], "entries": [entries]})
+        found = {"kind": [json.dumps(key)], "part": [part], "place": [place], "name": [name], "entries": [entries]}
+        return pa.RecordBatch.from_pydict(found)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, entries, place = [], 0, 0, 0
+        held: dict[tuple, list[pa.RecordBatch]] = {}
+        size: dict[tuple, int] = {}
+        entries: dict[tuple, int] = {}
+        place = 0
         for batch in batches:
-            for part, more in _cut(batch, most_entries, most_rows):
-                if held and (entries + more > most_entries or size + part.num_rows > most_rows):
-                    yield write(held, entries, place)
-                    held, size, entries, place = [], 0, 0, place + 1
-                held.append(part)
-                size, entries = size + part.num_rows, entries + more
-        if held:
-            yield write(held, entries, place)
-
-    found = sorted(rows.mapInArrow(run, "part bigint, place bigint, name string, entries bigint").collect())
+            for key, alike in _alike(batch, by):
+                for part, more in _cut(alike, most_entries, most_rows):
+                    if key in held and (entries[key] + more > most_entries or size[key] + part.num_rows > most_rows):
+                        yield write(key, held.pop(key), entries.pop(key), place)
+                        place += 1
+                        del size[key]
+                    held.setdefault(key, []).append(part)
+                    size[key], entries[key] = size.get(key, 0) + part.num_rows, entries.get(key, 0) + more
+                while sum(entries.values()) > most_held:
+                    largest = max(entries, key=entries.get)
+                    yield write(largest, held.pop(largest), entries.pop(largest), place)
+                    place += 1
+                    del size[largest]
+        for key in held:
+            yield write(key, held[key], entries[key], place)
+            place += 1
+
+    found = sorted(rows.mapInArrow(run, "kind string, part bigint, place bigint, name string, entries bigint").collect())
     return Blocks(folder, {r["name"]: r["entries"] for r in found})

@@ -232,19 +232,20 @@ def _chunk_sums(
     n_terms: int,
     width: int,
     chunk_terms: int,
-    work: Callable[[str], tuple[np.ndarray, np.ndarray]],
+    work: Callable[[str], tuple[np.ndarray | None, np.ndarray, np.ndarray]],
     whole: bool,
     power: int,
 ):
-    """(chunk, part, data): ``work`` gives the shares of a block's rows in each model and two rows of totals. Sums of
+    """(chunk, part, data): ``work`` gives models (all if None), the shares of a block's rows in each of them and two
+    rows of totals of all models. Sums of
     counts (to a ``power``) times shares by chunk of terms, ``whole`` numbers or not; under ``TOTALS`` the totals."""
 
     def run(number: int, names: list[str]) -> Iterator[pa.RecordBatch]:
         sums, totals = np.zeros((n_terms, width)), np.zeros((2, width))
         for name in names:
-            shares, own = work(name)
+            columns, shares, own = work(name)
             totals += own
-            blocks.terms(name).add(shares, sums, power)
+            blocks.terms(name).add(shares, sums, power, columns)
         if totals.any():
             yield pa.RecordBatch.from_pydict({"chunk": [TOTALS], "part": [number], "data": [totals.tobytes()]}, SUMS)
         for at in range(0, n_terms, chunk_terms):
@@ -330,7 +331,8 @@ class _Fit:
     """A tile of models. Files by chunk of terms: ``dev`` and ``mean`` (deviations, 0 where a term is not used, and
     standardised means), ``p``, ``g`` and ``d`` with a number (points, gradients, directions), ``s`` and ``y`` (steps,
     changes of the gradient) and ``w`` (directions for plain counts). By block of rows: ``sign``, ``m`` with a number
-    (margins at the points) and ``v`` (what a direction adds to them)."""
+    (margins at the points) and ``v`` (what a direction adds to them), these two of the models only that read a row of the
+    block."""
 
     def __init__(self, spark: SparkSession, blocks: Blocks, machines: Sequence[Machine], n_terms: int, usable: np.ndarray, penalty: float):
         self.spark, self.blocks, self.machines, self.penalty = spark, blocks, machines, penalty
@@ -368,7 +370,13 @@ class _Fit:
 
         def counts(power: int):
             count = _counts(machines, power)
-            return lambda name: count(blocks.rows(name))[1:]
+
+            def work(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+                _, used, totals = count(blocks.rows(name))
+                columns = np.flatnonzero(used.any(axis=0))
+                return columns, used[:, columns], totals
+
+            return work
 
         def mark(number: int, names: list[str]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(k)
@@ -438,14 +446,21 @@ class _Fit:
         alphas = _reached(self.alpha[order], self.shrink[order])
 
         def run(number: int, names: list[str]) -> Iterator[pa.RecordBatch]:
-            opened = weights.opened()
+            opened, chosen, used = weights.opened(), None, None
             out = np.zeros((len(alphas), 3, len(order)))
             for name in names:
-                changes = weighted_sums(*entry_arrays(blocks.rows(name)), opened) + intercepts
+                signs = blocks.read(f"sign{own}", name, np.int8, k)
+                reading = np.flatnonzero(signs.any(axis=0))
+                here = np.isin(reading, order)
+                models = reading[here]
+                places = np.searchsorted(order, models)
+                if chosen is None or not np.array_equal(places, chosen):
+                    chosen, used = places, opened if len(places) == len(order) else np.ascontiguousarray(opened[:, places])
+                changes = weighted_sums(*entry_arrays(blocks.rows(name)), used) + intercepts[places]
                 blocks.write(f"v{own}-{to}", name, changes)
-                signs = blocks.read(f"sign{own}", name, np.int8, k)[:, order]
-                margins = blocks.read(f"m{own}-{at}", name, float, k)[:, order]
-                out += _line_sums(signs, *_on_line(signs, margins, changes), alphas)
+                signs = signs[:, models]
+                margins = blocks.read(f"m{own}-{at}", name, float, len(reading))[:, here]
+                out[:, :, places] += _line_sums(signs, *_on_line(signs, margins, changes), alphas[:, places])
             yield chunk_batch(number, out)
 
         self.sums = _in_order(blocks.over(self.spark, run, "chunk int, data binary"), (len(alphas), 3, len(order)))
@@ -478,20 +493,25 @@ class _Fit:
         moved = np.zeros(k, bool)
         moved[order] = True
         alpha, share, old, to, number = self.alpha.copy(), self.share.copy(), self.at, self.to, self.at + 1
-        width, places = len(self.traced), [self.traced.index(m) for m in order] if old else []
+        traced = self.traced
 
-        def work(name: str) -> tuple[np.ndarray, np.ndarray]:
+        def work(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             signs = blocks.read(f"sign{own}", name, np.int8, k)
+            reading = np.flatnonzero(signs.any(axis=0))
+            here = np.isin(reading, order)
+            models = reading[here]
+            signs = signs[:, models]
             if old:
-                margins, signs = blocks.read(f"m{own}-{old}", name, float, k).copy(), signs[:, order]
-                changes = blocks.read(f"v{own}-{to}", name, float, width)[:, places]
-                slack, gain = _on_line(signs, margins[:, order], changes)
-                shares = np.where(slack - alpha[order] * gain > 0, -signs, 0)
-                margins[:, order] += alpha[order] * changes
+                known = reading[np.isin(reading, traced)]
+                margins = blocks.read(f"m{own}-{old}", name, float, len(reading)).copy()
+                changes = blocks.read(f"v{own}-{to}", name, float, len(known))[:, np.isin(known, order)]
+                slack, gain = _on_line(signs, margins[:, here], changes)
+                shares = np.where(slack - alpha[models] * gain > 0, -signs, 0)
+                margins[:, here] += alpha[models] * changes
             else:
-                margins, shares = np.zeros(signs.shape), -signs[:, order]
+                margins, shares = np.zeros((len(signs), len(reading))), -signs
             blocks.write(f"m{own}-{number}", name, margins)
-            return shares, np.zeros((2, len(order)))
+            return np.searchsorted(order, models), shares, np.zeros((2, len(order)))
 
         def finish(chunk: int, raw: np.ndarray) -> np.ndarray:
             deviation, mean = files.read("dev", chunk), files.read("mean", chunk)
@@ -598,7 +618,7 @@ def _tile_sums(
     blocks: Blocks,
     files: _Files,
     order: Sequence[int],
-    work: Callable[[str], tuple[np.ndarray, np.ndarray]],
+    work: Callable[[str], tuple[np.ndarray | None, np.ndarray, np.ndarray]],
     name: str | None,
     finish: Callable[[int, np.ndarray], np.ndarray],
     shape: tuple[int, int] | None = None,
@@ -641,7 +661,10 @@ def fit(
     spark = rows.sparkSession
     ship_package(spark)
     usable = np.ones(n_terms, bool) if usable is None else usable
-    blocks = write_blocks(rows.coalesce(spark.sparkContext.defaultParallelism))
+    # A machine of two topics reads no others' rows: blocks of one topic and fold are not gathered for it.
+    pairs = not all(m.no.negative for m in machines)
+    by = [c for c in ("label", "sim") if c in rows.columns] if pairs else []
+    blocks = write_blocks(rows.coalesce(spark.sparkContext.defaultParallelism), by)
     tile = max(1, state_bytes // (8 * max(1, n_terms)))
     for first in range(0, len(machines), tile):
         models = _Fit(spark, blocks, machines[first : first + tile], n_terms, usable, penalty)

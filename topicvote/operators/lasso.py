@@ -127,10 +127,10 @@ class _Fit:
         files, blocks, every = self.files, self.blocks, range(len(folds))
         n = self.n[[int(np.flatnonzero(self.group == g)[0]) for g in every]]
 
-        def work(name: str) -> tuple[np.ndarray, np.ndarray]:
+        def work(name: str) -> tuple[None, np.ndarray, np.ndarray]:
             fold = _kinds(blocks.rows(name))[1]
             used = np.stack([np.ones(len(fold), int) if f is None else (fold != f).astype(int) for f in folds], axis=1)
-            return used, np.zeros((2, len(folds)))
+            return None, used, np.zeros((2, len(folds)))
 
         def finish(chunk: int, square: np.ndarray) -> np.ndarray:
             total = files.read("total", chunk)
@@ -213,7 +213,7 @@ class _Fit:
         folds = [self.models[m].fold for m in sorted(asked)]
         opened = []
 
-        def work(name: str) -> tuple[np.ndarray, np.ndarray]:
+        def work(name: str) -> tuple[None, np.ndarray, np.ndarray]:
             batch = blocks.rows(name)
             if not opened:
                 whole = weights.opened()
@@ -227,7 +227,7 @@ class _Fit:
             shares = (shares * used[..., None]).reshape(len(kind), -1)
             totals = np.zeros((2, len(columns)))
             totals[0], totals[1, ::classes] = shares.sum(axis=0), np.where(used, losses, 0).sum(axis=0)
-            return shares, totals
+            return None, shares, totals
 
         zeros = np.zeros((3, len(columns)))
         found, _ = _tile_sums(self.spark, blocks, files, columns, work, raw, lambda chunk, sums: zeros, whole=False)
