@@ -123,7 +123,7 @@ def test_sums_of_some_columns():
 
 def test_machines_of_two_topics_read_their_rows_only(spark, monkeypatch):
     """Of each block only the models that read its rows are summed, and the models are those of mixed blocks."""
-    rows = [(1 + k % 3, *r[1:]) for k, r in enumerate(_rows(90, 12, 5))]
+    rows = [(1 + k % 4, *r[1:]) for k, r in enumerate(_rows(90, 12, 5))]  # no machine reads those of 4
     frame = spark.createDataFrame(rows, SCHEMA).repartition(2)
     machines = [hinge.Machine(Flag(a), Flag(b)) for a, b in ((1, 2), (1, 3), (2, 3))]
     monkeypatch.setattr(blocks, "HELD", 1)

@@ -453,6 +453,8 @@ class _Fit:
                 reading = np.flatnonzero(signs.any(axis=0))
                 here = np.isin(reading, order)
                 models = reading[here]
+                if not len(models):
+                    continue
                 places = np.searchsorted(order, models)
                 if chosen is None or not np.array_equal(places, chosen):
                     chosen, used = places, opened if len(places) == len(order) else np.ascontiguousarray(opened[:, places])
@@ -501,7 +503,11 @@ class _Fit:
             here = np.isin(reading, order)
             models = reading[here]
             signs = signs[:, models]
-            if old:
+            if not len(reading):
+                return models, signs, np.zeros((2, len(order)))
+            if old and not len(models):
+                margins, shares = blocks.read(f"m{own}-{old}", name, float, len(reading)), signs
+            elif old:
                 known = reading[np.isin(reading, traced)]
                 margins = blocks.read(f"m{own}-{old}", name, float, len(reading)).copy()
                 changes = blocks.read(f"v{own}-{to}", name, float, len(known))[:, np.isin(known, order)]
